@@ -1,0 +1,46 @@
+"""Registered queries over the driver's tables and their SQL twins."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its own name, with its SQL twin if it has one."""
+
+    def add(f):
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("""
+WITH e AS (SELECT DISTINCT l_orderkey o, l_partkey p FROM lineitem),
+pairs AS (SELECT a.p src, b.p dst, count(*) c FROM e a JOIN e b ON a.o = b.o AND a.p < b.p GROUP BY 1, 2 HAVING count(*) >= 2),
+ends AS (SELECT src id, c FROM pairs UNION ALL SELECT dst, c FROM pairs)
+SELECT id, CAST(count(*) AS BIGINT) AS degree, CAST(sum(c) AS BIGINT) AS weight FROM ends GROUP BY id""")
+def hub_degree(spark, d):
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
+    pairs = e.alias("a").join(e.alias("b"), (F.col("a.o") == F.col("b.o")) & (F.col("a.p") < F.col("b.p"))).groupBy(F.col("a.p").alias("src"), F.col("b.p").alias("dst")).agg(F.count(F.lit(1)).alias("c")).where("c >= 2")
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("id"), "c")
+    return ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"), F.sum("c").alias("weight"))
+
+
+def queries():
+    return dict(_queries)
+
+
+def oracle_sql():
+    return dict(_sql)
