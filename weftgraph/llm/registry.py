@@ -23,9 +23,16 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm import neardup
+
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 
 
