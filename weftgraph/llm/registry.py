@@ -35,9 +35,16 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.decontamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=8)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm import substrings
+
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"), window=20, keep_text=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }

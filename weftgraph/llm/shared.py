@@ -52,3 +52,29 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def only(df: DataFrame, *cols: str) -> DataFrame:
     """The named columns alone, so extra columns of the input can't clash."""
     return df.select(*[F.col(c) for c in cols])
+
+
+def id_bitmap(ids: DataFrame, col: str):
+    """A broadcast bitmap over hashes of ids, of at most 8 MB, and its size in bits.
+
+    It only lets rows that surely have no partner stay out of a shuffle; an
+    exact join follows, so a crowded bitmap costs bytes, never results.
+    """
+    import numpy as np
+
+    n = ids.count()
+    bits = 1 << min(26, max(16, (16 * n).bit_length()))
+    at = F.pmod(F.xxhash64(col), F.lit(bits))
+    words = ids.select(at.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 AS int))")).alias("v"))
+    got = words.toArrow()
+    table = np.zeros(bits >> 6, np.uint64)
+    table[got["w"].to_numpy()] = got["v"].to_numpy().view(np.uint64)
+    return ids.sparkSession.sparkContext.broadcast(table), bits
+
+
+def in_bitmap(table, hashes, bits: int):
+    """Which of the xxhash64 values are (maybe) in an id_bitmap()."""
+    import numpy as np
+
+    at = np.mod(hashes.astype(np.int64), bits).astype(np.uint64)
+    return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1

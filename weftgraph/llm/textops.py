@@ -136,3 +136,27 @@ def gram_hashes(words: np.ndarray, n: int, which: int = 0) -> np.ndarray:
 def signed(x: np.ndarray) -> np.ndarray:
     """uint64 as the signed 64-bit integers that Spark has."""
     return x.view(np.int64)
+
+
+def sliding_argmin(v: np.ndarray, w: int) -> np.ndarray:
+    """For each run of w consecutive values the index of its first smallest one."""
+    n = len(v)
+    if n < w:
+        return np.zeros(0, np.int64)
+    at, have = np.arange(n), 1
+    while have * 2 <= w:
+        left, right = at[: len(at) - have], at[have:]
+        at = np.where(v[right] < v[left], right, left)
+        have *= 2
+    if have < w:
+        left, right = at[: n - w + 1], at[w - have : w - have + n - w + 1]
+        at = np.where(v[right] < v[left], right, left)
+    return at
+
+
+def window_starts(first: np.ndarray, w: int) -> np.ndarray:
+    """Marks the positions (over all rows of a slice) at which a run of w values stays in its row."""
+    ok = np.ones(int(first[-1]), bool)
+    for end in first[1:]:
+        ok[max(0, int(end) - w + 1) : int(end)] = False
+    return ok
