@@ -41,11 +41,18 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"), window=20, keep_text=False)
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm import suffixes
+
+    return suffixes.remove_repeated_strings(_table(spark, sf_dir, "documents"), length=400, keep_bytes=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
+        "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 

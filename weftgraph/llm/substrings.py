@@ -99,7 +99,7 @@ def _runs(docs: DataFrame, kind: str, window: int, length: int) -> DataFrame:
     return docs.mapInArrow(run, f"gram long, run long, doc_id {kind}, at int, n int, windows binary")
 
 
-def _with_marks(docs: DataFrame, marks: DataFrame, kind: str) -> DataFrame:
+def with_marks(docs: DataFrame, marks: DataFrame, kind: str) -> DataFrame:
     """Documents that have marks, with them; texts of the others stay out of the shuffle."""
     table, bits = id_bitmap(marks, "doc_id")
 
@@ -122,7 +122,7 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         anchors = cut(_anchors(source, kind, window, length, before), "anchors")
         often = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
         marks = cut(anchors.join(often, "gram").groupBy("doc_id").agg(F.collect_set("at").alias("marks")), "marks")
-        source, before = _with_marks(docs, marks, kind), length
+        source, before = with_marks(docs, marks, kind), length
         if length * 2 >= window:
             break
         length *= 2
