@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Where the public tokenizers' package finds its files; a parameter of the packing operator.
 TOKENIZER = "byte_bpe_50k"
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out():
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,9 +51,19 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeated_strings(_table(spark, sf_dir, "documents"), length=400, keep_bytes=False)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm import langid
+
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~_held_out()))
+    out = langid.label(docs, model, spans=False)
+    return out.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_language_id": op2_language_id,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op8_suffix_array_dedup": op8_suffix_array_dedup,
