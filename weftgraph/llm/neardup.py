@@ -10,12 +10,16 @@
    that prefix is posted.  Pairs of one document alone are skipped outright,
    so common passages, whose values are the frequent ones, post nothing.
 3. Documents of a posting list (kept apart by classes of set size, since
-   similar sets have similar sizes) are first compared with the smallest id of
-   the list alone.  Confirmed links make components; only documents of a list
-   that are then still in different components are compared with one another,
-   the list's largest component standing on one side only.  A group of
-   thousands of copies thus costs one comparison per copy.
-4. Candidates agreeing in `matches` coordinates are confirmed on the full sets.
+   similar sets have similar sizes) are first compared with one leader alone,
+   the one whose pairs are shared most.  A group of thousands of copies costs
+   one comparison per copy, and the confirmed links make components.
+4. What a list holds beside its leader's component is compared by differences.
+   Let x* be the set in which x differs from the leader.  If x is not linked
+   with the leader, it can only be linked with y if x* and y* overlap by more
+   than nearly half of y*; so x* and y* must meet in short prefixes, again
+   rarest first, where the edits of unrelated copies never meet.  The overlap of
+   the differences also decides the link exactly.
+5. Candidates agreeing in `matches` coordinates are confirmed on the full sets.
 
 Defined cases: a null or wordless text has an empty set, is linked with nothing
 and kept; repeated rows collapse like other copies; a null id takes part in no
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.llm import textops
 from weftgraph.llm.components import connected_components
-from weftgraph.llm.shared import cut, only
+from weftgraph.llm.shared import cut, id_bitmap, in_bitmap, only
 
 COORDINATES = 64
 
@@ -91,7 +95,7 @@ def match_threshold(similarity: float, coordinates: int = COORDINATES) -> int:
 
 
 def postings(reps: DataFrame, matches: int, percent: int) -> DataFrame:
-    """(token, class, node): each document under its rarest coordinate-value pairs."""
+    """(token, class, node, score): each document under its rarest coordinate-value pairs; score: how much its pairs are shared."""
     prefix = COORDINATES - matches + 1
     step = math.log(100 / percent)
     tokens = reps.select(F.col("rep").alias("node"), "n_shingles", F.posexplode("sig").alias("_k", "_v"))
@@ -100,8 +104,9 @@ def postings(reps: DataFrame, matches: int, percent: int) -> DataFrame:
     held = tokens.join(often, "token").groupBy("node", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("_t"))
     take = F.greatest(F.lit(0), F.lit(prefix - COORDINATES) + F.size("_t"))
     size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(step) + F.lit(1e-9)).cast("int")
-    posted = held.select("node", size_class.alias("_c"), F.explode(F.slice("_t", F.lit(1), take)).alias("_p"))
-    return posted.select("node", F.col("_p.token").alias("token"), F.explode(F.array(F.col("_c"), F.col("_c") + 1)).alias("class"))
+    score = F.aggregate("_t", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    posted = held.select("node", score.alias("score"), size_class.alias("_c"), F.explode(F.slice("_t", F.lit(1), take)).alias("_p"))
+    return posted.select("node", "score", F.col("_p.token").alias("token"), F.explode(F.array(F.col("_c"), F.col("_c") + 1)).alias("class"))
 
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, matches: int, percent: int) -> DataFrame:
@@ -114,18 +119,8 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int,
         .select("a", "b")
     )
     near = cut(near, "candidates")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # one row for each id: rows that repeat an id are held apart by their set
     kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in textops.slices(batch.column(1), lower=True):
-                got = [s.tobytes() for s in _sets(part, shingle)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.lo, len(part)), pa.array(got, pa.binary())], names=["doc_id", "members"])
-
-    full = docs.join(wanted, "doc_id", "left_semi").mapInArrow(sets, f"doc_id {kind}, members binary")
-    full = cut(full, "sets").dropDuplicates(["doc_id"])
+    full = _members(near, docs, shingle)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,6 +137,90 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int,
     return cut(both.mapInArrow(compare, f"a {kind}, b {kind}"), "links")
 
 
+def _members(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, members): the full sets of the documents in pairs (a, b)."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in textops.slices(batch.column(1), lower=True):
+                got = [s.tobytes() for s in _sets(part, shingle)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.lo, len(part)), pa.array(got, pa.binary())], names=["doc_id", "members"])
+
+    table, bits = id_bitmap(wanted, "doc_id")
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = in_bitmap(table.value, batch.column(2).to_numpy(), bits)
+            if keep.any():
+                yield batch.select([0, 1]).filter(pa.array(keep))
+
+    likely = docs.withColumn("_h", F.xxhash64("doc_id")).mapInArrow(some, f"doc_id {kind}, text string")
+    full = likely.join(wanted, "doc_id", "left_semi").mapInArrow(sets, f"doc_id {kind}, members binary")
+    return cut(full, "sets").dropDuplicates(["doc_id"])
+
+
+def _beside_leaders(stars: DataFrame, links: DataFrame, parts: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) between documents of one star (a: leader, b) of which one isn't linked with the leader.
+
+    With r = (100 - percent) / (100 + percent), x and y are linked if and only
+    if they differ in at most r * (|x| + |y|) members.  Of x* and y*, what x
+    and y differ in from the leader, the symmetric difference is that of x and
+    y.  Where x is not linked with the leader, an overlap of over
+    (1 - r) / 2 * |y*| follows, and for both of |x*| - r * |x| * (1 + 100 / percent).
+    """
+    r, wide = (100 - percent) / (100 + percent), 1 + 100 / percent
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    seen = stars.join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left").fillna(False, ["linked"])
+    open_ = seen.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("linked")).cast("long")).alias("apart")).where("n > 1 AND apart > 0").select("a")
+    need = cut(seen.join(open_, "a"), "open-stars")
+    full = _members(need, docs, shingle)
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, delta, linked = [], [], []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                d = np.setxor1d(x, y, assume_unique=True)
+                size.append(len(y))
+                delta.append(textops.signed(d))
+                linked.append((100 + percent) * len(d) <= (100 - percent) * (len(x) + len(y)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int32()), pa.array(linked, pa.bool_()), pa.array(delta, pa.list_(pa.int64()))], names=["a", "x", "size", "linked", "delta"])
+
+    both = need.join(full.select(F.col("doc_id").alias("a"), F.col("members").alias("ma")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("members").alias("mb")), "b").select("a", "b", "ma", "mb")
+    delta = cut(both.mapInArrow(differ, f"a {kind}, x {kind}, size int, linked boolean, delta array<long>"), "differences")
+    part = parts.select(F.col("node").alias("x"), F.col("component").alias("part"))
+    each = delta.select("a", "x", "size", "linked", F.size("delta").alias("n"), F.explode("delta").alias("member"))
+    often = each.groupBy("a", "member").agg(F.count(F.lit(1)).alias("_f")).where("_f > 1")
+    held = each.join(often, ["a", "member"]).groupBy("a", "x", "size", "linked", "n").agg(F.array_sort(F.collect_list(F.struct("_f", "member"))).alias("_m"))
+    held = held.join(part, "x", "left").withColumn("part", F.coalesce("part", "x"))
+    alone = F.col("n") - F.size("_m")
+    least = F.col("n") - F.lit(r * wide) * F.col("size")
+    overlap = F.greatest(F.lit(1), F.ceil(least - 1e-6))
+    index = F.greatest(overlap, F.ceil(F.lit((1 - r) / 2) * F.col("n") - 1e-6))
+    short = lambda o: F.greatest(F.lit(0), F.col("n") - o + 1 - alone).cast("int")
+    held = cut(held.select("a", "x", "size", "linked", "n", "part", "_m", short(index).alias("_i"), short(overlap).alias("_o")), "prefixes")
+    left = held.where("NOT linked").select("a", F.col("x").alias("u"), F.col("size").alias("su"), F.col("n").alias("nu"), F.col("part").alias("pu"), F.explode(F.slice(F.col("_m.member"), F.lit(1), F.col("_o"))).alias("member"))
+    right = held.select("a", F.col("x").alias("y"), F.col("size").alias("sy"), F.col("n").alias("ny"), F.col("part").alias("py"), "linked", F.explode(F.slice(F.col("_m.member"), F.lit(1), F.col("_i"))).alias("member"))
+    meet = left.join(right, ["a", "member"]).where((F.col("pu") != F.col("py")) & (F.col("linked") | (F.col("u") < F.col("y"))) & (F.abs(F.col("nu") - F.col("ny")) <= F.lit(r) * (F.col("su") + F.col("sy")) + 1e-6))
+    pairs = cut(meet.select("a", "u", "y").distinct(), "different")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for su, sy, du, dy in zip(batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4), batch.column(5)):
+                du, dy = du.values.to_numpy(), dy.values.to_numpy()
+                far = len(du) + len(dy) - 2 * len(np.intersect1d(du, dy, assume_unique=True))
+                keep.append((100 + percent) * far <= (100 - percent) * (int(su) + int(sy)))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    own = delta.select("a", F.col("x").alias("u"), F.col("size").alias("su"), F.col("delta").alias("du"))
+    other = delta.select("a", F.col("x").alias("y"), F.col("size").alias("sy"), F.col("delta").alias("dy"))
+    checked = pairs.join(own, ["a", "u"]).join(other, ["a", "y"]).select(F.col("u").alias("a"), F.col("y").alias("b"), "su", "sy", "du", "dy")
+    return cut(checked.mapInArrow(compare, f"a {kind}, b {kind}"), "more-links")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
@@ -158,21 +237,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     posted = cut(postings(nodes, matches, percent), "postings")
     lists = ["token", "class"]
 
-    leader = posted.groupBy(*lists).agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = posted.join(leader, lists).where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    leader = posted.groupBy(*lists).agg(F.max(F.struct("score", "node")).getField("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stars = cut(posted.join(leader, lists).where("node <> a").select("a", F.col("node").alias("b")).distinct(), "stars")
     links = _confirmed(stars, nodes, docs, shingle, matches, percent)
-    parts = connected_components(links, "a", "b")
-
-    labelled = posted.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    per = labelled.groupBy(*lists, "component").agg(F.count(F.lit(1)).alias("n"))
-    main = per.groupBy(*lists).agg(F.max(F.struct("n", "component")).getField("component").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    mixed = cut(labelled.join(main, lists), "mixed")
-    few = mixed.where("component <> main").select(*lists, F.col("node").alias("x"), F.col("component").alias("cx"))
-    rest = mixed.select(*lists, F.col("node").alias("y"), F.col("component").alias("cy"), "main")
-    # of two documents outside the main component, the pair is taken once
-    cross = few.join(rest, lists).where("cx <> cy AND (cy = main OR x < y)")
-    cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _confirmed(cross, nodes, docs, shingle, matches, percent)
+    parts = cut(connected_components(links, "a", "b"), "parts")
+    more = _beside_leaders(stars, links, parts, docs, shingle, percent)
     parts = cut(connected_components(links.union(more), "a", "b"), "components")
 
     found = reps.select("set_key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("_component"))
