@@ -60,10 +60,17 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm import pii
+
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_language_id": op2_language_id,
+        "op5_pii": op5_pii,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op8_suffix_array_dedup": op8_suffix_array_dedup,
