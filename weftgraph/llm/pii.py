@@ -101,8 +101,8 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(F.coalesce(yes, F.lit(False)), F.lit("+")).when(F.coalesce(no, F.lit(False)), F.lit("-")).otherwise(F.lit("0"))
 
 
-def _labelled(found: Column, kind: str, text: Column, strict) -> Column:
-    """Candidates with the labelers' votes as a string, and whether they are strict."""
+def _labelled(found: Column, kind: str, text: Column, strict=None) -> Column:
+    """Candidates with the labelers' votes as a string, and whether they are strict (no check: loose, and no vote on it)."""
     layout = {
         "email": lambda m: (m.rlike(r"\.[A-Za-z]{2,24}$"), m.rlike(r"\.\.|^\.|-$")),
         "ip": lambda m: (m.rlike(r"^[1-9][0-9]{0,2}(?:\.(?:0|[1-9][0-9]{0,2})){3}$"), m.rlike(r"(?:^|\.)0[0-9]")),
@@ -120,8 +120,8 @@ def _labelled(found: Column, kind: str, text: Column, strict) -> Column:
 
     def one(x: Column) -> Column:
         before = F.substring(text, F.greatest(F.lit(1), x["s"] - 39), F.least(F.lit(40), x["s"]))
-        ok = strict(x["m"])
-        votes = F.concat(_vote(ok, ~ok), _vote(*layout(x["m"])), _vote(*known(x["m"])), _vote((before.rlike(CONTEXT[kind])) if kind != "secret" else x["m"].rlike(CONTEXT[kind]), before.rlike(OTHER_USE)))
+        ok = strict(x["m"]) if strict else F.lit(False)
+        votes = F.concat(_vote(ok, ~ok) if strict else F.lit("0"), _vote(*layout(x["m"])), _vote(*known(x["m"])), _vote((before.rlike(CONTEXT[kind])) if kind != "secret" else x["m"].rlike(CONTEXT[kind]), before.rlike(OTHER_USE)))
         size = F.least(F.lit(LENGTHS - 1), F.floor((x["e"] - x["s"]) / 8)).cast("string")
         return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), ok.alias("strict"), F.concat(F.lit(f"{kind} "), votes, F.lit(" "), size).alias("key"))
 
@@ -130,16 +130,16 @@ def _labelled(found: Column, kind: str, text: Column, strict) -> Column:
 
 def candidates(text: Column) -> Column:
     """All candidates of a text by place: array<struct<kind, s, e, strict, key>>."""
-    yes, no = (lambda m: F.lit(True)), (lambda m: F.lit(False))
+    yes = lambda m: F.lit(True)
     at = F.contains(text, F.lit("@"))
     parts = [
         _labelled(_matches(text, EMAIL, at), "email", text, yes),
         _labelled(_matches(text, IP, text.rlike(r"[0-9]\.[0-9]")), "ip", text, _octets),
         _labelled(F.filter(_matches(text, CARD, text.rlike(r"[0-9](?:[ -]?[0-9]){13}")), lambda x: _n_digits(x["m"]).between(14, 19)), "card", text, _luhn),
         _labelled(_matches(text, PHONE, F.contains(text, F.lit("+")) & text.rlike(r"\+[0-9]")), "phone", text, lambda m: _n_digits(m).between(10, 15)),
-        _labelled(_matches(text, SPELT, text.rlike(r"(?i)[(\[]at[)\]]")), "email", text, no),
-        _labelled(_matches(text, LOCAL_PHONE, text.rlike(r"[0-9]{3}[ .-][0-9]{4}")), "phone", text, no),
-        _labelled(_matches(text, SECRET, F.contains(text, F.lit('"')) & text.rlike(r"(?i)(?:token|secret|passw|key)")), "secret", text, no),
+        _labelled(_matches(text, SPELT, text.rlike(r"(?i)[(\[]at[)\]]")), "email", text),
+        _labelled(_matches(text, LOCAL_PHONE, text.rlike(r"[0-9]{3}[ .-][0-9]{4}")), "phone", text),
+        _labelled(_matches(text, SECRET, F.contains(text, F.lit('"')) & text.rlike(r"(?i)(?:token|secret|passw|key)")), "secret", text),
     ]
     return F.concat(*parts)
 
@@ -168,7 +168,10 @@ def expectation_maximisation(cells: list[tuple[str, str, int, int]], rounds: int
 
     Two classes per kind; given the class, labelers vote independently.  It
     starts from the share of votes in favour, and a labeler is taken to be
-    right more often than not, which fixes which class is which.
+    right more often than not, which fixes which class is which.  The first
+    labeler, the strict pattern's check (a check digit above all), has a prior
+    as heavy as half of all candidates for being right: what fails it is only
+    taken up against that if the others together are surer.
     """
     out: dict[tuple[str, str], float] = {}
     for kind in sorted({c[0] for c in cells}):
@@ -177,14 +180,16 @@ def expectation_maximisation(cells: list[tuple[str, str, int, int]], rounds: int
             if k == kind:
                 hist[votes] = hist.get(votes, 0) + n
         total, width = sum(hist.values()), len(next(iter(hist)))
-        post = {v: (0.5 + v.count("+")) / (1 + v.count("+") + v.count("-")) for v in hist}
+        heavy = {v: v + v[0] * 4 for v in hist}
+        post = {v: (0.5 + h.count("+")) / (1 + h.count("+") + h.count("-")) for v, h in heavy.items()}
         for _ in range(rounds):
             prior = (sum(post[v] * n for v, n in hist.items()) + 1) / (total + 2)
             like = []
             for j in range(width):
                 table = {}
                 for y in (1, 0):
-                    mass = {s: 1.0 + (1.0 if s == ("+" if y else "-") else 0.0) for s in "+-0"}
+                    right = "+" if y else "-"
+                    mass = {s: 1.0 + (s == right) * (1.0 + (0.5 * total if j == 0 else 0.0)) for s in "+-0"}
                     for v, n in hist.items():
                         mass[v[j]] += n * (post[v] if y else 1 - post[v])
                     norm = sum(mass.values())
