@@ -66,6 +66,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm import warc
+
+    return warc.round_trip(_table(spark, sf_dir, "pages"), min_bytes=1000).drop("url")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -74,9 +80,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_substring_dedup": op6_substring_dedup,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op8_suffix_array_dedup": op8_suffix_array_dedup,
+        "op9_warc": op9_warc,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+m AS (SELECT h, max(page_id) AS head FROM d WHERE n >= 1000 GROUP BY h)
+SELECT d.page_id, CAST(n AS BIGINT) AS payload_bytes, d.h AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> head THEN head END AS refers_to
+FROM d LEFT JOIN m USING (h)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": WARC_SQL}
