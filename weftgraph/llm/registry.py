@@ -72,10 +72,17 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"), min_bytes=1000).drop("url")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm import neighbours
+
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_language_id": op2_language_id,
+        "op3_nearest_neighbours": op3_nearest_neighbours,
         "op5_pii": op5_pii,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
