@@ -78,11 +78,20 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm import licenses
+
+    docs = _table(spark, sf_dir, "documents")
+    # documents have no path of their own: source and language are their directories
+    return licenses.scan(docs.withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_language_id": op2_language_id,
         "op3_nearest_neighbours": op3_nearest_neighbours,
+        "op4_license_scan": op4_license_scan,
         "op5_pii": op5_pii,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
@@ -103,4 +112,6 @@ FROM d LEFT JOIN m USING (h)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": WARC_SQL}
+    from weftgraph.llm import licenses
+
+    return {"op4_license_scan": licenses.oracle(), "op9_warc": WARC_SQL}
