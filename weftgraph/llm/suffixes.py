@@ -38,8 +38,9 @@ from weftgraph.llm.induction import repeats
 from weftgraph.llm.shared import cut, id_bitmap, in_bitmap, only
 from weftgraph.llm.substrings import with_marks
 
-SHARD_BYTES = 4 << 20
-QUEUE_BYTES = 64 << 20
+SHARD_BYTES = 1 << 20
+QUEUE_BYTES = 16 << 20
+SLICE_BYTES = 1 << 19
 
 
 def _grams(part: textops.Slice, gram: int) -> np.ndarray:
@@ -51,7 +52,7 @@ def _grams(part: textops.Slice, gram: int) -> np.ndarray:
 def _anchors(docs: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in textops.slices(batch.column(1)):
+            for part in textops.slices(batch.column(1), size=SLICE_BYTES):
                 if len(part.buf) < length:
                     continue
                 grams = _grams(part, gram)
@@ -70,7 +71,7 @@ def _runs(docs: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in textops.slices(batch.column(1)):
+            for part in textops.slices(batch.column(1), size=SLICE_BYTES):
                 if len(part.buf) < length:
                     continue
                 marked = np.zeros(len(part.buf) + 1, bool)
