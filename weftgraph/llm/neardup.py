@@ -100,7 +100,7 @@ def postings(reps: DataFrame, matches: int, percent: int) -> DataFrame:
     step = math.log(100 / percent)
     tokens = reps.select(F.col("rep").alias("node"), "n_shingles", F.posexplode("sig").alias("_k", "_v"))
     tokens = tokens.select("node", "n_shingles", (F.shiftleft(F.col("_k").cast("long"), 32) + F.col("_v")).alias("token"))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    often = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
     held = tokens.join(often, "token").groupBy("node", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("_t"))
     take = F.greatest(F.lit(0), F.lit(prefix - COORDINATES) + F.size("_t"))
     size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(step) + F.lit(1e-9)).cast("int")

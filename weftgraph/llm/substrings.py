@@ -120,7 +120,7 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     source, before, length = docs, None, base
     while True:
         anchors = cut(_anchors(source, kind, window, length, before), "anchors")
-        often = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+        often = cut(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "often")
         marks = cut(anchors.join(often, "gram").groupBy("doc_id").agg(F.collect_set("at").alias("marks")), "marks")
         source, before = with_marks(docs, marks, kind), length
         if length * 2 >= window:

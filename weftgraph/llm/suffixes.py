@@ -150,7 +150,7 @@ def repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     docs = only(docs, id_col, text_col).withColumnRenamed(id_col, "doc_id").withColumnRenamed(text_col, "text").where("doc_id IS NOT NULL").where(F.octet_length("text") >= length)
     kind = docs.schema["doc_id"].dataType.simpleString()
     anchors = cut(_anchors(docs, kind, length, gram), "anchors")
-    often = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    often = cut(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "often")
     marks = cut(anchors.join(often, "gram").groupBy("doc_id").agg(F.collect_set("at").alias("marks")), "marks")
     runs = cut(_runs(with_marks(docs, marks, kind), kind, length, gram), "runs")
     per_run = runs.groupBy("gram", "run").agg(F.min(F.struct("doc_id", "at")).alias("head"), F.countDistinct("doc_id", "at").alias("_c"))
