@@ -134,36 +134,33 @@ def _occurrences(ix: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, fi
     return start[same], window[same]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_words, hits (start and end words of merged runs, flat), items, shares.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8) -> DataFrame:
+    """docs with _n_words, _hits (start and end words of merged runs, flat), _items, _shares.
 
-    items: ids as strings of the items with a window in the document; shares:
+    _items: ids as strings of the items with a window in the document; _shares:
     for each the part of its distinct windows that occur.
     """
     spark = docs.sparkSession
-    docs = only(docs, id_col, text_col).withColumnRenamed(id_col, "doc_id").withColumnRenamed(text_col, "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    columns = docs.columns
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.sum(F.size(F.split("text", " ")))).head()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_WORDS))
-    out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("hits"), F.array().cast("array<string>").alias("items"), F.array().cast("array<double>").alias("shares"))
-    fields = f"doc_id {kind}, text string, n_words long, hits array<long>, items array<string>, shares array<double>"
+    out = docs.select("*", F.lit(0).cast("long").alias("_n_words"), F.array().cast("array<long>").alias("_hits"), F.array().cast("array<string>").alias("_items"), F.array().cast("array<double>").alias("_shares"))
     for block in range(blocks):
         # one block of the benchmark, bounded by BLOCK_WORDS (twice that if ids hash unevenly)
         rows = [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()]
         found = _windows(rows, window)
         names = sorted({n for n, _ in rows})
-        ix = _index(docs, found, names) if found else None
+        ix = _index(docs.select(F.col(text_col).alias("text")), found, names) if found else None
         of_item = np.bincount(ix["item"], minlength=len(names)) if ix else None
         shared = spark.sparkContext.broadcast((ix, names, of_item))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ix, names, of_item = shared.value
             for batch in batches:
-                hits_in, items_in, shares_in = (batch.column(k) for k in (3, 4, 5))
-                for part, one, two, first in _lower_words(batch.column(1)):
+                for part, one, two, first in _lower_words(batch.column(text_col)):
                     lo, n = part.lo, len(part)
-                    hits, items_, shares = (c.slice(lo, n).to_pylist() for c in (hits_in, items_in, shares_in))
+                    hits, items_, shares = (batch.column(c).slice(lo, n).to_pylist() for c in ("_hits", "_items", "_shares"))
                     start, win = _occurrences(ix, one, two, first) if ix else (np.zeros(0, np.int64),) * 2
                     if len(start):
                         doc = np.searchsorted(first, start, "right") - 1
@@ -180,12 +177,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
                                 items_[d].append(names[i])
                                 shares[d].append(float(got[i] / of_item[i]))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(np.diff(first).astype(np.int64)), pa.array(hits, pa.list_(pa.int64())), pa.array(items_, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))],
-                        names=["doc_id", "text", "n_words", "hits", "items", "shares"],
+                        [*(batch.column(c).slice(lo, n) for c in columns), pa.array(np.diff(first).astype(np.int64)), pa.array(hits, pa.list_(pa.int64())), pa.array(items_, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))],
+                        names=[*columns, "_n_words", "_hits", "_items", "_shares"],
                     )
 
-        out = out.mapInArrow(run, fields)
-    return out if keep_text else out.drop("text")
+        out = out.mapInArrow(run, out.schema)
+    return out
 
 
 def _merged(runs: list[tuple[int, int]]) -> list[int]:
@@ -200,12 +197,13 @@ def _merged(runs: list[tuple[int, int]]) -> list[int]:
 
 def is_contaminated(min_items: int = 2, min_share: float = 0.5):
     """Whether windows of several items, or a good part of one item's windows, occur."""
-    return (F.size("items") >= min_items) | F.exists("shares", lambda x: x >= min_share)
+    return (F.size("_items") >= min_items) | F.exists("_shares", lambda x: x >= min_share)
 
 
-def decontamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def decontamination_report(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """find_leaks() as counts: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (two items or more)."""
-    leaks = find_leaks(docs, benchmark, **options)
-    lengths = F.aggregate("hits", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("sign")), lambda s, x: F.struct((s["n"] + x * s["sign"]).alias("n"), (-s["sign"]).alias("sign")), lambda s: s["n"])
-    n_items = F.size("items").cast("long")
-    return leaks.select("doc_id", "n_words", lengths.alias("n_hit"), n_items.alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_items >= 2).alias("contaminated"))
+    leaks = find_leaks(only(docs, id_col, text_col), benchmark, text_col=text_col, **options)
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("sign"))
+    n_hit = F.aggregate("_hits", none, lambda s, x: F.struct((s["n"] + x * s["sign"]).alias("n"), (-s["sign"]).alias("sign")), lambda s: s["n"])
+    n_items = F.size("_items").cast("long")
+    return leaks.select(F.col(id_col).alias("doc_id"), F.col("_n_words").alias("n_words"), n_hit.alias("n_hit"), n_items.alias("n_items"), F.sha2(F.array_join(F.array_sort("_items"), ","), 256).alias("items_sha256"), (n_items >= 2).alias("contaminated"))

@@ -28,8 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weftgraph.llm.shared import only
-
 BUCKETS = 1 << 15
 #: Rows of the training sample at most.
 SAMPLE_ROWS = 20_000
@@ -198,19 +196,20 @@ def train(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id
     return Model(langs, logs.astype(np.float32), scripts >= 0.01 * scripts.sum(axis=0))
 
 
-def label(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", spans: bool = True, switch: float = SWITCH) -> DataFrame:
-    """doc_id, lang_pred, score and, if asked for, spans (word starts and languages) of each row."""
-    rows = only(docs, id_col, text_col)
-    kind = rows.schema[id_col].dataType.simpleString()
+def label(docs: DataFrame, model: Model, *, text_col: str = "text", spans: bool = True, switch: float = SWITCH) -> DataFrame:
+    """docs with _lang, _score and, if asked for, _spans (word starts and languages) of each row."""
+    columns = docs.columns
     langs = model.langs
     shared = docs.sparkSession.sparkContext.broadcast((langs, model.logs, model.writes))
-    fields = f"doc_id {kind}, lang_pred string, score double" + (", spans array<struct<word: int, lang: string>>" if spans else "")
+    fields = docs.select("*", F.lit("").alias("_lang"), F.lit(0.0).alias("_score"), F.array().cast("array<struct<word:int,lang:string>>").alias("_spans")).schema
+    names = [*columns, "_lang", "_score", *["_spans"] * spans]
+    fields = type(fields)(fields.fields[: len(names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
             at, n = 0, len(batch)
-            texts = batch.column(1)
+            texts = batch.column(text_col)
             while at < n:
                 words: list[str] = []
                 first = [0]
@@ -234,13 +233,13 @@ def label(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                     total = tally.sum(axis=1)
                     share = np.where(total > 0, tally.max(axis=1) / np.maximum(total, 1), 0)
                 filled = np.diff(off) > 0
-                cols = [batch.column(0).slice(begin, at - begin), pa.array([langs[b] if ok else "und" for b, ok in zip(best, filled)]), pa.array(share)]
+                cols = [*(batch.column(c).slice(begin, at - begin) for c in columns), pa.array([langs[b] if ok else "und" for b, ok in zip(best, filled)]), pa.array(share)]
                 if spans:
                     got = []
                     for a, b in zip(off[:-1], off[1:]):
                         edge = np.flatnonzero(np.concatenate(([True], path[a + 1 : b] != path[a : b - 1]))) if b > a else []
                         got.append([{"word": int(e), "lang": langs[path[a + e]]} for e in edge])
                     cols.append(pa.array(got, pa.list_(pa.struct([("word", pa.int32()), ("lang", pa.string())]))))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score", "spans"][: len(cols)])
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return rows.mapInArrow(run, fields)
+    return docs.mapInArrow(run, fields)

@@ -56,8 +56,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~_held_out()))
-    out = langid.label(docs, model, spans=False)
-    return out.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+    out = langid.label(docs.select("doc_id", "text"), model, spans=False)
+    return out.select("doc_id", _held_out().alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
