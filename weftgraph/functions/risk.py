@@ -29,7 +29,7 @@ def symbol_score(**parts: Column) -> Column:
     total = F.lit(0.0)
     for c in factors(**parts).values():
         total = total + c
-    return F.least(F.lit(100.0), F.round(total, 1))
+    return F.least(F.lit(100.0), F.round(F.round(total, 6), 1))
 
 
 def overall(score: str) -> Column:
