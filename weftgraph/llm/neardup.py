@@ -194,16 +194,19 @@ def _beside_leaders(stars: DataFrame, links: DataFrame, parts: DataFrame, docs:
     each = delta.select("a", "x", "size", "linked", F.size("delta").alias("n"), F.explode("delta").alias("member"))
     often = each.groupBy("a", "member").agg(F.count(F.lit(1)).alias("_f")).where("_f > 1")
     held = each.join(often, ["a", "member"]).groupBy("a", "x", "size", "linked", "n").agg(F.array_sort(F.collect_list(F.struct("_f", "member"))).alias("_m"))
-    held = held.join(part, "x", "left").withColumn("part", F.coalesce("part", "x"))
+    shared = need.groupBy(F.col("b").alias("x")).agg(F.collect_set("a").alias("stars"))  # no more than its posting lists
+    held = held.join(part, "x", "left").withColumn("part", F.coalesce("part", "x")).join(shared, "x")
     alone = F.col("n") - F.size("_m")
     least = F.col("n") - F.lit(r * wide) * F.col("size")
     overlap = F.greatest(F.lit(1), F.ceil(least - 1e-6))
     index = F.greatest(overlap, F.ceil(F.lit((1 - r) / 2) * F.col("n") - 1e-6))
     short = lambda o: F.greatest(F.lit(0), F.col("n") - o + 1 - alone).cast("int")
-    held = cut(held.select("a", "x", "size", "linked", "n", "part", "_m", short(index).alias("_i"), short(overlap).alias("_o")), "prefixes")
-    left = held.where("NOT linked").select("a", F.col("x").alias("u"), F.col("size").alias("su"), F.col("n").alias("nu"), F.col("part").alias("pu"), F.explode(F.slice(F.col("_m.member"), F.lit(1), F.col("_o"))).alias("member"))
-    right = held.select("a", F.col("x").alias("y"), F.col("size").alias("sy"), F.col("n").alias("ny"), F.col("part").alias("py"), "linked", F.explode(F.slice(F.col("_m.member"), F.lit(1), F.col("_i"))).alias("member"))
-    meet = left.join(right, ["a", "member"]).where((F.col("pu") != F.col("py")) & (F.col("linked") | (F.col("u") < F.col("y"))) & (F.abs(F.col("nu") - F.col("ny")) <= F.lit(r) * (F.col("su") + F.col("sy")) + 1e-6))
+    held = cut(held.select("a", "x", "size", "linked", "n", "part", "stars", "_m", short(index).alias("_i"), short(overlap).alias("_o")), "prefixes")
+    left = held.where("NOT linked").select("a", F.col("x").alias("u"), F.col("size").alias("su"), F.col("n").alias("nu"), F.col("part").alias("pu"), F.col("stars").alias("tu"), F.explode(F.slice(F.col("_m.member"), F.lit(1), F.col("_o"))).alias("member"))
+    right = held.select("a", F.col("x").alias("y"), F.col("size").alias("sy"), F.col("n").alias("ny"), F.col("part").alias("py"), F.col("stars").alias("ty"), "linked", F.explode(F.slice(F.col("_m.member"), F.lit(1), F.col("_i"))).alias("member"))
+    # a pair of several stars in common is compared in the first of them alone
+    once = F.array_min(F.array_intersect("tu", "ty")) == F.col("a")
+    meet = left.join(right, ["a", "member"]).where((F.col("pu") != F.col("py")) & once & (F.col("linked") | (F.col("u") < F.col("y"))) & (F.abs(F.col("nu") - F.col("ny")) <= F.lit(r) * (F.col("su") + F.col("sy")) + 1e-6))
     pairs = cut(meet.select("a", "u", "y").distinct(), "different")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
