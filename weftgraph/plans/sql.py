@@ -17,14 +17,12 @@ def read_only(spark: SparkSession, statement: str, limit: int | None = 200) -> D
     """
     parser = spark._jsparkSession.sessionState().sqlParser()
     plan = parser.parsePlan(statement)
+    loader = plan.getClass().getClassLoader()
+    refused = [loader.loadClass(f"org.apache.spark.sql.catalyst.plans.logical.{n}") for n in ("Command", "ParsedStatement")]
     queue = [plan]
     while queue:
         node = queue.pop()
-        names, cls = [], node.getClass()
-        while cls is not None:
-            names += [cls.getName(), *(i.getName() for i in cls.getInterfaces())]
-            cls = cls.getSuperclass()
-        if any(n.rsplit(".", 1)[-1] in ("Command", "ParsedStatement", "V2WriteCommand", "LeafRunnableCommand", "CompoundBody") for n in names):
+        if any(c.isInstance(node) for c in refused):
             raise NotReadOnly(f"{node.nodeName()} is not a query")
         children = node.children()
         queue += [children.apply(i) for i in range(children.size())]

@@ -71,6 +71,12 @@ def kind(path: Column) -> Column:
     return F.coalesce(F.try_element_at(by_name, name), F.try_element_at(by_extension, extension))
 
 
+def cp1252(content: Column) -> Column:
+    """Bytes as cp1252: Latin-1 but for the 27 characters that it has between 0x80 and 0x9F."""
+    own = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+    return F.translate(F.decode(content, "iso-8859-1"), "".join(own), "".join(own.values()))
+
+
 def scan(spark, root: str, ignore: list[str] = ()) -> DataFrame:
     """(path, kind, size, modified, text): readable files under root, by relative path.
 
@@ -85,5 +91,5 @@ def scan(spark, root: str, ignore: list[str] = ()) -> DataFrame:
     rows = files.select(rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
     rows = rows.where((F.col("size") <= MAX_FILE_BYTES) & ~matches_any(F.col("path"), list(ignore))).withColumn("kind", kind(F.col("path"))).where("kind IS NOT NULL")
     rows = rows.where(F.instr(F.hex(F.substring("content", 1, 8192)), "00") % 2 != 1)
-    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "windows-1252"))
+    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), cp1252(F.col("content")))
     return rows.select("path", "kind", "size", "modified", F.regexp_replace(text, "^﻿", "").alias("text"))

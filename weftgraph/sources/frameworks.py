@@ -36,7 +36,7 @@ def _string_lines(files: DataFrame) -> DataFrame:
     lines = files.where("kind = 'python'").select("path", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     quotes = F.size(F.split("line", '"""|\'\'\'')) - 1
     before = F.sum(quotes).over(Window.partitionBy("path").orderBy("n")) - quotes
-    return lines.where(before % 2 == 1).select("path", (F.col("n") + 1).alias("line"))
+    return lines.withColumn("before", before).where("before % 2 = 1").select("path", (F.col("n") + 1).alias("line"))
 
 
 def detect(files: DataFrame, entities: DataFrame) -> DataFrame:
