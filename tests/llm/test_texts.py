@@ -1,0 +1,247 @@
+"""Packing, language, decontamination, personal data, licenses, archives, neighbours and the pipeline."""
+
+import hashlib
+import io
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from weftgraph.llm import decontaminate, langid, licenses, neighbours, packing, pii, warc
+
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def test_packing(docs, texts):
+    pieces = packing.tokenize_pieces(docs, RANKS, PATTERN)
+    rows = packing.pack(pieces).collect()
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    by_doc, by_seq = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_seq.setdefault(r.sequence_id, []).append(r)
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and r.length == len(r.ids)
+    for i, t in texts:
+        parts = sorted(by_doc[i], key=lambda r: r.piece)
+        ids = [x for r in parts for x in r.ids]
+        assert ids == tok.encode(t or "", add_special_tokens=False).ids + [2]
+        assert [r.start for r in parts] == [sum(p.length for p in parts[:k]) for k in range(len(parts))]
+        assert all(r.length == 1024 for r in parts[1:])
+    for parts in by_seq.values():
+        parts.sort(key=lambda r: r.offset)
+        assert [r.offset for r in parts] == [sum(p.length for p in parts[:k]) for k in range(len(parts))] and sum(r.length for r in parts) <= 1024
+    assert len(by_seq) <= -(-sum(r.length for r in rows) // 1024) + 2
+
+
+def test_packing_odd_rows(spark, empty):
+    assert packing.pack(packing.tokenize_pieces(empty, RANKS, PATTERN)).count() == 0
+    df = spark.createDataFrame([(1, None), (1, None), (None, "a")], "doc_id long, text string")
+    rows = packing.pack(packing.tokenize_pieces(df, RANKS, PATTERN)).collect()
+    assert sorted(r.length for r in rows) == [1, 1, 2] and len({r.offset for r in rows}) == 3
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), min_size=1))
+def test_slack_plan(counts):
+    left = dict(counts)
+    for bin_, times in packing.slack_plan(counts, 64):
+        assert sum(l * m for l, m in bin_) <= 64 and times > 0
+        for l, m in bin_:
+            left[l] -= m * times
+    assert not any(left.values())
+
+
+def test_first_bin_is_the_fullest():
+    counts = {50: 1, 9: 1, 7: 2, 4: 1}
+    assert packing.slack_plan(counts, 64)[0][0] == [(50, 1), (7, 2)]
+
+
+LANGS = {"en": "the cat and the dog were walking with another house thing", "fr": "le chat avec une maison près de la rivière où nous étions", "ru": "кошка и собака шли по дороге к дому вместе с нами"}
+
+
+def corpus(spark):
+    r = random.Random(1)
+    rows = [(k, " ".join(r.choice(LANGS[lang].split()) for _ in range(40)), lang) for k in range(90) for lang in [list(LANGS)[k % 3]]]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_language(spark, empty):
+    train = corpus(spark)
+    model = langid.train(train.where("doc_id % 5 <> 0"))
+    assert model.langs == ["en", "fr", "ru"]
+    got = langid.label(train, model).where("doc_id % 5 = 0").collect()
+    assert all(r._lang == r.lang and r._score > 0.9 for r in got)
+    mixed = LANGS["en"] + ". " + LANGS["fr"] + ". " + LANGS["ru"]
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !?"), (4, mixed), (4, mixed)], "doc_id long, text string")
+    out = sorted(langid.label(odd, model).collect(), key=lambda r: r.doc_id)
+    assert [r._lang for r in out[:3]] == ["und"] * 3 and [r._score for r in out[:3]] == [0.0] * 3
+    assert [s.lang for s in out[3]._spans] == ["en", "fr", "ru"] and out[3]._spans == out[4]._spans
+    assert langid.label(odd, langid.train(empty.withColumn("lang", F.lit("")))).where("_lang <> 'und'").count() == 0
+
+
+def test_viterbi_is_optimal():
+    r = np.random.default_rng(2)
+    sizes = [0, 1, 5, 7, 3]
+    first = np.cumsum([0, *sizes])
+    scores = r.normal(size=(first[-1], 3)) * 4
+    path = langid.viterbi(scores.astype(np.float32), first, 2.0)
+    for a, b in zip(first[:-1], first[1:]):
+        value = lambda p: sum(scores[a + k, s] for k, s in enumerate(p)) - 2.0 * sum(x != y for x, y in zip(p, p[1:]))
+        every = [p for p in np.ndindex(*[3] * (b - a))]
+        assert value(path[a:b]) >= max(map(value, every)) - 1e-4
+
+
+def test_decontamination(spark, docs, texts, empty):
+    words = (texts[0][1] or "").split()
+    items = [(1, " ".join(words[5:25])), (2, " ".join(words[20:30]).upper()), (3, "one"), (4, None), (5, "never seen here at all anywhere in it"), (1, " ".join(words[:9]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    split = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    windows: dict = {}
+    for i, t in items:
+        w = split.findall(low(t))
+        n = min(8, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[k : k + n]), set()).add(str(i))
+    want = {}
+    for d, t in texts:
+        w, hit, held = split.findall(low(t)), set(), set()
+        for k in range(len(w)):
+            for n in range(1, 9):
+                if k + n <= len(w) and (found := windows.get(tuple(w[k : k + n]))):
+                    hit.update(range(k, k + n))
+                    held |= found
+        want[d] = (len(w), len(hit), len(held), hashlib.sha256(",".join(sorted(held)).encode()).hexdigest(), len(held) >= 2)
+    run = lambda: {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.decontamination_report(docs, bench).collect()}
+    assert run() == want
+    whole, decontaminate.BLOCK_WORDS = decontaminate.BLOCK_WORDS, 12
+    try:
+        assert run() == want  # the benchmark in several blocks
+    finally:
+        decontaminate.BLOCK_WORDS = whole
+    assert decontaminate.decontamination_report(docs, bench.limit(0)).where("contaminated").count() == 0
+    assert decontaminate.decontamination_report(empty, bench).count() == 0
+
+
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": "[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def strict_spans(t):
+    out = []
+    for order, (kind, pattern) in enumerate(PLAIN.items()):
+        for m in re.finditer(pattern, t):
+            d = re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and any(int(x) > 255 for x in m.group().split(".")):
+                continue
+            if kind == "card":
+                double = [int(c) if k % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for k, c in enumerate(reversed(d))]
+                if not 14 <= len(d) <= 19 or sum(double) % 10:
+                    continue
+            if kind == "phone" and not 10 <= len(d) <= 15:
+                continue
+            out.append((m.start(), order, m.end(), kind))
+    return ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(out))
+
+
+def test_personal_data(spark, docs, empty):
+    r = random.Random(4)
+    rows = ["mail a.b@c.de, x@y.z.", "é 1.2.3.4.5.6.7.8 and 256.1.1.1", "4111 1111 1111 1111 or 4111111111111112", "+1 (212) 555-0100+1 5", None, "", "@@@ a@b a@b. +", "7" * 9000 + "@" + "x" * 9000, 'token = "abcdef0123456789abcdef0123456789"']
+    rows += ["".join(r.choice("ab1 4.@+-()%é7") for _ in range(r.randrange(200))) for _ in range(150)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "doc_id long, text string")
+    got = {x.doc_id: x for x in pii.report(df).collect()}
+    for k, t in enumerate(rows):
+        want = strict_spans(t or "")
+        assert got[k].base_sha256 == hashlib.sha256(want.encode()).hexdigest(), t
+        assert set(filter(None, want.split(","))) <= set(got[k].spans.split(","))
+    assert pii.report(empty).count() == 0
+    masked = {x.doc_id: x.text for x in pii.redact(df).collect()}
+    assert masked[0] == "mail [EMAIL], [EMAIL]." and masked[4] is None and masked[5] == ""
+    assert pii.redact(docs).columns == docs.columns
+
+
+def test_pii_models():
+    cells = [("card", "++++", 1, 50), ("card", "-0-0", 1, 60), ("card", "-++0", 1, 20)]
+    post = pii.expectation_maximisation(cells, 50)
+    assert post["card", "++++"] > 0.9 and post["card", "-0-0"] < 0.1 and post["card", "-++0"] < 0.5
+
+
+def test_licenses(spark, empty):
+    rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.py", "code"), (3, "a/b/c/y.py", "Licensed under the Apache License, Version 2.0.\ncode " * 3), (4, "z.py", "code"), (5, None, None), (6, "a/b/LICENSE.txt", "This work is licensed under the GNU General Public License, version 3."), (7, "d/e.txt", "Copyright nobody in particular")]
+    got = {r.doc_id: (r.license, r.origin, r.directory) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("MIT", "own", None), 2: ("GPL-3.0", "inherited", "a/b"), 3: ("Apache-2.0", "own", None), 4: (None, None, None), 5: (None, None, None), 6: ("GPL-3.0", "own", None), 7: (None, None, None)}
+    assert licenses.scan(empty.withColumn("path", F.lit("p"))).count() == 0
+
+
+def test_archives(spark, tmp_path):
+    big = "<p>" + "é" * 800 + "</p>"
+    rows = [(1, "http://a", big), (2, "http://b\r\nX: y", big), (3, None, big), (4, "u", "small"), (5, "v", "small"), (6, "w", None), (None, "n", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.round_trip(df, f"file://{tmp_path}/w").collect()}
+    assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {1: ("revisit", 3), 2: ("revisit", 3), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None), None: ("response", None)}
+    for i, _, h in rows:
+        data = (h or "").encode()
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(data), hashlib.sha1(data).hexdigest())
+    assert warc.round_trip(df.limit(0), f"file://{tmp_path}/e").count() == 0
+
+
+def test_reader_checks():
+    one, two = warc.record("1", "u", b"x" * 3000, None, "d"), warc.record("2", "u", b"", None, "d")
+    assert [r["page_id"] for r in warc.Reader(io.BytesIO(one + two))] == ["1", "2"]
+    plain = zlib.decompress(one, 31)
+    bad = zlib.compressobj(6, zlib.DEFLATED, 31)
+    with pytest.raises(ValueError):
+        list(warc.Reader(io.BytesIO(bad.compress(plain.replace(b"xxx", b"xxy", 1)) + bad.flush())))
+    with pytest.raises((EOFError, ValueError)):
+        list(warc.Reader(io.BytesIO(one[:-40])))
+
+
+def test_neighbours(spark):
+    r = np.random.default_rng(3)
+    v = r.normal(size=(1500, 24))
+    v[700:760] = v[699] + r.normal(size=(60, 24)) * 0.01
+    rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(2000, None), (2020, [0.0] * 24), (2040, [float("nan")] + [1.0] * 23), (2060, [1.0]), (None, [1.0] * 24)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows_ = neighbours.usable(df, "vec_id", "embedding")
+    assert rows_.count() == 1500
+    index, shards = neighbours.build_index(rows_, shard_rows=600)
+    assert shards == 3 and index.count() == 1500
+    got: dict = {}
+    for x in neighbours.search(index, shards, rows_.where("vec_id % 20 = 0"), k=20, query_rows=40).collect():
+        got.setdefault(x.query_id, []).append(x)
+    hits = 0
+    for q, found in got.items():
+        s = v @ v[q]
+        s[q] = -np.inf
+        best = set(np.lexsort((np.arange(len(s)), -s))[:20])
+        found.sort(key=lambda x: x["rank"])
+        assert [x["rank"] for x in found] == list(range(1, 21)) and all(abs(x.score - s[x.vec_id]) < 1e-9 for x in found)
+        hits += len(best & {x.vec_id for x in found})
+    assert len(got) == 75 and hits / (20 * 75) >= 0.9
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.0])], "vec_id long, embedding array<double>")
+    assert [(x.vec_id, x.score) for x in neighbours.nearest(few, "vec_id % 20 = 0", k=20).orderBy("rank").collect()] == [(1, 1.0), (2, 0.5)]
+    assert neighbours.nearest(few.limit(0), "true").count() == 0
+
+
+def test_pipeline(spark, tmp_path, docs, texts):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    clean = [(k, " ".join(r.choice(LANGS["en"].split()) + str(r.randrange(99)) for _ in range(60)), "en", "s", 1) for k in range(100, 110)]
+    leak = " ".join(f"item{k}" for k in range(30))
+    rows = [*clean, (200, clean[0][1], "en", "s", 1), (201, None, "en", "s", 1), (202, "123", "en", "s", 1), (203, clean[1][1] + " " + leak + " the end", "en", "s", 1), (204, "the cat wrote to a.b@c.de and the dog was with another house", "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    df = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, str(tmp_path))
+        assert df.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+    kept = {x.doc_id: x.text for x in df.collect()}
+    assert set(kept) == {*range(100, 110), 204} and "[EMAIL]" in kept[204]
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {x.doc_id for x in packed} == set(kept)
