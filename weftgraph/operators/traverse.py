@@ -28,7 +28,8 @@ def frontier(seeds: DataFrame, edges: DataFrame, depth: int, *, direction: str =
     counts.  max_nodes ends the walk of all seeds together after the level that
     reaches it.
     """
-    hops = directed(edges, direction, min_confidence).distinct()
+    # every level reads them: kept, by the key that levels join on
+    hops = keep(directed(edges, direction, min_confidence).distinct().repartition("src"), 0, "hops")
     level = seeds.select("seed", "id", F.lit(0).alias("depth"), F.lit(None).cast(seeds.schema["id"].dataType).alias("parent")).dropDuplicates(["seed", "id"])
     seen = level = keep(level, 0, "seeds")
     for d in range(1, depth + 1):
