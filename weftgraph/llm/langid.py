@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, functions as F
 BUCKETS = 1 << 15
 #: Rows of the training sample at most.
 SAMPLE_ROWS = 20_000
+#: Words whose scores a task keeps at hand, and words that are scored and labelled at a time.
+KNOWN_WORDS, BATCH_WORDS = 150_000, 60_000
 SWITCH = 6.0
 ABSENT = -12.0
 
@@ -92,7 +94,7 @@ class Model:
     def word_scores(self, words: list[str]) -> np.ndarray:
         """A row for each word: log evidence for each language."""
         cache = self.cache
-        if len(cache) > 400_000:
+        if len(cache) > KNOWN_WORDS:
             cache.clear()
             self.scores = self.scores[:0]
         fresh = [w for w in dict.fromkeys(words) if w not in cache]
@@ -169,19 +171,20 @@ def train(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}
-        known: dict[str, list[int]] = {}
+        known: dict[str, bytes] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 have = grams.setdefault(lang, np.zeros(BUCKETS + len(_NAMES), np.int64))
-                flat: list[int] = []
+                flat: list[bytes] = []
                 for w in _words(text):
                     b = known.get(w)
                     if b is None:
-                        b = [*_buckets(w), BUCKETS + _script(w)]
-                        if len(known) < 200_000:
+                        b = np.array([*_buckets(w), BUCKETS + _script(w)], np.int32).tobytes()
+                        if len(known) < KNOWN_WORDS:
                             known[w] = b
-                    flat += b
-                have += np.bincount(flat, minlength=len(have)) if flat else 0
+                    flat.append(b)
+                if flat:
+                    have += np.bincount(np.frombuffer(b"".join(flat), np.int32), minlength=len(have))
         for lang, have in grams.items():
             at = np.flatnonzero(have)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(have[at])], names=["lang", "bucket", "n"])
@@ -214,7 +217,7 @@ def label(docs: DataFrame, model: Model, *, text_col: str = "text", spans: bool
                 words: list[str] = []
                 first = [0]
                 begin = at
-                while at < n and len(words) < 200_000:
+                while at < n and len(words) < BATCH_WORDS:
                     t = texts[at].as_py()
                     if t and langs:
                         words += _words(t)
