@@ -2,51 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from weftgraph.storage import cut, scratch_path, shared_dir
 
-_own: list[str] = []
-
-
-def _drop_own() -> None:
-    for path in _own:
-        shutil.rmtree(path, ignore_errors=True)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where the session names none (a local test session) a temporary one
-    is made, set, and removed when the process ends.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="weftgraph-"))
-            atexit.register(_drop_own)
-        path = "file://" + _own[0]
-    return path.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
-
-    It ends the lineage (a lost executor costs no recomputation beyond the
-    running tasks) and lets several consumers read the rows without computing
-    them again.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "id_bitmap", "in_bitmap", "only", "scratch_path", "shared_dir"]
 
 
 def only(df: DataFrame, *cols: str) -> DataFrame:
