@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.llm import textops
 from weftgraph.llm.components import connected_components
-from weftgraph.llm.shared import cut, id_bitmap, in_bitmap, only
+from weftgraph.llm.shared import cut, id_bitmap, in_bitmap, only, small_batches
 
 COORDINATES = 64
 
@@ -224,13 +224,8 @@ def _beside_leaders(stars: DataFrame, links: DataFrame, parts: DataFrame, docs:
     return cut(checked.mapInArrow(compare, f"a {kind}, b {kind}"), "more-links")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs.
-
-    Links are pairs with 100 * intersection >= percent * union of their sets
-    of word shingles; component_id is the smallest id reachable over links.
-    """
-    docs = only(docs, id_col, text_col).withColumnRenamed(id_col, "doc_id").withColumnRenamed(text_col, "text")
+def _linked(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures, the document that stands for each set, and the components of these; all written tables."""
     matches = match_threshold(percent / 100)
     signed = cut(signatures(docs, shingle=shingle), "signatures")
     reps = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
@@ -246,7 +241,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     parts = cut(connected_components(links, "a", "b"), "parts")
     more = _beside_leaders(stars, links, parts, docs, shingle, percent)
     parts = cut(connected_components(links.union(more), "a", "b"), "components")
+    return signed, reps, parts
+
 
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs.
+
+    Links are pairs with 100 * intersection >= percent * union of their sets
+    of word shingles; component_id is the smallest id reachable over links.
+    """
+    docs = only(docs, id_col, text_col).withColumnRenamed(id_col, "doc_id").withColumnRenamed(text_col, "text")
+    with small_batches(docs.sparkSession):
+        signed, reps, parts = _linked(docs, shingle, percent)
     found = reps.select("set_key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("_component"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
     component = F.coalesce("_component", "doc_id")

@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftgraph.storage import cut, scratch_path, shared_dir
 
-__all__ = ["cut", "id_bitmap", "in_bitmap", "only", "scratch_path", "shared_dir"]
+__all__ = ["cut", "id_bitmap", "in_bitmap", "only", "scratch_path", "shared_dir", "small_batches"]
+
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Short Arrow batches for the tables written inside: rows that carry texts or sets are large."""
+    old = {k: spark.conf.get(k) for k in _BATCH}
+    try:
+        for k, v in _BATCH.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def only(df: DataFrame, *cols: str) -> DataFrame:
