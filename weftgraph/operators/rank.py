@@ -44,6 +44,23 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, itera
     return ranks.select("id", "pagerank")
 
 
+def global_row_number(rows: DataFrame, *order, name: str = "rank") -> DataFrame:
+    """rows with their place (from 1) in a total order, without bringing all of them to one task.
+
+    Range partitions are numbered inside, and shifted by the rows before them;
+    the offsets are one row per partition.
+    """
+    from pyspark.sql import Window
+
+    from weftgraph.storage import cut
+
+    parts = cut(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_m"))
+    before = sizes.select("_p", (F.sum("_m").over(Window.orderBy("_p")) - F.col("_m")).alias("_b"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return parts.withColumn("_k", place).join(F.broadcast(before), "_p").select(*rows.columns, (F.col("_k") + F.col("_b")).cast("long").alias(name))
+
+
 def percentile_below(values: DataFrame, key: str, value: str) -> DataFrame:
     """(key, below): the share of all rows whose value is strictly smaller, by one count per distinct value."""
     from pyspark.sql import Window

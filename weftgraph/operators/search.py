@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from weftgraph.functions.text import tokenize
+from weftgraph.operators.rank import global_row_number
 from weftgraph.storage import cut
 
 
@@ -44,7 +45,7 @@ def _equals(term: str):
 
 def rrf(ranked: list[DataFrame], k: int = 60) -> DataFrame:
     """(id, rrf): reciprocal rank fusion of lists (id, score), best first, ties by id."""
-    legs = [r.select("id", (1.0 / (k + F.row_number().over(Window.orderBy(F.desc("score"), "id")))).alias("part")) for r in ranked]
+    legs = [global_row_number(r.select("id", "score"), F.desc("score"), F.asc("id")).select("id", (1.0 / (k + F.col("rank"))).alias("part")) for r in ranked]
     union = legs[0]
     for leg in legs[1:]:
         union = union.unionByName(leg)
