@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.llm import textops
-from weftgraph.llm.shared import only
+from weftgraph.llm.shared import lean, only
 
 BLOCK_WORDS = 1_000_000
 
@@ -73,7 +73,7 @@ def _word_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["word", "n"])
 
     out = np.zeros(len(vocabulary), np.int64)
-    for r in docs.select("text").mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in docs.select("text").mapInArrow(lean(run), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r.word] = r.n
     return out
 
@@ -181,7 +181,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
                         names=[*columns, "_n_words", "_hits", "_items", "_shares"],
                     )
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(lean(run), out.schema)
     return out
 
 

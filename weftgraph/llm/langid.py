@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from weftgraph.llm.shared import lean
+
 BUCKETS = 1 << 15
 #: Rows of the training sample at most.
 SAMPLE_ROWS = 20_000
@@ -189,7 +191,7 @@ def train(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id
             at = np.flatnonzero(have)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(have[at])], names=["lang", "bucket", "n"])
 
-    found = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.mapInArrow(lean(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(found["lang"].to_pylist()))
     table = np.zeros((BUCKETS + len(_NAMES), len(langs)))
     if langs:
@@ -245,4 +247,4 @@ def label(docs: DataFrame, model: Model, *, text_col: str = "text", spans: bool
                     cols.append(pa.array(got, pa.list_(pa.struct([("word", pa.int32()), ("lang", pa.string())]))))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(lean(run), fields)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.llm import textops
 from weftgraph.llm.components import connected_components
-from weftgraph.llm.shared import cut, id_bitmap, in_bitmap, only, small_batches
+from weftgraph.llm.shared import cut, id_bitmap, in_bitmap, lean, only, small_batches
 
 COORDINATES = 64
 
@@ -86,7 +86,7 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                     names=["doc_id", "n_shingles", "set_key", "sig"],
                 )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key binary, sig array<int>")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, n_shingles long, set_key binary, sig array<int>")
 
 
 def match_threshold(similarity: float, coordinates: int = COORDINATES) -> int:
@@ -134,7 +134,7 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int,
     left = full.select(F.col("doc_id").alias("a"), F.col("members").alias("ma"))
     right = full.select(F.col("doc_id").alias("b"), F.col("members").alias("mb"))
     both = near.join(left, "a").join(right, "b").select("a", "b", "ma", "mb")
-    return cut(both.mapInArrow(compare, f"a {kind}, b {kind}"), "links")
+    return cut(both.mapInArrow(lean(compare), f"a {kind}, b {kind}"), "links")
 
 
 def _members(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -156,8 +156,8 @@ def _members(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
             if keep.any():
                 yield batch.select([0, 1]).filter(pa.array(keep))
 
-    likely = docs.withColumn("_h", F.xxhash64("doc_id")).mapInArrow(some, f"doc_id {kind}, text string")
-    full = likely.join(wanted, "doc_id", "left_semi").mapInArrow(sets, f"doc_id {kind}, members binary")
+    likely = docs.withColumn("_h", F.xxhash64("doc_id")).mapInArrow(lean(some), f"doc_id {kind}, text string")
+    full = likely.join(wanted, "doc_id", "left_semi").mapInArrow(lean(sets), f"doc_id {kind}, members binary")
     return cut(full, "sets").dropDuplicates(["doc_id"])
 
 
@@ -189,7 +189,7 @@ def _beside_leaders(stars: DataFrame, links: DataFrame, parts: DataFrame, docs:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int32()), pa.array(linked, pa.bool_()), pa.array(delta, pa.list_(pa.int64()))], names=["a", "x", "size", "linked", "delta"])
 
     both = need.join(full.select(F.col("doc_id").alias("a"), F.col("members").alias("ma")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("members").alias("mb")), "b").select("a", "b", "ma", "mb")
-    delta = cut(both.mapInArrow(differ, f"a {kind}, x {kind}, size int, linked boolean, delta array<long>"), "differences")
+    delta = cut(both.mapInArrow(lean(differ), f"a {kind}, x {kind}, size int, linked boolean, delta array<long>"), "differences")
     part = parts.select(F.col("node").alias("x"), F.col("component").alias("part"))
     each = delta.select("a", "x", "size", "linked", F.size("delta").alias("n"), F.explode("delta").alias("member"))
     often = each.groupBy("a", "member").agg(F.count(F.lit(1)).alias("_f")).where("_f > 1")
@@ -221,7 +221,7 @@ def _beside_leaders(stars: DataFrame, links: DataFrame, parts: DataFrame, docs:
     own = delta.select("a", F.col("x").alias("u"), F.col("size").alias("su"), F.col("delta").alias("du"))
     other = delta.select("a", F.col("x").alias("y"), F.col("size").alias("sy"), F.col("delta").alias("dy"))
     checked = pairs.join(own, ["a", "u"]).join(other, ["a", "y"]).select(F.col("u").alias("a"), F.col("y").alias("b"), "su", "sy", "du", "dy")
-    return cut(checked.mapInArrow(compare, f"a {kind}, b {kind}"), "more-links")
+    return cut(checked.mapInArrow(lean(compare), f"a {kind}, b {kind}"), "more-links")
 
 
 def _linked(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from weftgraph.llm.shared import cut, only
+from weftgraph.llm.shared import cut, lean, only
 
 SALTS = 128
 
@@ -85,7 +85,7 @@ def tokenize_pieces(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: s
             if src:
                 yield flush()
 
-    return rows.mapInArrow(run, fields)
+    return rows.mapInArrow(lean(run), fields)
 
 
 def slack_plan(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:

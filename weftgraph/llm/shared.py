@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftgraph.storage import cut, scratch_path, shared_dir
 
-__all__ = ["cut", "id_bitmap", "in_bitmap", "only", "scratch_path", "shared_dir", "small_batches"]
+__all__ = ["cut", "id_bitmap", "in_bitmap", "lean", "only", "scratch_path", "shared_dir", "small_batches"]
 
 _BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
@@ -27,6 +27,31 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
+def lean(run):
+    """A batch function that hands free memory back when its task ends.
+
+    Python workers are reused: what one stage's arrays have left in the
+    allocators would stand beside the next stage's.
+    """
+
+    def wrapped(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def only(df: DataFrame, *cols: str) -> DataFrame:
     """The named columns alone, so extra columns of the input can't clash."""
     return df.select(*[F.col(c) for c in cols])

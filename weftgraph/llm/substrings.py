@@ -32,7 +32,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.llm import textops
-from weftgraph.llm.shared import cut, id_bitmap, in_bitmap, only, small_batches
+from weftgraph.llm.shared import cut, id_bitmap, in_bitmap, lean, only, small_batches
 
 
 def _alive(part: textops.Slice, first: np.ndarray, words: np.ndarray, at: list | None, length: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +68,7 @@ def _anchors(docs: DataFrame, kind: str, window: int, length: int, before: int |
                 row = np.searchsorted(first, anchor, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(textops.signed(grams[anchor])), batch.column(0).slice(part.lo, len(part)).take(pa.array(row)), pa.array((anchor - first[row]).astype(np.int32))], names=["gram", "doc_id", "at"])
 
-    return docs.mapInArrow(run, f"gram long, doc_id {kind}, at int")
+    return docs.mapInArrow(lean(run), f"gram long, doc_id {kind}, at int")
 
 
 def _runs(docs: DataFrame, kind: str, window: int, length: int) -> DataFrame:
@@ -96,7 +96,7 @@ def _runs(docs: DataFrame, kind: str, window: int, length: int) -> DataFrame:
                     names=["gram", "run", "doc_id", "at", "n", "windows"],
                 )
 
-    return docs.mapInArrow(run, f"gram long, run long, doc_id {kind}, at int, n int, windows binary")
+    return docs.mapInArrow(lean(run), f"gram long, run long, doc_id {kind}, at int, n int, windows binary")
 
 
 def with_marks(docs: DataFrame, marks: DataFrame, kind: str) -> DataFrame:
@@ -109,7 +109,7 @@ def with_marks(docs: DataFrame, marks: DataFrame, kind: str) -> DataFrame:
             if keep.any():
                 yield batch.select([0, 1]).filter(pa.array(keep))
 
-    some = docs.withColumn("_h", F.xxhash64("doc_id")).mapInArrow(run, f"doc_id {kind}, text string")
+    some = docs.withColumn("_h", F.xxhash64("doc_id")).mapInArrow(lean(run), f"doc_id {kind}, text string")
     return some.join(marks, "doc_id").select("doc_id", "text", "marks")
 
 
@@ -146,7 +146,7 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(whole), batch.column(1).take(take), pa.array((batch.column(2).to_numpy()[row] + inner).astype(np.int32))], names=["gram", "whole", "doc_id", "at"])
 
-    single = cut(apart.mapInArrow(explode, f"gram long, whole long, doc_id {kind}, at int"), "windows")
+    single = cut(apart.mapInArrow(lean(explode), f"gram long, whole long, doc_id {kind}, at int"), "windows")
     # the same window may stand in a document's runs twice: rows are distinct by (doc_id, at)
     least = single.groupBy("gram", "whole").agg(F.min(F.struct("doc_id", "at")).alias("head"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
     later = single.join(least, ["gram", "whole"]).where("doc_id <> head.doc_id OR at <> head.at").select("doc_id", "at", F.lit(1).alias("n"))
@@ -224,5 +224,5 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 marks = [v.values.to_numpy() if v.is_valid else None for v in rest.column("marks").slice(part.lo, len(part))]
                 yield kept(part, marks, rest.column("doc_id").slice(part.lo, len(part)))
 
-    first = all_docs.withColumn("_h", F.xxhash64("doc_id")).mapInArrow(whole, fields + ", text string")
-    return first.join(marks, "doc_id", "left").mapInArrow(finish, fields)
+    first = all_docs.withColumn("_h", F.xxhash64("doc_id")).mapInArrow(lean(whole), fields + ", text string")
+    return first.join(marks, "doc_id", "left").mapInArrow(lean(finish), fields)

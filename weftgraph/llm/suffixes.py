@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.llm import textops
 from weftgraph.llm.induction import repeats
-from weftgraph.llm.shared import cut, id_bitmap, in_bitmap, only, small_batches
+from weftgraph.llm.shared import cut, id_bitmap, in_bitmap, lean, only, small_batches
 from weftgraph.llm.substrings import with_marks
 
 SHARD_BYTES = 1 << 20
@@ -63,7 +63,7 @@ def _anchors(docs: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
                 row = np.searchsorted(part.off, anchor, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(textops.signed(grams[anchor])), batch.column(0).slice(part.lo, len(part)).take(pa.array(row)), pa.array((anchor - part.off[row]).astype(np.int32))], names=["gram", "doc_id", "at"])
 
-    return docs.mapInArrow(run, f"gram long, doc_id {kind}, at int")
+    return docs.mapInArrow(lean(run), f"gram long, doc_id {kind}, at int")
 
 
 def _runs(docs: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
@@ -95,7 +95,7 @@ def _runs(docs: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
                     names=["gram", "run", "doc_id", "at", "n", "bytes"],
                 )
 
-    return docs.mapInArrow(run, f"gram long, run binary, doc_id {kind}, at int, n int, bytes binary")
+    return docs.mapInArrow(lean(run), f"gram long, run binary, doc_id {kind}, at int, n int, bytes binary")
 
 
 def _sorted_shards(apart: DataFrame, kind: str, length: int) -> DataFrame:
@@ -142,7 +142,7 @@ def _sorted_shards(apart: DataFrame, kind: str, length: int) -> DataFrame:
             if held and (got := sort(held, folder)) is not None:
                 yield got
 
-    return apart.mapInArrow(run, f"doc_id {kind}, at int, n int")
+    return apart.mapInArrow(lean(run), f"doc_id {kind}, at int, n int")
 
 
 def repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 100) -> DataFrame:
@@ -218,5 +218,5 @@ def remove_repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col
                 marks = [v.values.to_numpy() if v.is_valid else None for v in rest.column("marks").slice(part.lo, len(part))]
                 yield kept(part, marks, rest.column("doc_id").slice(part.lo, len(part)))
 
-    first = all_docs.withColumn("_h", F.xxhash64("doc_id")).mapInArrow(whole, fields + ", text string")
-    return first.join(marks, "doc_id", "left").mapInArrow(finish, fields)
+    first = all_docs.withColumn("_h", F.xxhash64("doc_id")).mapInArrow(lean(whole), fields + ", text string")
+    return first.join(marks, "doc_id", "left").mapInArrow(lean(finish), fields)

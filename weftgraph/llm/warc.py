@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftgraph.llm.shared import cut, only, scratch_path
+from weftgraph.llm.shared import cut, lean, only, scratch_path
 
 ARCHIVE_BYTES = 64 << 20
 CHUNK = 1 << 16
@@ -159,7 +159,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
         if out is not None:
             yield done()
 
-    return cut(linked.mapInArrow(run, "path string, records long, bytes long"), "manifest")
+    return cut(linked.mapInArrow(lean(run), "path string, records long, bytes long"), "manifest")
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return manifest.select("path").repartition(max(1, files)).mapInArrow(run, "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    return manifest.select("path").repartition(max(1, files)).mapInArrow(lean(run), "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string")
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, *, id_col: str = "page_id", **options) -> DataFrame:
