@@ -228,6 +228,27 @@ def test_neighbours(spark):
     assert neighbours.nearest(few.limit(0), "true").count() == 0
 
 
+def test_equal_vectors(spark):
+    r = np.random.default_rng(5)
+    v = r.normal(size=(1500, 24))
+    v[r.permutation(1500)[:500]] = v[0]
+    v[200:320] = v[200]
+    v[400:430] = v[400] * (1 + np.arange(30)[:, None] * 1e-10)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for x in neighbours.nearest(df, "vec_id % 5 = 0", k=20).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id))
+    copies = [q for q in got if (v[q] == v[0]).all() or 200 <= q < 320 or 400 <= q < 430]
+    assert len(got) == 300 and len(copies) > 100
+    score = lambda i, q: float(np.einsum("bd,bd->b", v[[i]], v[[q]])[0])
+    part = {}
+    for q, found in got.items():
+        best = sorted((-score(i, q), i) for i in range(1500) if i != q)[:20]
+        part[q] = len({i for _, i in best} & {i for _, i in found}) / 20
+        assert len(found) == 20
+    assert np.mean([part[q] for q in copies]) >= 0.95 and np.mean(list(part.values())) >= 0.9
+
+
 def test_pipeline(spark, tmp_path, docs, texts):
     import corpus_pipeline
 

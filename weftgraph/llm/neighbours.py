@@ -8,6 +8,11 @@ ALPHA, so edges are diverse.  Reverse edges are added and pruned alike.  Greedy
 and pruned distances are Euclidean, on vectors with one component more that
 brings all to one length: their order is that of the largest inner product.
 
+Rows of a shard that are equal to the graph (in single precision) are one point
+of it, as pruning would leave all but one of them without an edge to them.  A
+point found stands for all its rows: its distinct vectors are scored each, and
+each gives as many of its smallest ids as the result can hold.
+
 Queries meet every shard, in blocks of QUERY_ROWS: a beam search finds each
 one's nearest in the shard, scored in double precision on the original vectors,
 and the shards' results are merged by rank.  The index covers every row; it is
@@ -156,6 +161,25 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
     return edges, entry
 
 
+def first_equal(rows: np.ndarray) -> np.ndarray:
+    """For each row the number of the first row equal to it."""
+    rows = np.ascontiguousarray(rows + 0.0)  # one zero
+    _, first, of = np.unique(rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    return first[of]
+
+
+def _spread(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, at): for each k the numbers first[k] to first[k] + size[k], and k beside each."""
+    which = np.repeat(np.arange(len(size)), size)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + first[which]
+
+
+def _place(group: np.ndarray) -> np.ndarray:
+    """Each row's place within its group, from 0; groups lie together."""
+    start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64)
+    return np.arange(len(group)) - np.repeat(start, np.diff(np.append(start, len(group))))
+
+
 def _matrix(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -172,7 +196,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def build_index(rows: DataFrame, *, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
-    """The index as a table (shard, pos, vec_id, v, edges, entry), and its number of shards."""
+    """The index as a table (shard, pos, vec_id, v, node, edges, entry), and its number of shards."""
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)).alias("longest")).head()
     shards = max(1, math.ceil(stats.n / shard_rows))
     longest = stats.longest or 0.0
@@ -182,11 +206,17 @@ def build_index(rows: DataFrame, *, shard_rows: int = SHARD_ROWS) -> tuple[DataF
         table = table.sort_by("vec_id").combine_chunks()
         v = _matrix(table["v"])
         lift = np.sqrt(np.maximum(longest - np.einsum("ij,ij->i", v, v), 0))
-        edges, entry = build_graph(np.ascontiguousarray(np.column_stack((v, lift)).astype(np.float32)))
-        return pa.table({"shard": table["shard"], "pos": pa.array(np.arange(len(v), dtype=np.int32)), "vec_id": table["vec_id"], "v": table["v"], "edges": pa.array([e[e >= 0].astype(np.int32) for e in edges], pa.list_(pa.int32())), "entry": pa.array(np.full(len(v), entry, np.int32))})
+        x = np.column_stack((v, lift)).astype(np.float32)
+        node = first_equal(x)
+        own = np.flatnonzero(node == np.arange(len(x)))
+        graph, entry = build_graph(np.ascontiguousarray(x[own]))
+        edges = [np.zeros(0, np.int32)] * len(x)
+        for p, e in zip(own, graph):
+            edges[p] = own[e[e >= 0]].astype(np.int32)
+        return pa.table({"shard": table["shard"], "pos": pa.array(np.arange(len(v), dtype=np.int32)), "vec_id": table["vec_id"], "v": table["v"], "node": pa.array(node.astype(np.int32)), "edges": pa.array(edges, pa.list_(pa.int32())), "entry": pa.array(np.full(len(v), own[entry], np.int32))})
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(shards)).cast("int")).select("shard", "vec_id", "v")
-    return cut(dealt.groupBy("shard").applyInArrow(build, f"shard int, pos int, vec_id {kind}, v array<double>, edges array<int>, entry int"), "vector-index"), shards
+    return cut(dealt.groupBy("shard").applyInArrow(build, f"shard int, pos int, vec_id {kind}, v array<double>, node int, edges array<int>, entry int"), "vector-index"), shards
 
 
 def search(index: DataFrame, shards: int, queries: DataFrame, *, k: int = 20, beam: int = SEARCH_BEAM, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -215,18 +245,37 @@ def search(index: DataFrame, shards: int, queries: DataFrame, *, k: int = 20, be
         for p, i in enumerate(ids.to_pylist()):
             if i in number:
                 number[i].append(p)
+        # a query's own id is at most so many rows
+        most = k + max(map(len, number.values()))
+        exact = first_equal(v)
+        member = np.argsort(exact, kind="stable")
+        member = member[_place(exact[member]) < most]
+        heads = np.flatnonzero(exact == np.arange(len(v)))
+        member_size = np.bincount(exact[member], minlength=len(v))
+        member_at = np.cumsum(member_size) - member_size
+        node = np.asarray(rows["node"])
+        heads = heads[np.argsort(node[heads], kind="stable")]
+        head_size = np.bincount(node[heads], minlength=len(v))
+        head_at = np.cumsum(head_size) - head_size
         for a in range(0, len(q), 512):
-            part = np.column_stack((q[a : a + 512], np.zeros(len(q[a : a + 512])))).astype(np.float32)
+            asked_ = q[a : a + 512]
+            part = np.column_stack((asked_, np.zeros(len(asked_)))).astype(np.float32)
             found, _ = beam_search(x, edges, entry, part, max(beam, 2 * k))
-            score = np.einsum("bcd,bd->bc", v[np.maximum(found, 0)], q[a : a + 512])
-            score[found < 0] = -np.inf
-            for r in range(len(part)):
-                mine = number[own[a + r].as_py()]
-                score[r, np.isin(found[r], mine)] = -np.inf
-            order = np.lexsort((found, -score), axis=1)[:, : k]
-            at, s = np.take_along_axis(found, order, 1), np.take_along_axis(score, order, 1)
-            row, col = np.nonzero(np.isfinite(s))
-            out.append(pa.table({"query_id": own.take(pa.array(row + a)), "vec_id": ids.take(pa.array(at[row, col])), "score": pa.array(s[row, col])}))
+            row, col = np.nonzero(found >= 0)
+            which, at = _spread(head_at[found[row, col]], head_size[found[row, col]])
+            row, head = row[which], heads[at]
+            score = np.concatenate([np.zeros(0), *(np.einsum("bd,bd->b", v[head[c : c + 65536]], asked_[row[c : c + 65536]]) for c in range(0, len(row), 65536))])
+            best = np.lexsort((head, -score, row))
+            best = best[_place(row[best]) < most]
+            row, head, score = row[best], head[best], score[best]
+            which, at = _spread(member_at[head], member_size[head])
+            row, at, score = row[which], member[at], score[which]
+            mine = np.array([r * len(v) + p for r in range(len(part)) for p in number[own[a + r].as_py()]], np.int64)
+            other = ~np.isin(row * len(v) + at, mine) & np.isfinite(score)
+            row, at, score = row[other], at[other], score[other]
+            best = np.lexsort((at, -score, row))
+            best = best[_place(row[best]) < k]
+            out.append(pa.table({"query_id": own.take(pa.array(row[best] + a)), "vec_id": ids.take(pa.array(at[best])), "score": pa.array(score[best])}))
         return pa.concat_tables(out)
 
     near = held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(find, f"query_id {kind}, vec_id {kind}, score double")
