@@ -1,7 +1,9 @@
 """Graph operators against plain Python."""
 
+import hashlib
 import math
 import random
+import re
 from collections import defaultdict, deque
 
 import numpy as np
@@ -9,6 +11,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from weftgraph import catalog
 from weftgraph.functions import geometry, text
 from weftgraph.operators import community, edges, health, rank, search, traverse
 
@@ -168,6 +171,20 @@ def test_crawl(spark):
     assert [tuple(r) for r in links.collect()] == [("http://a/1", "http://a/2")]
 
 
+def test_html_text_of_all_pages(spark, tmp_path):
+    rows = [(1, '<p\n class="x">one</p\n>two'), (2, "<b>plain</b> text"), (3, None), (4, "a<!-- x\ny -->b<script\nsrc='u'>z\n</script>c"), (5, "x <img\n\nsrc='u'\n>\ty")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+
+    def want(html):
+        out = html or ""
+        for pattern in (r"(?is)<(?:script|style)\b.*?</(?:script|style)\s*>", r"(?s)<!--.*?-->", r"(?s)<[^>]*>"):
+            out = re.sub(pattern, lambda m: "\n" * m.group().count("\n"), out)
+        return re.sub(r"[ \t]+", " ", out).strip(" ")
+
+    got = {r.page_id: (r.n_chars, r.hash) for r in catalog.queries()["html_text"](spark, str(tmp_path)).collect()}
+    assert got == {i: (len(want(h)), hashlib.sha1(want(h).encode()).hexdigest()) for i, h in rows}
+
+
 def test_scan(spark, tmp_path):
     from weftgraph.sources.classify import scan
 

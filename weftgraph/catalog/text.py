@@ -128,9 +128,8 @@ def links_to_hosts(spark, d):
 
 @query(r"""SELECT page_id, length(t) AS n_chars, sha1(t) AS hash FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)\b.*?</(?:script|style)\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]*>', '', 'g'), '[ \t]+', ' ', 'g')) AS t FROM pages WHERE NOT regexp_matches(html, '(?s)<[^>]*\n[^>]*>'))""")
 def html_text(spark, d):
-    # the twin can't keep line ends inside tags; pages hold none there
-    pages = table(spark, d, "pages").where(~F.col("html").rlike("(?s)<[^>]*\n[^>]*>"))
-    t = pages.select("page_id", text.html_text(F.col("html")).alias("t"))
+    # all pages; the twin leaves out those with a line end inside a tag, which it can't keep, and null html
+    t = table(spark, d, "pages").select("page_id", text.html_text(F.col("html")).alias("t"))
     return t.select("page_id", F.length("t").cast("long").alias("n_chars"), F.sha1(F.col("t").cast("binary")).alias("hash"))
 
 
