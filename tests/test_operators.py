@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import defaultdict, deque
+from urllib.parse import urljoin
 
 import numpy as np
 import pytest
@@ -185,6 +186,20 @@ def test_html_text_of_all_pages(spark, tmp_path):
     assert got == {i: (len(want(h)), hashlib.sha1(want(h).encode()).hexdigest()) for i, h in rows}
 
 
+def test_links_to_hosts_of_all_kinds(spark, tmp_path):
+    a = lambda *hrefs: "".join(f'<a href="{h}">x</a>' for h in hrefs)
+    rows = [(1, "http://a/d/1?q", a("/2", "/2#x", "http://b/9", "http://b/9#top", "3", "#top")), (2, "http://a/2", a("https://c/", "http://b/9", "/2")), (3, "http://b/9", a("http://a/2")), (4, "http://c/", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    # urljoin differs for bare fragments and queries, which resolve() takes by directory
+    links = defaultdict(set)
+    for i, url, html in rows:
+        for h in re.findall('href="([^"]*)"', html):
+            folder = re.sub("[^/]*$", "", re.sub("[?#].*$", "", url))
+            links[url.split("/")[2]].add((i, re.sub("#.*$", "", urljoin(url, h) if h.startswith(("/", "http")) else folder + h)))
+    got = {r.src_host: (r.edges, r.targets) for r in catalog.queries()["links_to_hosts"](spark, str(tmp_path)).collect()}
+    assert got == {h: (len(p), len({t for _, t in p})) for h, p in links.items()} == {"a": (7, 5), "b": (1, 1)}
+
+
 def test_scan(spark, tmp_path):
     from weftgraph.sources.classify import scan
 

@@ -120,8 +120,9 @@ SELECT host AS src_host, count(*) AS edges, count(DISTINCT target) AS targets FR
 def links_to_hosts(spark, d):
     from weftgraph.sources.web import links
 
+    # every link, as in page_links; the twin knows links from the root only
     pages = table(spark, d, "pages")
-    got = links(pages, "page_id", "url", "html").where(F.startswith("href", F.lit("/"))).select("page_id", F.regexp_replace("target", "#.*$", "").alias("target")).distinct()
+    got = links(pages, "page_id", "url", "html").select("page_id", F.regexp_replace("target", "#.*$", "").alias("target")).distinct()
     host = pages.select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("src_host"))
     return got.join(host, "page_id").groupBy("src_host").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("target").alias("targets"))
 
