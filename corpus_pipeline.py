@@ -18,6 +18,8 @@ from weftgraph.llm.shared import scratch_path
 LEAST_LANGUAGE_SHARE = 0.5
 #: A document leaks if it holds windows of so many items, or so much of one item's windows.
 LEAK_ITEMS, LEAK_SHARE = 2, 0.5
+#: Or if it quotes so many words of items, however long these are: words of shorter windows, with so many words between at most.
+LEAK_RUN, LEAK_WINDOW, LEAK_GAP = 13, 5, 2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +36,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold benchmark items."""
+    """Drop the documents that hold benchmark items, or quote them at some length, if with words changed."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.find_leaks(docs, items)
-    return found.where(~decontaminate.is_contaminated(LEAK_ITEMS, LEAK_SHARE)).select(*docs.columns)
+    left = found.where(~decontaminate.is_contaminated(LEAK_ITEMS, LEAK_SHARE)).select(*docs.columns)
+    found = decontaminate.find_leaks(left, items, window=LEAK_WINDOW)
+    return found.where(decontaminate.longest_quote(LEAK_GAP) < LEAK_RUN).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

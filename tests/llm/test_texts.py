@@ -249,6 +249,21 @@ def test_equal_vectors(spark):
     assert np.mean([part[q] for q in copies]) >= 0.95 and np.mean(list(part.values())) >= 0.9
 
 
+def test_quotes_leak(spark, tmp_path):
+    import corpus_pipeline
+
+    item = {n: [f"q{n}w{k}" for k in range(n)] for n in (250, 50, 40, 9)}
+    edited = lambda every: ["changed" if k % every == every - 1 else w for k, w in enumerate(item[40])]
+    own = [f"own{k}" for k in range(60)]
+    leaks = [item[50][10:35], item[250][100:200], edited(8), edited(12), item[9], item[250][7:20]]
+    fine = [item[50][3:13], item[250][:12], item[40][:6] + own[:3] + item[40][10:16] + own[3:6] + item[40][20:26], item[9][:4], []]
+    rows = [(k, " ".join(own + q + own)) for k, q in enumerate(leaks)] + [(100 + k, " ".join(own + q + own)) for k, q in enumerate(fine)] + [(200, None), (201, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(n, " ".join(w)) for n, w in item.items()], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = {r.doc_id for r in corpus_pipeline.benchmark(spark, docs, str(tmp_path)).collect()}
+    assert kept == {*range(100, 105), 200, 201}
+
+
 def test_pipeline(spark, tmp_path, docs, texts):
     import corpus_pipeline
 

@@ -200,6 +200,18 @@ def is_contaminated(min_items: int = 2, min_share: float = 0.5):
     return (F.size("_items") >= min_items) | F.exists("_shares", lambda x: x >= min_share)
 
 
+def longest_quote(gap: int = 2):
+    """The most hit words of a stretch whose runs have at most `gap` words between them."""
+    first = F.struct(F.lit(-gap - 1).cast("long").alias("end"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("most"))
+    runs = F.zip_with(F.filter("_hits", lambda _, k: k % 2 == 0), F.filter("_hits", lambda _, k: k % 2 == 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def add(s, run):
+        n = F.when(run["a"] - s["end"] <= gap, s["n"]).otherwise(F.lit(0).cast("long")) + run["b"] - run["a"]
+        return F.struct(run["b"].alias("end"), n.alias("n"), F.greatest(s["most"], n).alias("most"))
+
+    return F.aggregate(runs, first, add, lambda s: s["most"])
+
+
 def decontamination_report(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """find_leaks() as counts: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (two items or more)."""
     leaks = find_leaks(only(docs, id_col, text_col), benchmark, text_col=text_col, **options)
