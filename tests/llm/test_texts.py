@@ -178,6 +178,20 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty.withColumn("path", F.lit("p"))).count() == 0
 
 
+def test_license_passages(spark):
+    from textwrap import fill
+
+    mit = "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + fill(licenses._MIT, 70) + "\n\n" + fill(licenses._AS_IS, 70)
+    bsd = "Copyright (c) 2020 Some Body\n\n" + fill(licenses._BSD + licenses._BSD_3 + licenses._BSD_END, 70)
+    gpl = fill("This file is part of Build. Build is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", 60)
+    marked = lambda t, mark: "".join(f"{mark} {x}".rstrip() + "\n" for x in t.split("\n"))
+    code = "\nimport os\n\nprint(os.name)\n" * 20
+    rows = [("a/LICENSE", mit, "MIT"), ("a/x.py", "code", "MIT"), ("b/COPYING", bsd, "BSD-3-Clause"), ("c/y.py", "#!/usr/bin/python\n" + marked(gpl, "#") + code, "GPL-3.0"), ("c/z.c", "/*\n" + marked(fill(licenses._APACHE, 60), " *") + " */\n" + code, "Apache-2.0")]
+    rows += [("c/s.py", "# SPDX-License-Identifier: MIT\n" + code, "MIT"), ("c/t.c", "// SPDX-License-Identifier: GPL-2.0-or-later\n" + code, "GPL-2.0"), ("c/d.md", "Distributed under the MIT license\n" + code, "MIT"), ("c/u.py", "# a tool for licence plates\n" + code, None), ("c/w.py", "# SPDX-License-Identifier: Zlib\n" + code, None)]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame([(k, p, t) for k, (p, t, _) in enumerate(rows)], "doc_id long, path string, text string")).collect()}
+    assert [got[k] for k in range(len(rows))] == [x for _, _, x in rows]
+
+
 def test_archives(spark, tmp_path):
     big = "<p>" + "é" * 800 + "</p>"
     rows = [(1, "http://a", big), (2, "http://b\r\nX: y", big), (3, None, big), (4, "u", "small"), (5, "v", "small"), (6, "w", None), (None, "n", "x")]

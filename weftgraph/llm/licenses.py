@@ -7,6 +7,10 @@
    statements of the table; a statement's score against a template is their
    cosine.  The template side is a fixed table (TEMPLATES), so its broadcast is
    bounded; a file's own license is its best statement of at least `least`.
+   Passages are scored besides: comment headers and their paragraphs, whole
+   paragraphs that mention a license, and the whole text of files named as
+   license files, each joined over its lines, against TEXTS, with the idf of TEXTS;
+   SPDX tags are read as such.  The best of all counts, a statement first.
 3. A file is a license file if its name says so, or if its statements make up
    half of its text.  A directory has the license of its best license file.
 4. A file without a license of its own takes that of the nearest ancestor
@@ -21,6 +25,10 @@ result.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.llm.shared import cut
@@ -46,6 +54,37 @@ TEMPLATES = [
     ("ISC", "Licensed under the ISC License."),
 ]
 MENTION = r"(?i)licen[sc]e|copyright|public domain"
+_NAMES = {
+    "MIT": ["MIT License"], "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0"], "GPL-2.0": ["GNU General Public License version 2", "GPL v2"], "GPL-3.0": ["GNU General Public License version 3", "GPL v3"],
+    "LGPL-3.0": ["GNU Lesser General Public License version 3"], "AGPL-3.0": ["GNU Affero General Public License version 3"], "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License"],
+    "MPL-2.0": ["Mozilla Public License, version 2.0"], "CC0-1.0": ["CC0 1.0 Universal public domain dedication"], "Unlicense": ["Unlicense"], "ISC": ["ISC License"],
+}
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_GNU_END = " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License for more details. You should have received a copy of the GNU {0}General Public License along with this program. If not, see https://www.gnu.org/licenses/."
+#: What passages are compared to: titles, sentences with a license's name, notices and short licenses as a whole.
+TEXTS = [
+    *TEMPLATES,
+    *((k, f"{how}{name}") for k, names in _NAMES.items() for name in names for how in ("", "Distributed under the ", "Licensed under the terms of the ")),
+    ("MIT", _MIT), ("MIT", f"MIT License {_MIT} {_AS_IS}"),
+    ("BSD-2-Clause", _BSD), ("BSD-2-Clause", _BSD + _BSD_END), ("BSD-3-Clause", _BSD + _BSD_3), ("BSD-3-Clause", _BSD + _BSD_3 + _BSD_END),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Apache-2.0", _APACHE), ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    *((k, text.format(kind, version)) for k, kind, version in (("GPL-2.0", "", 2), ("GPL-3.0", "", 3), ("LGPL-3.0", "Lesser ", 3), ("AGPL-3.0", "Affero ", 3)) for text in (_GNU, _GNU + _GNU_END)),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"), ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"), ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+]
+#: The comment that a file begins with, and marks of comments at the ends of lines.
+HEADER = r"(?s)\A\s*(?:/\*.*?\*/|<!--.*?-->|\"\"\".*?\"\"\"|(?:[ \t]*(?:#|//|;|--|%)[^\n]*(?:\n|\z))+)"
+MARKS = r"(?m)^[ \t]*(?:#+!?|//+|/\*+|\*+/?|;+|--+|%+|<!--+)|(?:\*/|-->)[ \t]*$"
+SPDX = r"(?i)SPDX-License-Identifier:[\s(]*([a-z0-9.-]+?)(?:-only|-or-later|\+)?(?:[\s)*]|$)"
 FILE_NAME = r"(?i)(?:^|/)(?:licen[sc]e|copying|notice|unlicense)(?:\.[a-z]+)?$"
 LEAST = 0.6
 
@@ -59,8 +98,47 @@ def _directory(path):
     return F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.when(path.isNotNull(), F.lit("")))
 
 
+def _passages(rows: DataFrame) -> DataFrame:
+    """(doc_id, path, named, key, passage): comment headers, paragraphs and whole license files, joined over lines."""
+    text, header = F.col("text"), F.regexp_extract("text", HEADER, 0)
+    named = F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
+    plain = lambda x: F.regexp_replace(x, MARKS, "")
+    mention = F.filter(F.split(plain(text), r"\n[ \t\r]*\n"), lambda p: p.rlike(MENTION))
+    found = F.concat(F.when(text.rlike(MENTION), mention).otherwise(F.array().cast("array<string>")), F.split(plain(header), r"\n[ \t\r]*\n"), F.array(plain(header)), F.when(named, F.array(plain(text))).otherwise(F.array().cast("array<string>")))
+    joined = F.filter(F.transform(found, lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "")
+    out = rows.where(text.rlike(MENTION) | text.rlike(HEADER) | named)
+    out = out.select("doc_id", "path", named.alias("named"), F.explode(F.array_distinct(joined)).alias("passage"))
+    return out.withColumn("key", F.sha2("passage", 256))
+
+
+def _told_by_passages(rows: DataFrame, least: float) -> DataFrame:
+    """(doc_id, path, license, score, statement, is_file): what passages and SPDX tags tell."""
+    spark = rows.sparkSession
+    df = Counter(w for _, t in TEXTS for w in set(re.findall("[a-z0-9]+", t.lower())))
+    idf = lambda w: math.log((1 + len(TEXTS)) / (1 + df[w])) + 1
+    words = []
+    for k, (name, t) in enumerate(TEXTS):
+        tw = {w: n * idf(w) for w, n in Counter(re.findall("[a-z0-9]+", t.lower())).items()}
+        norm = math.sqrt(sum(x * x for x in tw.values()))
+        words += [(k, name, w, x / norm) for w, x in tw.items()]
+    # both are bounded by the fixed texts
+    model = F.broadcast(spark.createDataFrame(words, "template int, license string, term string, tw double"))
+    weights = F.broadcast(spark.createDataFrame([(w, idf(w)) for w in df], "term string, idf double"))
+    held = cut(_passages(rows), "passages")
+    terms = held.groupBy("key").agg(F.first("passage").alias("passage")).select("key", F.explode(_terms(F.col("passage"))).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = cut(terms.join(weights, "term", "left").select("key", "term", (F.col("tf") * F.coalesce("idf", F.lit(idf("")))).alias("w")), "passage-terms")
+    norm = terms.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = terms.join(model, "term").groupBy("key", "license", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    best = dots.join(norm, "key").select("key", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)
+    best = best.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select("key", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
+    known = F.create_map(*(F.lit(x) for name in sorted({n for n, _ in TEMPLATES}) for x in (name.lower(), name)))
+    by_text = held.join(best, "key").select("doc_id", "path", "license", "score", "passage", "named")
+    by_tag = held.select("doc_id", "path", known[F.lower(F.regexp_extract("passage", SPDX, 1))].alias("license"), F.lit(1.0).alias("score"), F.regexp_extract("passage", SPDX, 0).alias("passage"), "named").where("license IS NOT NULL")
+    return by_text.unionByName(by_tag).select("doc_id", "path", "license", "score", F.col("passage").alias("statement"), F.col("named").alias("is_file"))
+
+
 def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """doc_id, license, score, origin (own, inherited or null), statement (the line that told) and directory."""
+    """doc_id, license, score, origin (own, inherited or null), statement (the line or passage that told) and directory."""
     spark = files.sparkSession
     rows = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = rows.where(F.col("text").rlike(MENTION)).select("doc_id", "path", F.length("text").alias("size"), F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(MENTION))
@@ -88,7 +166,10 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
 
     told = lines.join(best, "line")
     own = told.groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license", "line")).alias("b"), (F.sum(F.length("line")) * 2 >= F.first("size")).alias("mostly"))
-    own = cut(own.select("doc_id", "path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), F.col("b.line").alias("statement"), (F.col("mostly") | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))).alias("is_file")), "own-licenses")
+    own = own.select("doc_id", "path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), F.col("b.line").alias("statement"), (F.col("mostly") | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))).alias("is_file"))
+    own = own.withColumn("kind", F.lit(0)).unionByName(_told_by_passages(rows, least).withColumn("kind", F.lit(1)))
+    own = own.groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), "kind", "license", "statement")).alias("b"), F.max("is_file").alias("is_file"))
+    own = cut(own.select("doc_id", "path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), F.col("b.statement").alias("statement"), "is_file"), "own-licenses")
 
     given = own.where("is_file AND path IS NOT NULL").groupBy(_directory(F.col("path")).alias("directory")).agg(F.min(F.struct((-F.col("score")).alias("s"), "license", "path")).alias("b"))
     given = cut(given.select("directory", F.col("b.license").alias("given"), (-F.col("b.s")).alias("given_score")), "directory-licenses")
