@@ -4,8 +4,8 @@
    COORDINATES minima.  Documents of equal sets collapse to the one of the
    smallest id.
 2. A signature is a set of (coordinate, value) pairs.  Two documents at the
-   similarity agree in at least `matches` of them but for a chance of under one
-   in a million.  With the pairs in order of their frequency, rarest first,
+   similarity agree in at least `matches` of them but for a chance of a few
+   in a million (2.4e-6 at 0.85).  With the pairs in order of their frequency, rarest first,
    two such documents must meet in their first COORDINATES - matches + 1: only
    that prefix is posted.  Pairs of one document alone are skipped outright,
    so common passages, whose values are the frequent ones, post nothing.
