@@ -85,6 +85,41 @@ def test_language(spark, empty):
     assert langid.label(odd, langid.train(empty.withColumn("lang", F.lit("")))).where("_lang <> 'und'").count() == 0
 
 
+def test_language_of_many_and_clashing_names(spark):
+    """More languages than a byte counts, very long texts, columns of the result's names, ties."""
+    r = random.Random(4)
+    made = {f"l{k:03d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(150)}
+    rows = [(k, " ".join(r.choice(words) for _ in range(60)), lang) for k, (lang, words) in enumerate(made.items())]
+    rows.append((900, " ".join(r.choice(made["l149"]) for _ in range(30_000)), None))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(table)
+    assert len(model.langs) == 150
+    odd = table.withColumn("_LANG", F.lit("x")).withColumn("_score", F.lit(7))
+    with pytest.raises(ValueError):
+        langid.label(odd, model)
+    lang, score, spans = langid.free_names(odd.columns, "_lang", "_score", "_spans")
+    got = {x.doc_id: x for x in langid.label(odd, model, names=(lang, score, spans)).collect()}
+    right = [got[k][lang] == (want or "l149") for k, _, want in rows]
+    assert all(right) and all(x["_LANG"] == "x" and x["_score"] == 7 for x in got.values())
+    tied = spark.createDataFrame([(1, "zz", "b"), (2, "zz", "a")], "doc_id long, text string, lang string")
+    assert {x._lang for x in langid.label(tied, langid.train(tied)).collect()} == {"a"}
+
+
+def test_word_grams_one_by_one():
+    """Words and their n-grams of arrays are those of plain loops."""
+    texts = ["Hé llo, wörld x1y2 _a_ ß", "", None, "ひらがな abc", "a", "b"]
+    words = langid.Words(texts)
+    plain = [re.findall(r"[^\W\d_]+", (t or "").lower()) for t in texts]
+    assert np.diff(words.first).tolist() == [len(p) for p in plain]
+    grams, word = words.buckets(0, len(words))
+    for k, w in enumerate(x for p in plain for x in p):
+        c = [ord(x) for x in f" {w} "]
+        want = [x * 40503 for x in c[1:-1]] + [a * 69069 + b * 1566083 + 7 for a, b in zip(c, c[1:])]
+        want += [a * 69069 + b * 1566083 + d * 8121 + 1013 for a, b, d in zip(c, c[1:], c[2:])]
+        own = grams[: -len(words)][word[: -len(words)] == k]
+        assert sorted(own) == sorted(x % langid.BUCKETS for x in want)
+
+
 def test_viterbi_is_optimal():
     r = np.random.default_rng(2)
     sizes = [0, 1, 5, 7, 3]

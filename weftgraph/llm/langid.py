@@ -21,20 +21,21 @@ go to the language first in order of name.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from weftgraph.llm.shared import lean
+from weftgraph.llm import textops
+from weftgraph.llm.shared import free_names, lean
 
 BUCKETS = 1 << 15
 #: Rows of the training sample at most.
 SAMPLE_ROWS = 20_000
-#: Words whose scores a task keeps at hand, and words that are scored and labelled at a time.
-KNOWN_WORDS, BATCH_WORDS = 150_000, 60_000
+#: Characters of texts that are labelled at a time (a longer text is taken alone), and words that are scored at a time.
+BATCH_CHARS, SCORED_WORDS = 1_000_000, 20_000
 SWITCH = 6.0
 ABSENT = -12.0
 
@@ -57,68 +58,94 @@ SCRIPTS = [
     (0xAC00, 0xD7AF, "hangul"),
 ]
 _NAMES = [*dict.fromkeys(s for _, _, s in SCRIPTS), "other"]
-_WORD = re.compile(r"[^\W\d_]+")
+_OTHER = len(_NAMES) - 1
+_SPACE = 0x20
+_classes: list[np.ndarray] = []
 
 
-def _script(word: str) -> int:
-    """The script of a word's first letter in a known range."""
-    for ch in word:
-        c = ord(ch)
-        if c < 0x250:
-            return 0
+def _letters() -> np.ndarray:
+    """For each code point its script plus one if it is a letter (alphanumeric, not a decimal digit), else 0; made once a process."""
+    if not _classes:
+        table = np.zeros(0x110000, np.uint8)
+        alnum = [c for c in range(0x110000) if (ch := chr(c)).isalnum() and not ch.isdecimal()]
+        scripts = np.full(0x110000, _OTHER, np.uint8)
+        scripts[:0x250] = 0
         for a, b, name in SCRIPTS:
-            if a <= c <= b:
-                return _NAMES.index(name)
-    return len(_NAMES) - 1
-
-
-def _buckets(word: str) -> list[int]:
-    """Hashed n-grams of one to three characters, with the word's bounds, and the word itself."""
-    s = f" {word} "
-    c = [ord(x) for x in s]
-    n = len(c)
-    out = [(x * 40503) % BUCKETS for x in c[1:-1]]
-    out += [(c[k] * 69069 + c[k + 1] * 1566083 + 7) % BUCKETS for k in range(n - 1)]
-    out += [(c[k] * 69069 + c[k + 1] * 1566083 + c[k + 2] * 8121 + 1013) % BUCKETS for k in range(n - 2)]
-    h = 5381
-    for x in c:
-        h = (h * 33 + x) & 0xFFFFFFFF
-    out.append(h % BUCKETS)
-    return out
+            scripts[a : b + 1] = _NAMES.index(name)
+        table[alnum] = scripts[alnum] + 1
+        _classes.append(table)
+    return _classes[0]
+
+
+class Words:
+    """The lower-cased words (runs of letters) of several texts as arrays: first[k]:first[k + 1] are those of text k."""
+
+    def __init__(self, texts: list[str | None]):
+        low = [(t or "").lower() for t in texts]
+        chars = np.frombuffer(f"  {' '.join(low)}  ".encode("utf-32-le"), np.uint32)
+        kind = _letters()[chars]
+        letter = kind > 0
+        #: Code points with a space for whatever is not a letter, so a word's bounds are n-grams like any other.
+        self.chars = np.where(letter, chars, _SPACE).astype(np.int64)
+        edge = np.diff(letter.astype(np.int8))
+        self.start, self.end = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
+        size = np.fromiter(map(len, low), np.int64, len(low))
+        begin = 2 + np.concatenate(([0], np.cumsum(size + 1)))
+        self.first = np.searchsorted(self.start, begin)
+        known = np.flatnonzero(letter & (kind != _OTHER + 1))
+        at = np.searchsorted(known, self.start)
+        at_known = known[np.minimum(at, max(len(known) - 1, 0))] if len(known) else self.start
+        has = (at < len(known)) & (at_known < self.end)
+        #: The script of a word's first letter in a known range.
+        self.script = np.where(has, kind[at_known].astype(np.int64) - 1, _OTHER)
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def letters(self) -> np.ndarray:
+        return self.end - self.start
+
+    def buckets(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of words a to b: hashed n-grams of one to three characters, bounds included, and the word itself; with each one's word."""
+        start, end = self.start[a:b], self.end[a:b]
+        lo, hi = int(start[0]) - 1, int(end[-1]) + 1
+        c = self.chars[lo:hi]
+        start, end = start - lo, end - lo
+        inside = c != _SPACE
+        word = np.cumsum(np.concatenate(([False], inside[1:] & ~inside[:-1]))) - 1
+        one = np.flatnonzero(inside)
+        two = np.flatnonzero(inside[:-1] | inside[1:])
+        two_word = np.where(inside[two], word[two], word[np.minimum(two + 1, len(c) - 1)])
+        three = one - 1
+        sums = textops.prefix_sums(textops.mix(c.astype(np.uint64)))
+        whole = (textops.range_hash(sums, start, end) % np.uint64(BUCKETS)).astype(np.int64)
+        grams = [
+            (c[one] * 40503) % BUCKETS,
+            (c[two] * 69069 + c[two + 1] * 1566083 + 7) % BUCKETS,
+            (c[three] * 69069 + c[three + 1] * 1566083 + c[three + 2] * 8121 + 1013) % BUCKETS,
+            whole,
+        ]
+        return np.concatenate(grams), np.concatenate((word[one], two_word, word[one], np.arange(b - a)))
 
 
 class Model:
     def __init__(self, langs: list[str], logs: np.ndarray, writes: np.ndarray):
         self.langs, self.logs, self.writes = langs, logs, writes
-        self.cache: dict[str, int] = {}
-        self.scores = np.zeros((0, len(langs)), np.float32)
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
+    def word_scores(self, words: Words) -> np.ndarray:
         """A row for each word: log evidence for each language."""
-        cache = self.cache
-        if len(cache) > KNOWN_WORDS:
-            cache.clear()
-            self.scores = self.scores[:0]
-        fresh = [w for w in dict.fromkeys(words) if w not in cache]
-        if fresh:
-            rows = [_buckets(w) for w in fresh]
-            size = np.array([len(r) for r in rows])
-            flat = np.fromiter((b for r in rows for b in r), np.int64, int(size.sum()))
-            sums = np.add.reduceat(self.logs[flat], np.cumsum(size) - size, axis=0)
+        out = np.empty((len(words), len(self.langs)), np.float32)
+        for a in range(0, len(words), SCORED_WORDS):
+            b = min(a + SCORED_WORDS, len(words))
+            grams, word = words.buckets(a, b)
+            size = np.bincount(word, minlength=b - a)
+            sums = np.stack([np.bincount(word, self.logs[grams, k], b - a) for k in range(len(self.langs))], axis=1)
             sums *= (np.minimum(size, 24) / size)[:, None] / 3
             sums -= sums.max(axis=1, keepdims=True)
             np.maximum(sums, ABSENT, out=sums)
-            scripts = np.array([_script(w) for w in fresh])
-            allowed = self.writes[scripts]
-            sums = np.where(allowed | ~allowed.any(axis=1, keepdims=True), sums, ABSENT).astype(np.float32)
-            at = len(self.scores)
-            self.scores = np.concatenate((self.scores, sums))
-            cache.update(zip(fresh, range(at, at + len(fresh))))
-        return self.scores[np.fromiter((cache[w] for w in words), np.int64, len(words))]
-
-
-def _words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+            allowed = self.writes[words.script[a:b]]
+            out[a:b] = np.where(allowed | ~allowed.any(axis=1, keepdims=True), sums, ABSENT)
+        return out
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -128,10 +155,10 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     size, begin = size[order], first[:-1][order]
     n, k = scores.shape
     stay = np.empty((n, k), bool)
-    came = np.empty(n, np.int8)
+    came = np.empty(n, np.int32)
     live = int((size > 0).sum())
     v = scores[begin[:live]].astype(np.float64)
-    ends = np.zeros(len(size), np.int8)
+    ends = np.zeros(len(size), np.int32)
     steps = int(size[0]) if len(size) else 0
     alive = np.searchsorted(-size, -np.arange(1, steps + 2), "right")
     for t in range(1, steps + 1):
@@ -149,7 +176,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
         v = np.where(keep, v, top[:, None]) + scores[at]
         if not t % 512:
             v -= v.max(axis=1, keepdims=True)
-    out = np.empty(n, np.int8)
+    out = np.empty(n, np.int32)
     state = ends.copy()
     for t in range(steps - 1, -1, -1):
         m = int(np.searchsorted(-size, -t, "left"))  # texts longer than t
@@ -161,6 +188,16 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     return out
 
 
+def _runs(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of successive texts of about BATCH_CHARS characters (or bytes) together, one text at least."""
+    off = np.concatenate(([0], np.cumsum(size)))
+    at = 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(off, off[at] + BATCH_CHARS, "right")) - 1)
+        yield at, to
+        at = to
+
+
 def train(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most about sample_rows labelled rows, taken by a hash of the id.
 
@@ -173,20 +210,18 @@ def train(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}
-        known: dict[str, bytes] = {}
         for batch in batches:
+            held: dict[str, list[str]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(lang, []).append(text)
+            for lang, texts in held.items():
                 have = grams.setdefault(lang, np.zeros(BUCKETS + len(_NAMES), np.int64))
-                flat: list[bytes] = []
-                for w in _words(text):
-                    b = known.get(w)
-                    if b is None:
-                        b = np.array([*_buckets(w), BUCKETS + _script(w)], np.int32).tobytes()
-                        if len(known) < KNOWN_WORDS:
-                            known[w] = b
-                    flat.append(b)
-                if flat:
-                    have += np.bincount(np.frombuffer(b"".join(flat), np.int32), minlength=len(have))
+                for a, b in _runs(np.fromiter(map(len, texts), np.int64, len(texts))):
+                    words = Words(texts[a:b])
+                    for at in range(0, len(words), SCORED_WORDS):
+                        to = min(at + SCORED_WORDS, len(words))
+                        have[:BUCKETS] += np.bincount(words.buckets(at, to)[0], minlength=BUCKETS)
+                    have[BUCKETS:] += np.bincount(words.script, minlength=len(_NAMES))
         for lang, have in grams.items():
             at = np.flatnonzero(have)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(have[at])], names=["lang", "bucket", "n"])
@@ -201,44 +236,40 @@ def train(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id
     return Model(langs, logs.astype(np.float32), scripts >= 0.01 * scripts.sum(axis=0))
 
 
-def label(docs: DataFrame, model: Model, *, text_col: str = "text", spans: bool = True, switch: float = SWITCH) -> DataFrame:
-    """docs with _lang, _score and, if asked for, _spans (word starts and languages) of each row."""
+def label(docs: DataFrame, model: Model, *, text_col: str = "text", spans: bool = True, switch: float = SWITCH, names: tuple[str, ...] = ("_lang", "_score", "_spans")) -> DataFrame:
+    """docs with a language, its score and, if asked for, spans (word starts and languages) of each row.
+
+    names are those of the new columns; docs may not have them (free_names() finds some).
+    """
     columns = docs.columns
+    names = [*names[: 2 + spans]]
+    if free_names(columns, *names) != names:
+        raise ValueError(f"the table has a column named like one of {names}")
     langs = model.langs
     shared = docs.sparkSession.sparkContext.broadcast((langs, model.logs, model.writes))
-    fields = docs.select("*", F.lit("").alias("_lang"), F.lit(0.0).alias("_score"), F.array().cast("array<struct<word:int,lang:string>>").alias("_spans")).schema
-    names = [*columns, "_lang", "_score", *["_spans"] * spans]
-    fields = type(fields)(fields.fields[: len(names)])
+    new = [F.lit("").alias(names[0]), F.lit(0.0).alias(names[1]), *[F.array().cast("array<struct<word:int,lang:string>>").alias(n) for n in names[2:]]]
+    fields = docs.select("*", *new).schema
+    names = [*columns, *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
-            at, n = 0, len(batch)
-            texts = batch.column(text_col)
-            while at < n:
-                words: list[str] = []
-                first = [0]
-                begin = at
-                while at < n and len(words) < BATCH_WORDS:
-                    t = texts[at].as_py()
-                    if t and langs:
-                        words += _words(t)
-                    first.append(len(words))
-                    at += 1
-                off = np.array(first)
-                best = np.zeros(len(first) - 1, np.int64)
-                share = np.zeros(len(first) - 1)
-                path = np.zeros(0, np.int8)
-                if words:
+            texts = batch.column(columns.index(text_col))
+            for at, to in _runs(pc.fill_null(pc.binary_length(texts), 0).to_numpy()):
+                n = to - at
+                words = Words(texts.slice(at, n).to_pylist() if langs else [None] * n)
+                off = words.first
+                best, share = np.zeros(n, np.int64), np.zeros(n)
+                path = np.zeros(0, np.int32)
+                if len(words):
                     path = viterbi(own.word_scores(words), off, switch)
-                    letters = np.array(list(map(len, words)), np.float64)
-                    row = np.repeat(np.arange(len(best)), np.diff(off))
-                    tally = np.bincount(row * len(langs) + path, letters, len(best) * len(langs)).reshape(-1, len(langs))
+                    row = np.repeat(np.arange(n), np.diff(off))
+                    tally = np.bincount(row * len(langs) + path, words.letters(), n * len(langs)).reshape(-1, len(langs))
                     best = tally.argmax(axis=1)
                     total = tally.sum(axis=1)
                     share = np.where(total > 0, tally.max(axis=1) / np.maximum(total, 1), 0)
                 filled = np.diff(off) > 0
-                cols = [*(batch.column(c).slice(begin, at - begin) for c in columns), pa.array([langs[b] if ok else "und" for b, ok in zip(best, filled)]), pa.array(share)]
+                cols = [*(c.slice(at, n) for c in batch.columns), pa.array([langs[b] if ok else "und" for b, ok in zip(best, filled)], pa.string()), pa.array(share)]
                 if spans:
                     got = []
                     for a, b in zip(off[:-1], off[1:]):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftgraph.storage import cut, scratch_path, shared_dir
 
-__all__ = ["cut", "id_bitmap", "in_bitmap", "lean", "only", "scratch_path", "shared_dir", "small_batches"]
+__all__ = ["cut", "free_names", "id_bitmap", "in_bitmap", "lean", "only", "scratch_path", "shared_dir", "small_batches"]
 
 _BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
@@ -57,6 +57,17 @@ def only(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(c) for c in cols])
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """names, each with as many underscores after it as it takes not to be one of the columns (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def id_bitmap(ids: DataFrame, col: str):
     """A broadcast bitmap over hashes of ids, of at most 8 MB, and its size in bits.
 
