@@ -18,8 +18,13 @@
    with the leader, it can only be linked with y if x* and y* overlap by more
    than nearly half of y*; so x* and y* must meet in short prefixes, again
    rarest first, where the edits of unrelated copies never meet.  The overlap of
-   the differences also decides the link exactly.
-5. Candidates agreeing in `matches` coordinates are confirmed on the full sets.
+   the differences also decides the link exactly.  Where two prefixes first
+   meet, the shorter of what follows bounds the overlap: pairs that it rules
+   out never leave the join.
+5. Skip merging: the lists beyond a prefix, the long ones, are never merged;
+   what a candidate pair has in them is looked up in its two signatures, which
+   gives its whole count of collisions.  Pairs that agree in `matches`
+   coordinates are confirmed on the full sets.
 
 Defined cases: a null or wordless text has an empty set, is linked with nothing
 and kept; repeated rows collapse like other copies; a null id takes part in no
@@ -142,23 +147,19 @@ def _members(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in textops.slices(batch.column(1), lower=True):
-                got = [s.tobytes() for s in _sets(part, shingle)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.lo, len(part)), pa.array(got, pa.binary())], names=["doc_id", "members"])
-
     table, bits = id_bitmap(wanted, "doc_id")
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = in_bitmap(table.value, batch.column(2).to_numpy(), bits)
             if keep.any():
-                yield batch.select([0, 1]).filter(pa.array(keep))
+                likely = batch.filter(pa.array(keep))
+                for part in textops.slices(likely.column(1), lower=True):
+                    got = [s.tobytes() for s in _sets(part, shingle)]
+                    yield pa.RecordBatch.from_arrays([likely.column(0).slice(part.lo, len(part)), pa.array(got, pa.binary())], names=["doc_id", "members"])
 
-    likely = docs.withColumn("_h", F.xxhash64("doc_id")).mapInArrow(lean(some), f"doc_id {kind}, text string")
-    full = likely.join(wanted, "doc_id", "left_semi").mapInArrow(lean(sets), f"doc_id {kind}, members binary")
-    return cut(full, "sets").dropDuplicates(["doc_id"])
+    full = docs.withColumn("_h", F.xxhash64("doc_id")).mapInArrow(lean(sets), f"doc_id {kind}, members binary")
+    return cut(full.join(wanted, "doc_id", "left_semi"), "sets").dropDuplicates(["doc_id"])
 
 
 def _beside_leaders(stars: DataFrame, links: DataFrame, parts: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -202,11 +203,17 @@ def _beside_leaders(stars: DataFrame, links: DataFrame, parts: DataFrame, docs:
     index = F.greatest(overlap, F.ceil(F.lit((1 - r) / 2) * F.col("n") - 1e-6))
     short = lambda o: F.greatest(F.lit(0), F.col("n") - o + 1 - alone).cast("int")
     held = cut(held.select("a", "x", "size", "linked", "n", "part", "stars", "_m", short(index).alias("_i"), short(overlap).alias("_o")), "prefixes")
-    left = held.where("NOT linked").select("a", F.col("x").alias("u"), F.col("size").alias("su"), F.col("n").alias("nu"), F.col("part").alias("pu"), F.col("stars").alias("tu"), F.explode(F.slice(F.col("_m.member"), F.lit(1), F.col("_o"))).alias("member"))
-    right = held.select("a", F.col("x").alias("y"), F.col("size").alias("sy"), F.col("n").alias("ny"), F.col("part").alias("py"), F.col("stars").alias("ty"), "linked", F.explode(F.slice(F.col("_m.member"), F.lit(1), F.col("_i"))).alias("member"))
+    posted = lambda n: F.posexplode(F.slice(F.col("_m.member"), F.lit(1), F.col(n)))
+    rest = F.size("_m") - F.col("_at")
+    left = held.where("NOT linked").select("*", posted("_o").alias("_at", "member"))
+    left = left.select("a", F.col("x").alias("u"), F.col("size").alias("su"), F.col("n").alias("nu"), F.col("part").alias("pu"), F.col("stars").alias("tu"), rest.alias("ru"), "member")
+    right = held.select("*", posted("_i").alias("_at", "member"))
+    right = right.select("a", F.col("x").alias("y"), F.col("size").alias("sy"), F.col("n").alias("ny"), F.col("part").alias("py"), F.col("stars").alias("ty"), rest.alias("ry"), "linked", "member")
     # a pair of several stars in common is compared in the first of them alone
     once = F.array_min(F.array_intersect("tu", "ty")) == F.col("a")
-    meet = left.join(right, ["a", "member"]).where((F.col("pu") != F.col("py")) & once & (F.col("linked") | (F.col("u") < F.col("y"))) & (F.abs(F.col("nu") - F.col("ny")) <= F.lit(r) * (F.col("su") + F.col("sy")) + 1e-6))
+    # where two prefixes first meet, what follows in the shorter rest bounds the overlap
+    reach = 2 * F.least("ru", "ry") >= F.col("nu") + F.col("ny") - F.lit(r) * (F.col("su") + F.col("sy")) - 1e-6
+    meet = left.join(right, ["a", "member"]).where(reach & (F.col("pu") != F.col("py")) & once & (F.col("linked") | (F.col("u") < F.col("y"))))
     pairs = cut(meet.select("a", "u", "y").distinct(), "different")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
