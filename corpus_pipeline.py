@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftgraph.llm import decontaminate, langid, neardup, packing, pii
 from weftgraph.llm.registry import TOKENIZER
-from weftgraph.llm.shared import scratch_path
+from weftgraph.llm.shared import cut, free_names, scratch_path
 
 #: Texts whose chosen language has less of their letters than this are rejected.
 LEAST_LANGUAGE_SHARE = 0.5
@@ -22,21 +22,34 @@ LEAK_ITEMS, LEAK_SHARE = 2, 0.5
 LEAK_RUN, LEAK_WINDOW, LEAK_GAP = 13, 5, 2
 
 
+def _short_batches(spark: SparkSession) -> None:
+    """This application's session hands texts to Python in short Arrow batches from here on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents of a known language; null, letterless and undecided texts go."""
-    found = langid.label(docs, langid.train(docs), spans=False)
-    return found.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_LANGUAGE_SHARE)).select(*docs.columns)
+    _short_batches(spark)
+    lang, score = free_names(docs.columns, "_lang", "_score")
+    found = langid.label(docs, langid.train(docs), spans=False, names=(lang, score))
+    return found.where((F.col(lang) != "und") & (F.col(score) >= LEAST_LANGUAGE_SHARE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies; a null id is in no group."""
-    found = neardup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    _short_batches(spark)
+    found = cut(neardup.near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "kept")
+    kept = docs.join(found.where("kept").select("doc_id"), "doc_id", "left_semi")
+    if found.where("kept AND rows > 1").limit(1).count():
+        twice = found.where("rows > 1").select("doc_id")
+        kept = kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold benchmark items, or quote them at some length, if with words changed."""
+    _short_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.find_leaks(docs, items)
     left = found.where(~decontaminate.is_contaminated(LEAK_ITEMS, LEAK_SHARE)).select(*docs.columns)
@@ -46,6 +59,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put kinds in the place of personal data; n_chars follows the text."""
+    _short_batches(spark)
     out = pii.redact(docs)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
@@ -54,6 +68,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack all that is left into sequences of 1024 tokens."""
+    _short_batches(spark)
     import public_tokenizers
 
     pieces = packing.tokenize_pieces(docs, public_tokenizers.path(f"{TOKENIZER}.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
