@@ -40,7 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep one document of each group of near copies; a null id is in no group."""
     _short_batches(spark)
     found = cut(neardup.near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "kept")
-    kept = docs.join(found.where("kept").select("doc_id"), "doc_id", "left_semi")
+    # not broadcast at any size: the ids that are kept grow with the documents
+    kept = docs.join(found.where("kept").select("doc_id").hint("merge"), "doc_id", "left_semi")
     if found.where("kept AND rows > 1").limit(1).count():
         twice = found.where("rows > 1").select("doc_id")
         kept = kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
