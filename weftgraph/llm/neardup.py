@@ -159,7 +159,8 @@ def _members(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([likely.column(0).slice(part.lo, len(part)), pa.array(got, pa.binary())], names=["doc_id", "members"])
 
     full = docs.withColumn("_h", F.xxhash64("doc_id")).mapInArrow(lean(sets), f"doc_id {kind}, members binary")
-    return cut(full.join(wanted, "doc_id", "left_semi"), "sets").dropDuplicates(["doc_id"])
+    # a table of its own, so that what joins it may be split where one leader has many partners
+    return cut(full.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
 
 
 def _beside_leaders(stars: DataFrame, links: DataFrame, parts: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
