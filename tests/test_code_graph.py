@@ -70,6 +70,65 @@ def test_routes(graph):
     assert got == {("GET /items/{item_id}", "read_item", "fastapi"), ("POST /items", "create_item", "fastapi"), ("GET /users", "listUsers", "express")}
 
 
+PYTHON_ROUTES = '''
+import aiohttp.web as web
+from starlette.routing import Route
+
+@app.route("/hello", methods=["GET", "post"])
+async def hello(request):
+    """@app.get("/fake")"""
+
+# @app.get("/comment")
+@bp.websocket("/live")
+def live(ws): ...
+
+@server.tool()
+def add_numbers(a, b): ...
+
+@server.resource("res://greeting")
+def greeting(): ...
+
+@server.prompt
+def review(code): ...
+
+app.add_url_rule("/rule", view_func=views.rule, methods=("PUT",))
+app.add_api_route("/api", endpoint, methods=["PATCH"])
+app.router.add_get(
+    "/ping",
+    handle_ping,
+)
+app.router.add_route("post", "/echo", handle_echo)
+app.add_routes([web.post("/w", handle_w), web.view("/v", Viewer)])
+routes = [Route("/star", endpoint=star, methods=["GET"])]
+cache.get("/not/a/route")
+'''
+SCRIPT_ROUTES = """
+const books = express.Router();
+// app.get('/comment', no)
+app.get('/users', auth, listUsers);
+app.post("/users",
+  auth,
+  async (req, res) => { res.send(other(1, 2)); });
+books.delete(`/b/:id`, handlers.remove)
+app.route('/both').get(a.show).post(b.save)
+cache.get('/users', x);
+const text = "app.get('/inside', no)";
+server.registerTool('sum', { a: 1 }, sumUp);
+"""
+
+
+def test_registrations_of_all_shapes():
+    got = {(r[0], r[3], r[7]) for r in frameworks.python_routes("a.py", PYTHON_ROUTES)}
+    assert got == {
+        ("route", "GET,POST /hello", "hello"), ("route", "WEBSOCKET /live", "live"), ("tool", "add_numbers", "add_numbers"), ("resource", "res://greeting", "greeting"),
+        ("prompt", "review", "review"), ("route", "PUT /rule", "rule"), ("route", "PATCH /api", "endpoint"), ("route", "GET /ping", "handle_ping"), ("route", "POST /echo", "handle_echo"),
+        ("route", "POST /w", "handle_w"), ("route", "* /v", "Viewer"), ("route", "GET /star", "star"),
+    }
+    got = {(r[0], r[3], r[7]) for r in frameworks.javascript_routes("a.js", SCRIPT_ROUTES)}
+    assert got == {("route", "GET /users", "listUsers"), ("route", "POST /users", None), ("route", "DELETE /b/:id", "remove"), ("route", "GET /both", "show"), ("route", "POST /both", "save"), ("tool", "sum", "sumUp")}
+    assert frameworks.python_routes("a.py", "def (:") == [] and frameworks.javascript_routes("a.js", "app.get('/x'") == []
+
+
 def test_ranks_sum_to_one(graph):
     assert abs(graph.symbol.agg(F.sum("pagerank")).head()[0] - 1) < 1e-9
 
@@ -193,4 +252,3 @@ def test_one_pattern_each():
     cases = {"go": ("func Run(x int) {\n}\n", "Run"), "rust": ("pub fn run() {\n}\n", "run"), "ruby": ("def run\nend\n", "run"), "java": ("public class A {\n  public int run(int x) {\n  }\n}\n", "run"), "c": ("int run(int x) {\n}\n", "run"), "markdown": ("# Title\n", "Title"), "lua": ("function run()\nend\n", "run"), "sql": ("create table t (a int)", "t"), "bash": ("run() {\n}\n", "run"), "kotlin": ("fun run() {\n}\n", "run"), "scala": ("def run(): Int = 1\n", "run"), "swift": ("func run() {\n}\n", "run"), "php": ("function run() {\n}\n", "run"), "elixir": ("def run do\nend\n", "run"), "perl": ("sub run {\n}\n", "run")}
     for language, (text, name) in cases.items():
         assert name in [e[2] for e in code.parse("x", language, text)[0]], language
-    assert frameworks.RULES
