@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import subprocess
 from collections import defaultdict, deque
 from urllib.parse import urljoin
 
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from weftgraph import catalog
 from weftgraph.functions import geometry, text
-from weftgraph.operators import community, edges, health, rank, search, traverse
+from weftgraph.operators import changes, community, edges, health, layout, rank, search, traverse
+from weftgraph.sources import chunks, history
 
 
 @pytest.fixture(scope="module")
@@ -105,9 +107,88 @@ def test_two_cliques(spark):
     assert got == {i: 0 if i < 4 else 4 for i in range(8)}
     members = spark.createDataFrame(list(got.items()), "id long, community long")
     assert {r.community: r.cohesion for r in community.cohesion(members, df).collect()} == {0: round(6 / 6.1, 4), 4: round(6 / 6.1, 4)}
-    # folded: the files are the units
-    folded = community.detect(spark.range(8).withColumn("file", (F.col("id") / 4).cast("int")), df, fold=["file"], max_nodes=4)
-    assert folded.count() in (0, 8)
+    moved = {r.id: r.community for r in community.detect(spark.range(8), df, method="moves").collect()}
+    assert moved == got
+    with pytest.raises(ValueError):
+        community.detect(spark.range(8), df, method="moves", max_units=4)
+    # files as units: two of them, with one weak link, are one community of all
+    folded = community.detect(spark.range(8).withColumn("file", (F.col("id") / 4).cast("int")), df, unit="file")
+    assert {r.community for r in folded.collect()} == {0}
+
+
+def test_closure_of_a_long_path(spark):
+    """100 steps: more than any fixed number of rounds would be set to."""
+    df = spark.range(100).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert traverse.closure(df).count() == 101 * 100 // 2
+
+
+def test_shared_reach(spark):
+    r = random.Random(3)
+    walk = {(s, i) for s in range(150) for i in r.sample(range(400), r.randrange(1, 4))} | {(s, 999) for s in range(0, 150, 2)}
+    got = {x.seed: x.shared for x in changes.shared_reach(spark.createDataFrame(list(walk), "seed long, id long")).collect()}
+    by = defaultdict(set)
+    for s, i in walk:
+        by[i].add(s)
+    assert got == {s: len(set().union(*(by[i] for t, i in walk if t == s)) - {s}) for s in range(150)}
+
+
+def test_discs_have_cells_of_their_own():
+    r = np.random.default_rng(1)
+    at = layout.apart(np.vstack((r.normal(size=(300, 2)) * 3, np.zeros((50, 2)))), 2.0)
+    assert len({tuple(x) for x in at}) == 350
+
+
+def test_diff_by_hunk_lengths():
+    """Changed lines that look like headers, files without git's header, a rename and a deletion."""
+    text = """diff --git a/x b/x
+--- a/x
++++ b/x
+@@ -1 +1,3 @@
+--- gone
++++ b/y
++@@ -1 +1 @@
++new
+@@ -9,0 +12 @@ tail
++late
+\\ No newline at end of file
+diff --git a/old b/new
+rename from old
+rename to new
+diff --git a/z b/z
+deleted file mode 100644
+--- a/z
++++ /dev/null
+@@ -1,2 +0,0 @@
+-a
+-b
+"""
+    got = [(f["path"], f["status"], f["ranges"], f["added"], f["removed"]) for f in history.parse_diff(text.replace("\\\\", "\\"))]
+    assert got == [("x", "modified", [(1, 3), (12, 12)], 4, 1), ("new", "renamed", [], 0, 0), ("z", "deleted", [(1, 1)], 0, 2)]
+    plain = "--- a/p\t2024\n+++ b/p\t2024\n@@ -1 +1 @@\n-a\n+b\n--- a/q\n+++ b/q\n@@ -3 +3 @@\n-a\n+b\n"
+    assert [(f["path"], f["ranges"]) for f in history.parse_diff(plain)] == [("p", [(1, 1)]), ("q", [(3, 3)])]
+
+
+def test_blame_and_log_of_a_repository(spark, tmp_path):
+    repo = str(tmp_path)
+    run = lambda *a: subprocess.run(["git", "-C", repo, "-c", "user.name=ann", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    run("init", "-q")
+    for k, body in enumerate(("a\nb\nc\n", "a\nB\nc\n")):
+        (tmp_path / "f.txt").write_text(body)
+        run("add", "-A")
+        run("commit", "-q", "-m", f"step {k}")
+    lines = history.blame(spark, repo, ["f.txt"])
+    own = history.blame_range(lines, "f.txt", 1, 2).orderBy("line").collect()
+    assert [r.line for r in own] == [1, 2] and own[0].commit != own[1].commit and {r.author for r in own} == {"ann"}
+    log = [r.subject for r in history.symbol_log(spark, repo, "f.txt", 2, 2).collect()]
+    assert log == ["step 1", "step 0"] and history.symbol_log(spark, repo, "none", 1, 1).count() == 0
+    heads = history.recent(history.commits(spark, repo), 1, "f.txt").collect()
+    assert len(heads) == 1
+
+
+def test_long_lines_are_kept(spark):
+    body = "x = 1\n" * 300 + "y" * 20_000 + "\n" + "z = 2\n" * 10
+    parts = chunks.body_chunks(body)
+    assert sum(p[2].count("y") for p in parts) == 20_000 and max(len(p[2]) for p in parts) <= chunks.CHUNK_CAP
 
 
 def test_similar_is_exact(spark):

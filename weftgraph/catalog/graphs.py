@@ -96,13 +96,12 @@ def entry_points_anti(spark, d):
     return traverse.entry_points(symbols(spark, d), calls(spark, d).where("confidence >= 0.75"), price)
 
 
-@query(f"""WITH {CALLS}, e AS (SELECT src, dst FROM calls WHERE confidence >= 0.9), n AS (SELECT unnest([7, 8, 9]) AS id),
-w1 AS (SELECT DISTINCT n.id AS entry, e.dst AS id, 1 AS depth FROM n JOIN e ON src = n.id WHERE e.dst <> n.id),
-w2 AS (SELECT DISTINCT entry, e.dst AS id, 2 AS depth FROM w1 JOIN e ON src = w1.id WHERE e.dst <> entry AND NOT EXISTS (SELECT 1 FROM w1 x WHERE x.entry = w1.entry AND x.id = e.dst)),
-u AS (SELECT id AS entry, id, 0 AS depth FROM n WHERE id IN (SELECT entry FROM w1) UNION ALL SELECT * FROM w1 UNION ALL SELECT * FROM w2)
-SELECT entry, CAST(row_number() OVER (PARTITION BY entry ORDER BY depth, id) AS INT) AS position, id, CAST(depth AS INT) AS depth FROM u QUALIFY row_number() OVER (PARTITION BY entry ORDER BY depth, id) <= 50""")
+@query(f"""WITH RECURSIVE {CALLS}, e AS (SELECT src, dst FROM calls WHERE confidence >= 0.95), n AS (SELECT unnest([7, 8, 9]) AS id),
+w(entry, id, depth) AS (SELECT id, id, 0 FROM n UNION SELECT entry, e.dst, depth + 1 FROM w JOIN e ON src = w.id WHERE depth < 8),
+u AS (SELECT entry, id, min(depth) AS depth FROM w WHERE entry IN (SELECT src FROM e WHERE dst <> src) GROUP BY entry, id)
+SELECT CAST(entry AS BIGINT) AS entry, CAST(row_number() OVER (PARTITION BY entry ORDER BY depth, id) AS INT) AS position, id, CAST(depth AS INT) AS depth FROM u QUALIFY row_number() OVER (PARTITION BY entry ORDER BY depth, id) <= 50""")
 def processes(spark, d):
-    return traverse.flows(_seed(spark, 7, 8, 9), calls(spark, d).where("confidence >= 0.9"), 2).select("entry", "position", "id", "depth")
+    return traverse.flows(_seed(spark, 7, 8, 9), calls(spark, d).where("confidence >= 0.95"), 8).select("entry", "position", "id", "depth")
 
 
 @query("""WITH RECURSIVE inh AS (SELECT n_nationkey AS src, (n_nationkey * 2 + 1) % 25 AS dst FROM nation UNION SELECT n_nationkey, (n_nationkey * 3 + 2) % 25 FROM nation),
@@ -113,15 +112,21 @@ def inheritance_closure(spark, d):
     return traverse.closure(e)
 
 
-@query("""WITH e AS (SELECT DISTINCT n_nationkey AS src, (n_nationkey * k + k - 1) % 25 AS dst FROM nation, (SELECT unnest([2, 3]) AS k)), g AS (SELECT a.n_name AS a, b.n_name AS b FROM e JOIN nation a ON a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst WHERE src <> dst),
-c2 AS (SELECT 2 AS length, x.a || ' > ' || x.b AS path FROM g x JOIN g y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b),
-c3 AS (SELECT 3, x.a || ' > ' || x.b || ' > ' || y.b FROM g x JOIN g y ON x.b = y.a JOIN g z ON y.b = z.a AND z.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.b <> y.b),
-c4 AS (SELECT 4, x.a || ' > ' || x.b || ' > ' || y.b || ' > ' || z.b FROM g x JOIN g y ON x.b = y.a JOIN g z ON y.b = z.a JOIN g w ON z.b = w.a AND w.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.a < z.b AND x.b <> y.b AND x.b <> z.b AND y.b <> z.b)
-SELECT CAST(length AS INT) AS length, path FROM c2 UNION ALL SELECT * FROM c3 UNION ALL SELECT * FROM c4""")
+def _cycle(n: int) -> str:
+    """Cycles of n names as one join per step, each starting at its smallest name."""
+    hop = [f"g h{k}" for k in range(n)]
+    follow = [f"h{k}.b = h{k + 1}.a" for k in range(n - 1)] + [f"h{n - 1}.b = h0.a"]
+    least = [f"h0.a < h{k}.a" for k in range(1, n)]
+    differ = [f"h{i}.a <> h{j}.a" for i in range(1, n) for j in range(i + 1, n)]
+    return f"SELECT CAST({n} AS INT) AS length, {" || ' > ' || ".join(f'h{k}.a' for k in range(n))} AS path FROM {', '.join(hop)} WHERE {' AND '.join(follow + least + differ)}"
+
+
+@query(f"""WITH e AS (SELECT DISTINCT n_nationkey AS src, (n_nationkey * k + k - 1) % 25 AS dst FROM nation, (SELECT unnest([2, 3]) AS k)), g AS (SELECT a.n_name AS a, b.n_name AS b FROM e JOIN nation a ON a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst WHERE src <> dst)
+{' UNION ALL '.join(map(_cycle, range(2, 7)))}""")
 def short_cycles(spark, d):
     n = table(spark, d, "nation")
     e = n.select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 2 + 1) % 25).alias("dst")).unionByName(n.select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 3 + 2) % 25).alias("dst")))
-    return traverse.short_cycles(e, n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), 4)
+    return traverse.short_cycles(e, n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), 6)
 
 
 @query(f"""WITH {SYMBOLS} SELECT id, line_end - line_start + 1 AS lines FROM (SELECT * FROM symbols ORDER BY line_end - line_start DESC, id LIMIT 100) WHERE line_end - line_start + 1 >= 50""")
@@ -186,7 +191,7 @@ def community_cohesion(spark, d):
 @query()
 def communities(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("file"))
-    return community.detect(p, calls(spark, d).select("src", "dst", F.col("confidence").alias("weight")), fold=["file"])
+    return community.detect(p, calls(spark, d).select("src", "dst", F.col("confidence").alias("weight")))
 
 
 @query()

@@ -51,12 +51,12 @@ def contains_tree(spark, d):
     return edges.contains_edges(rows)
 
 
-@query(f"""WITH RECURSIVE inh AS (SELECT n_nationkey AS src, (n_nationkey * 2 + 1) % 25 AS dst FROM nation WHERE n_nationkey < 20),
+@query(f"""WITH RECURSIVE inh AS (SELECT n_nationkey AS src, (n_nationkey * 2 + 1) % 25 AS dst FROM nation),
 cl(id, ancestor) AS (SELECT src, dst FROM inh WHERE src <> dst UNION SELECT cl.id, inh.dst FROM cl JOIN inh ON inh.src = cl.ancestor),
 m AS (SELECT n AS class_id, name, min(id) AS id FROM (SELECT c_nationkey AS n, c_mktsegment AS name, c_custkey AS id FROM customer) GROUP BY 1, 2)
 SELECT DISTINCT a.id AS src, b.id AS dst FROM cl JOIN m a ON a.class_id = cl.id JOIN m b ON b.class_id = cl.ancestor AND a.name = b.name WHERE cl.id <> cl.ancestor""")
 def overrides_edges(spark, d):
-    inh = table(spark, d, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 2 + 1) % 25).alias("dst"))
+    inh = table(spark, d, "nation").select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 2 + 1) % 25).alias("dst"))
     m = table(spark, d, "customer").select(F.col("c_nationkey").alias("class_id"), F.col("c_mktsegment").alias("name"), F.col("c_custkey").alias("id"))
     return edges.overrides(inh, m)
 

@@ -114,22 +114,28 @@ def page_links(spark, d):
 
 
 @query(r"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1)) AS href FROM pages),
-r AS (SELECT DISTINCT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+') || href, '[#].*$', '') AS target FROM l WHERE starts_with(href, '/')),
+t AS (SELECT page_id, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-z]+://[^/]+') || href ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || href END AS target FROM l),
+r AS (SELECT DISTINCT page_id, regexp_replace(target, '[#].*$', '') AS target FROM t),
 host AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages)
 SELECT host AS src_host, count(*) AS edges, count(DISTINCT target) AS targets FROM r JOIN host USING (page_id) GROUP BY host""")
 def links_to_hosts(spark, d):
     from weftgraph.sources.web import links
 
-    # every link, as in page_links; the twin knows links from the root only
     pages = table(spark, d, "pages")
     got = links(pages, "page_id", "url", "html").select("page_id", F.regexp_replace("target", "#.*$", "").alias("target")).distinct()
     host = pages.select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("src_host"))
     return got.join(host, "page_id").groupBy("src_host").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("target").alias("targets"))
 
 
-@query(r"""SELECT page_id, length(t) AS n_chars, sha1(t) AS hash FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)\b.*?</(?:script|style)\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]*>', '', 'g'), '[ \t]+', ' ', 'g')) AS t FROM pages WHERE NOT regexp_matches(html, '(?s)<[^>]*\n[^>]*>'))""")
+def _blank(t: str, pattern: str) -> str:
+    """A step of html_text in SQL: what the pattern finds goes, but for its line ends."""
+    hits = f"list_transform(regexp_extract_all({t}, '{pattern}'), lambda h: regexp_replace(h, '[^\\n]+', '', 'g'))"
+    return f"array_to_string(list_transform(list_zip(string_split_regex({t}, '{pattern}'), list_concat({hits}, [''])), lambda z: z[1] || coalesce(z[2], '')), '')"
+
+
+@query(f"""WITH a AS (SELECT page_id, {_blank("coalesce(html, '')", r"(?is)<(?:script|style)" + chr(92) + r"b.*?</(?:script|style)" + chr(92) + "s*>")} AS t FROM pages), b AS (SELECT page_id, {_blank("t", "(?s)<!--.*?-->")} AS t FROM a), c AS (SELECT page_id, {_blank("t", "(?s)<[^>]*>")} AS t FROM b)
+SELECT page_id, length(t) AS n_chars, sha1(t) AS hash FROM (SELECT page_id, trim(regexp_replace(t, '[ \t]+', ' ', 'g')) AS t FROM c)""")
 def html_text(spark, d):
-    # all pages; the twin leaves out those with a line end inside a tag, which it can't keep, and null html
     t = table(spark, d, "pages").select("page_id", text.html_text(F.col("html")).alias("t"))
     return t.select("page_id", F.length("t").cast("long").alias("n_chars"), F.sha1(F.col("t").cast("binary")).alias("hash"))
 

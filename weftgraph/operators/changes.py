@@ -11,6 +11,10 @@ from weftgraph.operators.traverse import frontier
 from weftgraph.storage import cut
 
 
+#: Rows that a report lists at most, nearest first.
+CALLERS, FLOWS, TESTS = 300, 100, 200
+
+
 def changed_symbols(ranges: DataFrame, symbols: DataFrame, limit: int = 200) -> DataFrame:
     """Symbols that changed lines overlap, with the overlap; at most limit, by rank.
 
@@ -54,7 +58,7 @@ def detect_changes(ranges: DataFrame, symbols: DataFrame, edges: DataFrame, dept
         rows = rows.join(count(df, name), "id", "left").fillna(0, [name])
     score = risk.symbol_score(percentile=F.col("below"), callers=F.col("callers"), routes=F.col("routes"), entries=F.col("entries"), tests=F.col("tests"), lines=F.col("overlap"))
     scored = cut(rows.withColumn("score", score).withColumn("level", risk.level(F.col("score"))), "scored")
-    return {"changed": scored, "callers": callers.limit(300), "flows": flows.limit(100), "tests": tests.join(info.select("id", "name", "file"), "id").limit(200), "overall": scored.agg(risk.overall("score").alias("score")).withColumn("level", risk.level(F.col("score")))}
+    return {"changed": scored, "callers": callers.orderBy("depth", "seed", "id").limit(CALLERS), "flows": flows.orderBy("entry", "seed", "id").limit(FLOWS), "tests": tests.join(info.select("id", "name", "file"), "id").orderBy("depth", "file", "name", "seed", "id").limit(TESTS), "overall": scored.agg(risk.overall("score").alias("score")).withColumn("level", risk.level(F.col("score")))}
 
 
 def test_command(tests: list[tuple[str, str]]) -> str:
@@ -77,13 +81,28 @@ def rename_plan(files: DataFrame, symbols: DataFrame, edges: DataFrame, old: str
     return out.select("file", "line", "col", F.when(F.col("known"), 1.0).when(F.col("related"), 0.6).otherwise(0.3).alias("confidence"))
 
 
+def shared_reach(walk: DataFrame) -> DataFrame:
+    """(seed, shared): how many other seeds reach a symbol that a seed reaches; walk: (seed, id), distinct.
+
+    The seeds of a symbol are a bit set, cut into words of 64 seeds, and a seed's
+    partners are the union of its symbols' sets: no pair of seeds is ever a row,
+    however many of them reach one symbol.
+    """
+    from weftgraph.operators.rank import global_row_number
+
+    numbered = global_row_number(walk.select("seed").distinct(), F.asc("seed"), name="_p").select("seed", (F.col("_p") - 1).alias("_p"))
+    word, bit = F.shiftright("_p", 6).alias("_w"), F.expr("shiftleft(1L, cast(_p & 63 AS int))")
+    sets = walk.join(numbered, "seed").groupBy("id", word).agg(F.bit_or(bit).alias("_s"))
+    own = walk.join(sets, "id").groupBy("seed", "_w").agg(F.bit_or("_s").alias("_s"))
+    return own.groupBy("seed").agg((F.sum(F.bit_count("_s")) - 1).alias("shared"))
+
+
 def api_impact(routes: DataFrame, edges: DataFrame, symbols: DataFrame, depth: int = 5) -> DataFrame:
     """(route, reach, files, tests, shared): what a route's handler reaches, and other routes that reach some of it."""
     handles = edges.where("rel = 'HANDLES'").select(F.col("src").alias("seed"), F.col("dst").alias("id"))
     walk = cut(frontier(handles, edges.where("rel = 'CALLS'"), depth).select("seed", "id"), "reach")
     info = walk.join(symbols.select("id", "file"), "id").groupBy("seed").agg(F.countDistinct("id").alias("reach"), F.countDistinct("file").alias("files"))
     tests = edges.where("rel = 'TESTS'").join(walk.withColumnRenamed("id", "dst"), "dst").groupBy("seed").agg(F.countDistinct("src").alias("tests"))
-    # how many routes reach a symbol decides; pairs of routes are counted by symbol, never listed
-    pairs = walk.alias("a").join(walk.alias("b"), F.col("a.id") == F.col("b.id")).where("a.seed <> b.seed").groupBy(F.col("a.seed").alias("seed")).agg(F.countDistinct("b.seed").alias("shared"))
+    pairs = shared_reach(walk)
     out = routes.select(F.col("id").alias("seed"), "name").join(info, "seed", "left").join(tests, "seed", "left").join(pairs, "seed", "left")
     return out.fillna(0, ["reach", "files", "tests", "shared"]).withColumnRenamed("seed", "route")

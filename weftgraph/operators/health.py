@@ -66,11 +66,10 @@ def betweenness(edges: DataFrame, *, samples: int | None = None, seed: int = 7)
     sources, scale = nodes, 1.0
     if samples is not None and samples < n:
         # sampled by rank of the id; at most `samples` numbers reach the executors
-        from pyspark.sql import Window
+        from weftgraph.operators.rank import global_row_number
 
-        place = F.row_number().over(Window.orderBy("id")) - 1
-        chosen = random.Random(seed).sample(range(n), samples)
-        sources, scale = nodes.withColumn("_p", place).where(F.col("_p").isin(chosen)).select("id"), n / samples
+        chosen = [k + 1 for k in random.Random(seed).sample(range(n), samples)]
+        sources, scale = global_row_number(nodes, F.asc("id"), name="_p").where(F.col("_p").isin(chosen)).select("id"), n / samples
     level = keep(sources.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")), 0, "level")
     levels, seen, d = [level], level.select("s", "id"), 0
     while True:

@@ -9,14 +9,35 @@ from pyspark.sql import DataFrame, Window, functions as F
 from weftgraph.functions.geometry import GRID_BITS, morton, quantise, spiral
 
 FILE_GAP, CLUSTER_GAP = 15.0, 60.0
-MAX_FORCE = 300
+
+
+def apart(at: np.ndarray, cell: float) -> np.ndarray:
+    """Places moved to the centres of free cells of a square grid, the nearest ring first; no two share a cell."""
+    taken: set[tuple[int, int]] = set()
+    start: dict[tuple[int, int], int] = {}
+    out = np.empty_like(at)
+    for k in range(len(at)):
+        x0, y0 = (int(v) for v in np.round(at[k] / cell))
+        ring = start.get((x0, y0), 0)
+        while True:
+            edge = [(x0 + dx, y0 + dy) for dx in range(-ring, ring + 1) for dy in ((-ring, ring) if abs(dx) < ring else range(-ring, ring + 1))]
+            free = [c for c in edge if c not in taken]
+            if free:
+                best = min(free, key=lambda c: (np.hypot(c[0] * cell - at[k, 0], c[1] * cell - at[k, 1]), c))
+                break
+            ring += 1
+        start[x0, y0] = ring
+        taken.add(best)
+        out[k] = best[0] * cell, best[1] * cell
+    return out
 
 
 def place(symbols: DataFrame, clusters: DataFrame, weights: DataFrame) -> DataFrame:
     """(id, x, y): symbols on a spiral in their file, files by force in their cluster, clusters on a spiral by size.
 
     symbols: (id, file); clusters: (file, cluster); weights: (a, b, weight)
-    between files of a cluster.  Deterministic; discs of files don't overlap.
+    between files of a cluster.  Deterministic; discs of files don't overlap,
+    since each has a cell of the widest disc's size of its own.
     """
     i = F.row_number().over(Window.partitionBy("file").orderBy("id")) - 1
     own = symbols.select("id", "file").withColumn("i", i)
@@ -34,7 +55,8 @@ def place(symbols: DataFrame, clusters: DataFrame, weights: DataFrame) -> DataFr
         step = 2 * r.max() if n else 0.0
         for k, j in enumerate(order):
             at[j] = step * np.sqrt(k) * np.array([np.cos(k * 2.399963229728653), np.sin(k * 2.399963229728653)])
-        if 1 < n <= MAX_FORCE and len(links):
+        if n > 1 and len(links):
+            # links pull, whatever the cluster's size: time and memory follow the links
             number = {f: k for k, f in enumerate(rows["file"])}
             ok = links["a"].isin(number) & links["b"].isin(number)
             a, b = links.loc[ok, "a"].map(number).to_numpy(int), links.loc[ok, "b"].map(number).to_numpy(int)
@@ -45,16 +67,8 @@ def place(symbols: DataFrame, clusters: DataFrame, weights: DataFrame) -> DataFr
                 np.add.at(move, a, 0.01 * np.minimum(w, 5)[:, None] * gap)
                 np.add.at(move, b, -0.01 * np.minimum(w, 5)[:, None] * gap)
                 at += np.clip(move, -step / 4, step / 4)
-        for _ in range(400):
-            d = at[:, None, :] - at[None, :, :]
-            dist = np.sqrt((d**2).sum(2))
-            need = r[:, None] + r[None, :] - dist
-            np.fill_diagonal(need, 0)
-            bad = need > 1e-9
-            if not bad.any():
-                break
-            unit = np.where(dist[:, :, None] > 1e-9, d / np.maximum(dist, 1e-9)[:, :, None], np.array([1.0, 0.0]) * np.sign(np.arange(n)[:, None] - np.arange(n)[None, :])[:, :, None])
-            at += (np.where(bad, need, 0)[:, :, None] * unit * 0.55).sum(1)
+        if n:
+            at[order] = apart(at[order], step)
         size = float((np.sqrt((at**2).sum(1)) + r).max()) if n else 0.0
         return pd.DataFrame({"cluster": rows["cluster"], "file": rows["file"], "fx": at[:, 0], "fy": at[:, 1], "size": size})
 

@@ -60,11 +60,21 @@ def graph_dump(symbols: DataFrame, ranks: DataFrame, edges: DataFrame, limit: in
 
 
 def within_budget(rows: DataFrame, tokens: str, order: list, budget: int) -> DataFrame:
-    """The longest prefix in the given order whose tokens fit the budget."""
+    """The longest prefix in the given order whose tokens fit the budget.
+
+    Sums run inside range partitions and are shifted by those before them, of
+    which there is one row per partition.
+    """
     from pyspark.sql import Window
 
-    total = F.sum(tokens).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("total_tokens", total).where(F.col("total_tokens") <= budget)
+    from weftgraph.storage import cut
+
+    parts = cut(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sums = parts.groupBy("_p").agg(F.sum(tokens).alias("_m"))
+    before = sums.select("_p", (F.sum("_m").over(Window.orderBy("_p")) - F.col("_m")).alias("_b"))
+    total = F.sum(tokens).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    out = parts.withColumn("_s", total).join(F.broadcast(before), "_p").withColumn("total_tokens", F.col("_s") + F.col("_b"))
+    return out.where(F.col("total_tokens") <= budget).select(*rows.columns, "total_tokens")
 
 
 def retrieval_metrics(ranked: DataFrame, group: str, rank: str) -> DataFrame:

@@ -80,14 +80,14 @@ def trace(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: i
     return seen.select(F.lit(0).alias("position"), "id").limit(0)
 
 
-def closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(id, ancestor): all pairs along src to dst, cycles included once; path doubling, so rounds are logarithmic."""
+def closure(edges: DataFrame) -> DataFrame:
+    """(id, ancestor): all pairs along src to dst, cycles included once; path doubling until nothing is new, so rounds are logarithmic in the longest path."""
     pairs = cut(edges.select(F.col("src").alias("id"), F.col("dst").alias("ancestor")).where("id <> ancestor").distinct(), "closure")
-    size, reach = pairs.count(), 1
-    while reach < max_depth:
+    size = pairs.count()
+    while size:
         longer = pairs.alias("a").join(pairs.alias("b"), F.col("a.ancestor") == F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.ancestor").alias("ancestor"))
         pairs = cut(pairs.unionByName(longer.where("id <> ancestor")).distinct(), "closure")
-        now, reach = pairs.count(), reach * 2
+        now = pairs.count()
         if now == size:
             break
         size = now

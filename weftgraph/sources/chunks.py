@@ -23,7 +23,7 @@ def body_chunks(body: str, language: str = "default", first_line: int = 1) -> li
 
     Parts end before a scope's line once they reach the target, and at the
     maximum in any case; each repeats the last characters of the one before it,
-    by whole lines.
+    by whole lines.  A line over CHUNK_CAP characters is parted within, so no text is lost.
     """
     lines = body.split("\n")
     if len(body) < BODY_MIN:
@@ -41,7 +41,7 @@ def body_chunks(body: str, language: str = "default", first_line: int = 1) -> li
             start, size = back, kept
         size += len(line) + 1
     out.append((start, len(lines) - 1))
-    return [(first_line + a, first_line + b, "\n".join(lines[a : b + 1])) for a, b in out]
+    return [(first_line + a, first_line + b, part[k : k + CHUNK_CAP]) for a, b in out for part in ["\n".join(lines[a : b + 1])] for k in range(0, max(1, len(part)), CHUNK_CAP)]
 
 
 def text_chunks(text: str) -> list[tuple[int, int, str]]:
@@ -86,7 +86,7 @@ def split(rows: DataFrame, key: str, text: str, *, bodies: bool = False, languag
             out = []
             for k, t, lang, n in zip(pdf["key"], pdf["text"], pdf["language"], pdf["line"]):
                 parts = body_chunks(t, lang, int(n)) if bodies else text_chunks(t)
-                out += [(k, i, a, b, x[:CHUNK_CAP]) for i, (a, b, x) in enumerate(parts)]
+                out += [(k, i, a, b, x) for i, (a, b, x) in enumerate(parts)]
             yield pd.DataFrame(out, columns=["key", "idx", "line_start", "line_end", "body"])
 
     return cols.mapInPandas(run, f"key {kind}, idx int, line_start int, line_end int, body string").withColumnRenamed("key", key)
