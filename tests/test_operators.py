@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from weftgraph import catalog
 from weftgraph.functions import geometry, text
-from weftgraph.operators import changes, community, edges, health, layout, rank, search, traverse
+from weftgraph.operators import changes, community, edges, health, keyword, layout, rank, search, traverse
 from weftgraph.sources import chunks, history
 
 
@@ -227,7 +227,7 @@ def test_tokenize(spark, words):
     import re
 
     got = [r.t for r in spark.createDataFrame(list(enumerate(words)), "k int, w string").orderBy("k").select(text.tokenize(F.col("w")).alias("t")).collect()]
-    assert got == [[p.lower() for p in re.split(text.TOKEN_SPLIT, w) if len(p) >= 2] for w in words]
+    assert got == [[p.lower() for p in re.split(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", w) if len(p) >= 2] for w in words]
 
 
 def test_tables(spark, tmp_path):
@@ -292,3 +292,48 @@ def test_scan(spark, tmp_path):
     (tmp_path / "skip/d.py").write_text("")
     got = {r.path: (r.kind, r.text) for r in scan(spark, str(tmp_path), ["skip/"]).collect()}
     assert got == {"src/a.py": ("python", "x = 1\n"), "src/c.txt": ("text:text", "café")}
+
+
+def test_keyword_index_follows_changes(spark, tmp_path):
+    """After removals, changes and additions scores equal those of a scan of the live documents, compacted or not."""
+    r = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(60)]
+    text_of = lambda: " ".join(r.choice(vocabulary) for _ in range(r.randrange(0, 40)))
+    live = {k: text_of() for k in range(80)}
+    frame = lambda rows: spark.createDataFrame([*rows.items()], "id long, text string")
+    index = keyword.KeywordIndex(spark, str(tmp_path))
+    index.build(frame(live))
+
+    def same():
+        want = {x.id: round(x.score, 9) for x in search.bm25(frame(live), "w1 w7 w7 w33 none", id_col="id", text_col="text").collect()}
+        assert {x.id: round(x.score, 9) for x in index.search("w1 w7 w7 w33 none").collect()} == want
+
+    same()
+    gone = [k for k in live if k % 8 == 0]
+    index.remove(frame({k: "" for k in gone}).select("id"))
+    for k in gone:
+        del live[k]
+    changed = {k: text_of() for k in [3, 5, 0, 200, 201]}
+    index.put(frame(changed))
+    live |= changed
+    same()
+    changed = {k: text_of() for k in [3, 201]}
+    index.put(frame(changed))
+    live |= changed
+    same()
+    assert index.pending() > 0
+    index.compact()
+    assert index.pending() == 0
+    same()
+    assert index.search("nowhere").count() == 0
+
+
+def test_search_by_kind_and_file_hits(spark):
+    docs = spark.createDataFrame([(1, "parse line", "reads", "a"), (2, "parse", "line", "b"), (3, "other", "parse parse", "b")], "id long, name string, text string, kind string")
+    assert [x.id for x in search.hybrid(docs, "parse", kind_col="kind", kinds=["a"]).collect()] == [1]
+    assert {x.id for x in search.hybrid(docs, "parse").collect()} == {1, 2, 3}
+    files = spark.createDataFrame([("f",), ("g",)], "file string")
+    parts = spark.createDataFrame([("f", 1, 5, 0.5), ("f", 6, 9, 0.9), ("x", 1, 1, 1.0)], "file string, line_start int, line_end int, score double")
+    words = spark.createDataFrame([("g", 2.0), ("f", 1.0), ("x", 9.0)], "file string, score double")
+    got = [tuple(x) for x in search.file_hits(files, parts, words).collect()]
+    assert got == [("f", round(0.9 + 8 / 61 + 8 / 62, 9), 6, 9), ("g", round(8 / 61, 9), None, None)]

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from weftgraph.storage import cut
+from weftgraph.storage import once
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -43,12 +43,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, d: str) -> DataFrame:
-    """(src, dst, n, confidence): distinct calls without self loops."""
-    line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_discount", "l_quantity", "l_extendedprice")
-    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(line).alias("dst"), F.round(F.col("l_discount") * 100).cast("long").alias("pct"))
-    each = rows.where("dst IS NOT NULL AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.sum("pct").alias("pct"))
-    # an edge table is read many times by what runs over it, so it is a table here too
-    return cut(each.select("src", "dst", "n", F.round(1 - F.col("pct") / (10.0 * F.col("n")), 6).alias("confidence")), "calls")
+    """(src, dst, n, confidence): distinct calls without self loops; one table for all queries over a data folder, in order of src."""
+
+    def build() -> DataFrame:
+        line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_discount", "l_quantity", "l_extendedprice")
+        rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(line).alias("dst"), F.round(F.col("l_discount") * 100).cast("long").alias("pct"))
+        each = rows.where("dst IS NOT NULL AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.sum("pct").alias("pct"))
+        return each.select("src", "dst", "n", F.round(1 - F.col("pct") / (10.0 * F.col("n")), 6).alias("confidence")).repartitionByRange("src")
+
+    return once(spark, f"calls {d}", build, order=["src", "dst"])
 
 
 CALLS = """

@@ -6,7 +6,8 @@ from pyspark.sql import Window, functions as F
 
 from weftgraph.catalog.base import SYMBOLS, query, symbols, table
 from weftgraph.catalog.text import TOKENS
-from weftgraph.operators import search
+from weftgraph.operators import keyword, search
+from weftgraph.storage import once
 
 QUESTION = "the licensed work under version"
 
@@ -21,15 +22,29 @@ SELECT doc_id AS id, sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * ({k1} + 1)
 FROM tf JOIN df USING (term), st WHERE tf > 0 GROUP BY doc_id"""
 
 
+def _keywords(spark, d, k1):
+    """Scores from the data folder's postings, of which a query reads its own terms' folders."""
+    docs = table(spark, d, "documents")
+    posted = once(spark, f"postings {d}", lambda: keyword.indexed(docs, "doc_id", "text"), "bucket", ["term", "id"])
+    n, average = once(spark, f"lengths {d}", lambda: keyword.lengths(docs, "doc_id", "text").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))).head()
+    return keyword.score(keyword.of_terms(posted, keyword.query_terms(spark, QUESTION)), n, average, k1)
+
+
 @query(f"SELECT id, round(score, 6) AS score FROM ({_bm25_sql(1.5)})")
 def bm25_scores(spark, d):
-    return search.bm25(table(spark, d, "documents"), QUESTION, id_col="doc_id", text_col="text").select("id", F.round("score", 6).alias("score"))
+    return _keywords(spark, d, 1.5).select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT id, round(score, 6) AS score FROM ({_bm25_sql(1.2)}) ORDER BY score DESC, id LIMIT 20")
 def bm25_top(spark, d):
-    out = search.bm25(table(spark, d, "documents"), QUESTION, id_col="doc_id", text_col="text", k1=1.2)
-    return out.select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)
+    return _keywords(spark, d, 1.2).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)
+
+
+@query(f"SELECT id, round(score, 6) AS score FROM ({_bm25_sql(1.5)})")
+def bm25_scan(spark, d):
+    """Without an index: one scan counts the query's terms."""
+    out = search.bm25(table(spark, d, "documents"), QUESTION, id_col="doc_id", text_col="text")
+    return out.select("id", F.round("score", 6).alias("score"))
 
 
 @query("""WITH a AS (SELECT p_partkey AS id, 1.0 / (60 + row_number() OVER (ORDER BY p_retailprice DESC, p_partkey)) AS part FROM part),

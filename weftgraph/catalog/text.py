@@ -20,11 +20,9 @@ def token_counts(spark, d):
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY term")
 def doc_freq(spark, d):
-    from weftgraph.operators.search import postings
+    from weftgraph.operators.search import term_statistics
 
-    p = postings(table(spark, d, "documents"), "doc_id", "text")
-    # a row per document and term: counting rows counts documents, as ids are unique
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return term_statistics(table(spark, d, "documents"), "text")
 
 
 @query(f"SELECT doc_id AS id, count(*) AS terms, max(tf) AS top_tf, CAST(sum(tf) AS BIGINT) AS length FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1")
@@ -165,19 +163,6 @@ def path_places(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.round(geometry.hash01(F.col("c_name")), 9).alias("place"))
 
 
-@query(r"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
-SELECT doc_id, line_no, CAST(instr(line, 'License') AS BIGINT) AS col FROM lines WHERE regexp_matches(line, '(^|[^A-Za-z0-9_$])License([^A-Za-z0-9_$]|$)')""")
-def rename_sites(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    hit = lines.where(F.col("line").rlike(r"(?<![\w$])License(?![\w$])"))
-    return hit.select("doc_id", (F.col("n") + 1).cast("long").alias("line_no"), F.locate("License", F.col("line")).cast("long").alias("col"))
-
-
-@query("""SELECT source, string_agg(word, ' ' ORDER BY word) AS words FROM (SELECT source, lower(lang) AS word FROM documents GROUP BY ALL) GROUP BY source""")
-def ecosystem_marks(spark, d):
-    return table(spark, d, "documents").select("source", F.lower("lang").alias("word")).distinct().groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("word")), " ").alias("words"))
-
-
 @query(r"""SELECT page_id, regexp_matches(url, '^(https?)://(m\.)') AS mobile, regexp_matches(regexp_replace(url, '^[a-z]+://', ''), '^(.*/)?en(/.*)?$') AS ignored FROM pages""")
 def ignore_globs(spark, d):
     url = F.col("url")

@@ -56,15 +56,6 @@ def tile_nodes(spark, d):
     return layout.tile(nodes, none, 2, 0, 1)[0].select("id")
 
 
-@query(f"""WITH {CALLS}, n AS (SELECT p_partkey AS id FROM part WHERE p_retailprice < 1000), i AS (SELECT src, dst, src IN (SELECT id FROM n) AS s, dst IN (SELECT id FROM n) AS t FROM calls WHERE confidence >= 0.5)
-SELECT src, dst, NOT s AS ghost FROM i WHERE s OR t""")
-def tile_edges(spark, d):
-    inside = table(spark, d, "part").where("p_retailprice < 1000").select(F.col("p_partkey").alias("id"))
-    flag = inside.withColumn("_in", F.lit(True))
-    e = calls(spark, d).where("confidence >= 0.5").join(flag.select(F.col("id").alias("src"), F.col("_in").alias("s")), "src", "left").join(flag.select(F.col("id").alias("dst"), F.col("_in").alias("t")), "dst", "left")
-    return e.where("s OR t").select("src", "dst", F.col("s").isNull().alias("ghost"))
-
-
 @query()
 def world_layout(spark, d):
     s = symbols(spark, d).select("id", "file")
@@ -85,11 +76,6 @@ def lod_clusters(spark, d):
     return nodes.select("cluster", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "size")
 
 
-@query('SELECT o_orderkey AS "commit", o_custkey AS author, o_orderdate AS date FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20')
-def recent_commits(spark, d):
-    return table(spark, d, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(20).select(F.col("o_orderkey").alias("commit"), F.col("o_custkey").alias("author"), F.col("o_orderdate").alias("date"))
-
-
 @query("""SELECT DISTINCT o_custkey AS name, l_partkey AS candidate FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'
 EXCEPT SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'O'""")
 def candidate_difference(spark, d):
@@ -118,17 +104,6 @@ def url_slugs(spark, d):
     return table(spark, d, "pages").select("page_id", web.file_name(F.col("url")).alias("file"))
 
 
-@query("SELECT label, CAST(count(*) AS BIGINT) AS vectors, min(len(embedding)) AS width FROM embeddings GROUP BY label")
-def embedding_scan(spark, d):
-    return table(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("vectors"), F.min(F.size("embedding")).cast("long").alias("width"))
-
-
-@query("SELECT region AS root, count(*) AS files FROM (SELECT r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) GROUP BY region")
-def multi_root(spark, d):
-    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
-    return c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).groupBy(F.col("r_name").alias("root")).agg(F.count(F.lit(1)).alias("files"))
-
-
 @query("SELECT count(*) AS n, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part")
 def free_query(spark, d):
     from weftgraph.plans.sql import read_only

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Fixed value: token bounds (other characters, camelCase, ACRONYMWord).
-TOKEN_SPLIT = r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+#: A token: capitals before a capitalised word, or a word with its capitals, or capitals alone.
+#: Tokens must part at other characters, before the capital of camelCase and before the last capital of an ACRONYMWord.
+TOKEN = "[A-Z]+(?=[A-Z][a-z])|[A-Z]*[a-z0-9]+|[A-Z]+"
 
 
 def tokenize(text: Column) -> Column:
     """Lower-case tokens of two characters or more; null text has none."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), TOKEN_SPLIT), lambda x: F.lower(x))
+    parts = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda x: F.lower(x))
     return F.filter(parts, lambda x: F.length(x) >= 2)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.operators.edges import degrees
 from weftgraph.operators.traverse import frontier
-from weftgraph.storage import cut, keep
+from weftgraph.storage import cut
 
 
 def sure(edges: DataFrame, least: float = 0.5) -> DataFrame:
@@ -70,12 +70,12 @@ def betweenness(edges: DataFrame, *, samples: int | None = None, seed: int = 7)
 
         chosen = [k + 1 for k in random.Random(seed).sample(range(n), samples)]
         sources, scale = global_row_number(nodes, F.asc("id"), name="_p").where(F.col("_p").isin(chosen)).select("id"), n / samples
-    level = keep(sources.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")), 0, "level")
+    level = cut(sources.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")), "level")
     levels, seen, d = [level], level.select("s", "id"), 0
     while True:
         d += 1
         step = level.select("s", F.col("id").alias("src"), "paths").join(both, "src").groupBy("s", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
-        level = keep(step.join(seen, ["s", "id"], "left_anti").select("s", "id", "paths"), d, "level")
+        level = cut(step.join(seen, ["s", "id"], "left_anti").select("s", "id", "paths"), "level")
         if not level.count():
             break
         levels.append(level)
@@ -85,7 +85,7 @@ def betweenness(edges: DataFrame, *, samples: int | None = None, seed: int = 7)
     for k in range(len(levels) - 2, -1, -1):
         given = share.select("s", F.col("id").alias("dst"), ((1 + F.col("owed")) / F.col("paths")).alias("g"))
         back = given.join(both, "dst").groupBy("s", F.col("src").alias("id")).agg(F.sum("g").alias("g"))
-        share = keep(levels[k].join(back, ["s", "id"], "left").select("s", "id", "paths", (F.col("paths") * F.coalesce("g", F.lit(0.0))).alias("owed")), k, "dependency")
+        share = cut(levels[k].join(back, ["s", "id"], "left").select("s", "id", "paths", (F.col("paths") * F.coalesce("g", F.lit(0.0))).alias("owed")), "dependency")
         total = total.unionByName(share.where("s <> id").select("id", "owed"))
     sums = total.groupBy("id").agg(F.sum("owed").alias("b"))
     return nodes.join(sums, "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) * F.lit(scale / ((n - 1) * (n - 2)))).alias("betweenness"))

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from weftgraph.functions.geometry import GRID_BITS, morton, quantise, spiral
+from weftgraph.storage import cut
 
 FILE_GAP, CLUSTER_GAP = 15.0, 60.0
+#: Fixed value: aggregated edges that a tile shows at least.
+EDGES_LEAST = 2000
+#: Zoom of the folders that tiles are stored in.
+STORE_ZOOM = 4
 
 
 def apart(at: np.ndarray, cell: float) -> np.ndarray:
@@ -97,16 +102,74 @@ def with_codes(places: DataFrame, low: float, high: float) -> DataFrame:
     return places.withColumn("code", code).repartitionByRange("code").sortWithinPartitions("code")
 
 
-def tile(nodes: DataFrame, edges: DataFrame, zoom: int, tx: int, ty: int, min_confidence: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """Nodes of a tile, and edges that start or end in it; nodes: with_codes()."""
-    shift = 2 * (GRID_BITS - zoom)
-    code = sum(((tx >> i & 1) << (2 * i)) | ((ty >> i & 1) << (2 * i + 1)) for i in range(GRID_BITS))
-    inside = nodes.where((F.col("code") >= code << shift) & (F.col("code") < (code + 1) << shift))
-    ids = inside.select("id")
+def tile_code(tx: int, ty: int) -> int:
+    return sum(((tx >> i & 1) << (2 * i)) | ((ty >> i & 1) << (2 * i + 1)) for i in range(GRID_BITS))
+
+
+def in_tile(nodes: DataFrame, zoom: int, tx: int, ty: int) -> DataFrame:
+    """Rows whose code is in a tile's range; nodes: with_codes()."""
+    shift, code = 2 * (GRID_BITS - zoom), tile_code(tx, ty)
+    return nodes.where((F.col("code") >= code << shift) & (F.col("code") < (code + 1) << shift))
+
+
+def tile(nodes: DataFrame, edges: DataFrame, zoom: int, tx: int, ty: int, min_confidence: float = 0.0, aggregated: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes of a tile, edges that start or end in it, and ghosts: the far ends of these, with their places.
+
+    Of aggregated edges (with a weight) only the heaviest count, six for each
+    node of the tile and at least EDGES_LEAST.
+    """
+    inside = in_tile(nodes, zoom, tx, ty)
+    ids = cut(inside.select("id"), "tile")
     sure = edges.where(F.coalesce("confidence", F.lit(1.0)) >= min_confidence)
     own = sure.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
     received = sure.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").join(ids.withColumnRenamed("id", "src"), "src", "left_anti")
-    return inside, own.unionByName(received.select(own.columns))
+    found = own.unionByName(received.select(own.columns))
+    if aggregated:
+        found = found.orderBy(F.desc("weight"), "src", "dst").limit(max(EDGES_LEAST, 6 * ids.count()))
+    ends = found.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(ids, "id", "left_anti")
+    return inside, found, nodes.join(ends, "id", "left_semi")
+
+
+def pick_lod(levels: dict[str, DataFrame], zoom: int, tx: int, ty: int, budget: int) -> str:
+    """The finest level (in the order given) of which a tile holds at most budget nodes; the last one, if none does."""
+    for name, nodes in levels.items():
+        if in_tile(nodes, zoom, tx, ty).limit(budget + 1).count() <= budget:
+            return name
+    return name
+
+
+def locate(places: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, x, y) of the asked nodes (id) that have a place."""
+    return places.join(ids.select("id").distinct(), "id", "left_semi").select("id", "x", "y")
+
+
+class TileStore:
+    """Placed nodes in folders by tile of STORE_ZOOM; a patch rewrites the folders of what it touches."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _write(self, rows: DataFrame) -> None:
+        rows.repartition("tile").sortWithinPartitions("tile", "code").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tile").parquet(self.root)
+
+    def save(self, nodes: DataFrame) -> None:
+        """nodes (id, x, y, code, ...) as the store's first contents."""
+        self._write(nodes.withColumn("tile", F.shiftright("code", 2 * (GRID_BITS - STORE_ZOOM)).cast("int")))
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.root).where("id IS NOT NULL")
+
+    def patch(self, changed: DataFrame, removed: DataFrame) -> None:
+        """Put changed nodes in the place of their old rows, and drop removed ones (id)."""
+        new = cut(changed.withColumn("tile", F.shiftright("code", 2 * (GRID_BITS - STORE_ZOOM)).cast("int")), "patch")
+        gone = new.select("id").unionByName(removed.select("id")).distinct()
+        left = self.read().join(gone, "id", "left_semi").select("tile")
+        tiles = [r[0] for r in left.unionByName(new.select("tile")).distinct().collect()]  # at most 4 ** STORE_ZOOM
+        kept = self.read().where(F.col("tile").isin(tiles)).join(gone, "id", "left_anti")
+        rows = kept.unionByName(new.select(kept.columns))
+        # a row without an id keeps a folder that is left empty
+        marks = self.spark.createDataFrame([(t,) for t in tiles], "tile int").join(rows.select("tile").distinct(), "tile", "left_anti")
+        self._write(cut(rows.unionByName(marks, allowMissingColumns=True), "patch"))
 
 
 def lod(symbols: DataFrame, places: DataFrame, edges: DataFrame, clusters: DataFrame) -> dict[str, tuple[DataFrame, DataFrame]]:

@@ -15,6 +15,11 @@ def definition(symbols: DataFrame, name: str, file: str | None = None) -> DataFr
     return got.where(F.col("file") == file) if file else got
 
 
+def name_probe(symbols: DataFrame, query: str, limit: int = 50) -> DataFrame:
+    """Symbols whose name is the query in any case, by id."""
+    return symbols.where(F.lower("name") == query.lower()).orderBy("id").limit(limit)
+
+
 def references(symbols: DataFrame, edges: DataFrame, name: str, rels: tuple[str, ...] = ("CALLS", "REFERENCES_", "INSTANTIATES")) -> DataFrame:
     """(rel, src, dst, line, confidence): edges of the given kinds into the named symbols."""
     into = edges.where(F.col("rel").isin(*rels))

@@ -20,6 +20,14 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return flat.groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def term_statistics(docs: DataFrame, text_col: str) -> DataFrame:
+    """(term, df, cf): documents that hold a term, and its occurrences; one shuffle, after counts have been combined in each task."""
+    tokens = docs.select(tokenize(F.col(text_col)).alias("_t"))
+    every = tokens.select(F.explode("_t").alias("term"), F.lit(0).cast("long").alias("df"), F.lit(1).cast("long").alias("cf"))
+    once = tokens.select(F.explode(F.array_distinct("_t")).alias("term"), F.lit(1).cast("long").alias("df"), F.lit(0).cast("long").alias("cf"))
+    return every.unionByName(once).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
 def bm25(docs: DataFrame, query: str, *, id_col: str, text_col: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(id, score) of the documents that hold a query term; exact over all documents.
 
@@ -62,15 +70,24 @@ def vector_scores(vectors: DataFrame, query: list[float], id_col: str = "id", ve
     return vectors.select(F.col(id_col).alias("id"), F.when(norm * length > 0, dot / (norm * length)).otherwise(0.0).alias("score"))
 
 
-def hybrid(docs: DataFrame, query: str, *, id_col: str = "id", name_col: str = "name", text_col: str = "text", vectors: DataFrame | None = None, query_vector: list[float] | None = None, chunks: DataFrame | None = None, ranks: DataFrame | None = None, focus: bool = False, limit: int = 10, rerank=None) -> DataFrame:
+def hybrid(docs: DataFrame, query: str, *, id_col: str = "id", name_col: str = "name", text_col: str = "text", kind_col: str | None = None, kinds: list[str] | None = None, words: DataFrame | None = None, vectors: DataFrame | None = None, query_vector: list[float] | None = None, chunks: DataFrame | None = None, ranks: DataFrame | None = None, focus: bool = False, limit: int = 10, rerank=None) -> DataFrame:
     """(id, score): best similarity, name boost, rank and fused ranks of the candidate lists.
 
+    kinds: only documents whose kind_col is one of them are candidates.  words:
+    (id, score) of a keyword index; without it the texts are scanned.
     chunks: (parent, score) similarities of parts, of which a document takes
     the best.  ranks: (id, pagerank), personalised where focus is set.  rerank:
     a function (rows, query) that reorders the first 50; none keeps the order.
     """
     k = max(60, 5 * limit)
-    words = bm25(docs.select(F.col(id_col).alias("id"), F.concat_ws(" ", name_col, text_col).alias("_doc")), query, id_col="id", text_col="_doc", k1=1.2)
+    if words is None:
+        words = bm25(docs.select(F.col(id_col).alias("id"), F.concat_ws(" ", name_col, text_col).alias("_doc")), query, id_col="id", text_col="_doc", k1=1.2)
+    if kinds is not None:
+        docs = docs.where(F.col(kind_col).isin(kinds))
+        own = docs.select(F.col(id_col).alias("id"))
+        words = words.join(own, "id", "left_semi")
+        vectors = vectors.join(own, "id", "left_semi") if vectors is not None else None
+        chunks = chunks.join(own.withColumnRenamed("id", "parent"), "parent", "left_semi") if chunks is not None else None
     words = cut(words.orderBy(F.desc("score"), "id").limit(k), "keyword-leg")
     if vectors is None:
         near = words.select("id", F.lit(0.0).alias("score"))
@@ -95,6 +112,21 @@ def hybrid(docs: DataFrame, query: str, *, id_col: str = "id", name_col: str = "
     return out.limit(limit)
 
 
+def file_hits(files: DataFrame, chunks: DataFrame, words: DataFrame, limit: int = 10) -> DataFrame:
+    """(file, score, line_start, line_end): files by their best chunk's similarity and by keywords, fused.
+
+    chunks: (file, line_start, line_end, score); words: (file, score).  The
+    lines are those of the best chunk, the first on ties; a file that only
+    keywords find has none.
+    """
+    top = F.min(F.struct((-F.col("score")).alias("s"), "line_start", "line_end"))
+    best = cut(chunks.join(files.select("file"), "file", "left_semi").groupBy("file").agg(F.max("score").alias("score"), top.alias("b")), "file-chunks")
+    legs = [best.select(F.col("file").alias("id"), "score"), words.join(files.select("file"), "file", "left_semi").where("score > 0").select(F.col("file").alias("id"), "score")]
+    fused = rrf(legs).withColumnRenamed("id", "file")
+    score = F.round(F.coalesce("score", F.lit(0.0)) + 8.0 * F.col("rrf"), 9)
+    return fused.join(best, "file", "left").select("file", score.alias("score"), "b.line_start", "b.line_end").orderBy(F.desc("score"), "file").limit(limit)
+
+
 def similar(vectors: DataFrame, *, id_col: str = "id", vector_col: str = "embedding", group_col: str | None = None, k: int = 5, threshold: float = 0.5, block_rows: int = 2048) -> DataFrame:
     """(src, dst, score): each vector's k nearest by cosine of at least threshold, exact.
 

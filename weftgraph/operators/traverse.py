@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from weftgraph.storage import cut, keep
+from weftgraph.storage import cut
 
 
 def directed(edges: DataFrame, direction: str = "out", min_confidence: float | None = None) -> DataFrame:
@@ -28,13 +28,14 @@ def frontier(seeds: DataFrame, edges: DataFrame, depth: int, *, direction: str =
     counts.  max_nodes ends the walk of all seeds together after the level that
     reaches it.
     """
-    # every level reads them: kept, by the key that levels join on
-    hops = keep(directed(edges, direction, min_confidence).distinct().repartition("src"), 0, "hops")
+    # every level scans the edge table and keeps what the frontier reaches: a small frontier is broadcast by its
+    # measured size, so the edges aren't shuffled for it; repeated edges fall together in the aggregate
+    hops = directed(edges, direction, min_confidence)
     level = seeds.select("seed", "id", F.lit(0).alias("depth"), F.lit(None).cast(seeds.schema["id"].dataType).alias("parent")).dropDuplicates(["seed", "id"])
-    seen = level = keep(level, 0, "seeds")
+    seen = level = cut(level, "seeds")
     for d in range(1, depth + 1):
         step = level.select("seed", F.col("id").alias("src")).join(hops, "src").groupBy("seed", F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        level = keep(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").select("seed", "id", F.lit(d).alias("depth"), "parent"), d, "frontier")
+        level = cut(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").select("seed", "id", F.lit(d).alias("depth"), "parent"), "frontier")
         reached = level.count()
         if not reached:
             break
@@ -106,7 +107,7 @@ def short_cycles(edges: DataFrame, names: DataFrame, longest: int = 6, limit: in
         if n < longest:
             # a path only grows by names above its first, so every cycle has one start
             paths = paths.join(named.select(F.col("a").alias("last"), F.col("b").alias("next")), "last").where("next > first").where(~F.array_contains("path", F.col("next")))
-            paths = keep(paths.select("first", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("last")), n, "paths")
+            paths = cut(paths.select("first", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("last")), "paths")
     out = found.select("length", F.array_join("path", " > ").alias("path"))
     return out.orderBy("length", "path").limit(limit) if limit else out
 

@@ -36,6 +36,13 @@ def symbol_id(label, qname, line):
     return F.xxhash64(label, qname, line)
 
 
+def symbols_of(found: DataFrame) -> DataFrame:
+    """Symbols and variables, with their ids, of entities as sources.code gives them."""
+    label = F.when(F.col("kind") == "class", "Class").when(F.col("kind").isin("function", "method"), "Function").when(F.col("kind") == "section", "Section").otherwise("Variable")
+    rows = found.where("error IS NULL").select(symbol_id(label, F.col("qname"), F.col("line_start")).alias("id"), label.alias("label"), "name", "qname", F.col("path").alias("file"), "line_start", "line_end", "signature", "doc", "body", "is_test", (F.col("kind") == "method").alias("is_method"), terms(F.concat_ws(" ", "name", "body")).alias("terms"))
+    return rows.dropDuplicates(["id"])
+
+
 def build(files: DataFrame, *, commits: DataFrame | None = None) -> Graph:
     """files: (path, kind, text); commits: (commit, file) for co-change edges.
 
@@ -45,9 +52,7 @@ def build(files: DataFrame, *, commits: DataFrame | None = None) -> Graph:
     files = cut(files.select("path", "kind", "text"), "files")
     found = cut(code.entities(files), "entities")
     raw = cut(code.raw_edges(files), "raw-edges")
-    label = F.when(F.col("kind") == "class", "Class").when(F.col("kind").isin("function", "method"), "Function").when(F.col("kind") == "section", "Section").otherwise("Variable")
-    rows = found.where("error IS NULL").select(symbol_id(label, F.col("qname"), F.col("line_start")).alias("id"), label.alias("label"), "name", "qname", F.col("path").alias("file"), "line_start", "line_end", "signature", "doc", "body", "is_test", (F.col("kind") == "method").alias("is_method"), terms(F.concat_ws(" ", "name", "body")).alias("terms"))
-    rows = cut(rows.dropDuplicates(["id"]), "symbols")
+    rows = cut(symbols_of(found), "symbols")
     symbol, variable = rows.where("label <> 'Variable'"), rows.where("label = 'Variable'").select("id", "name", "qname", "file", F.col("line_start").alias("line"))
     file = files.select(F.xxhash64(F.lit("File"), "path").alias("id"), "path", F.col("kind").alias("language"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("lines"), F.sha1(F.col("text").cast("binary")).alias("hash"))
     refs = cut(resolve(raw, symbol, files), "resolved")

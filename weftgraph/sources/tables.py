@@ -8,9 +8,14 @@ alone.
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
+
+from weftgraph.storage import cut
 
 
 class GraphTables:
@@ -21,14 +26,15 @@ class GraphTables:
         return f"{self.root}/_current/{name}"
 
     def read(self, name: str) -> DataFrame:
-        at = self.spark.read.json(self._pointer(name)).head()["at"]
-        return self.spark.read.parquet(f"{self.root}/{name}/{at}")
+        row = self.spark.read.schema("at string, fields string").json(self._pointer(name)).head()
+        # by its own schema: a table of no rows has no file to read one from
+        return self.spark.read.schema(StructType.fromJson(json.loads(row["fields"]))).parquet(f"{self.root}/{name}/{row['at']}")
 
     def replace(self, name: str, df: DataFrame, partition: str | None = None) -> None:
         version = uuid.uuid4().hex
         writer = df.write.partitionBy(partition) if partition else df.write
         writer.parquet(f"{self.root}/{name}/{version}")
-        self.spark.createDataFrame([(version,)], "at string").coalesce(1).write.mode("overwrite").json(self._pointer(name))
+        self.spark.createDataFrame([(version, df.schema.json())], "at string, fields string").coalesce(1).write.mode("overwrite").json(self._pointer(name))
 
     def append_nodes(self, name: str, rows: DataFrame) -> None:
         self.replace(name, self.read(name).unionByName(rows, allowMissingColumns=True))
@@ -45,6 +51,15 @@ class GraphTables:
     def delete(self, name: str, key: str, ids: DataFrame) -> None:
         self.replace(name, delete_ids(self.read(name), key, ids))
 
+    def append_vectors(self, name: str, rows: DataFrame) -> None:
+        """Rows (id, ehash, embedding) of a side table; of an id that is there already the new vector stays."""
+        kept = delete_ids(self.read(name), "id", rows.select("id"))
+        self.replace(name, kept.unionByName(rows.dropDuplicates(["id"])))
+
+    def drop_relation(self, rel: str, name: str = "edge") -> None:
+        """All edges of one relation; as the table is partitioned by it, the others' files alone are read."""
+        self.replace(name, self.read(name).where(F.col("rel") != rel), "rel")
+
     def replace_partition(self, name: str, column: str, value, rows: DataFrame) -> None:
         kept = self.read(name).where(F.col(column) != value)
         self.replace(name, kept.unionByName(rows, allowMissingColumns=True), column)
@@ -84,3 +99,44 @@ def changes_since(manifest: DataFrame, scan: DataFrame) -> DataFrame:
     both = scan.select("path", F.col("hash").alias("now")).join(manifest.select("path", F.col("hash").alias("was")), "path", "full_outer")
     state = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "deleted").when(F.col("now") != F.col("was"), "changed").otherwise("unchanged")
     return both.select("path", state.alias("state"))
+
+
+def by_bucket(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
+
+class ParseCache:
+    """Parse results by path and content hash, in folders by hash of the path; a write touches the folders of its own paths alone."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+
+    def _read(self, folders: list[int] | None = None) -> DataFrame | None:
+        try:
+            rows = self.spark.read.parquet(self.root)
+        except AnalysisException:  # nothing has been written yet
+            return None
+        return rows if folders is None else rows.where(F.col("bucket").isin(folders))
+
+    def lookup(self, files: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+        """(cached rows, files to parse) for files (path, hash, ...): a path whose hash has changed is to be parsed."""
+        own = by_bucket(files, "path", self.buckets)
+        folders = [r[0] for r in own.select("bucket").distinct().collect()]  # as many as there are buckets at most
+        cached = self._read(folders)
+        if cached is None:
+            return None, files
+        cached = cached.where("hash IS NOT NULL")
+        hit = cached.join(own.select("path", "hash"), ["path", "hash"], "left_semi").drop("bucket")
+        return hit, files.join(cached.select("path", "hash").distinct(), ["path", "hash"], "left_anti")
+
+    def store(self, rows: DataFrame, dropped: DataFrame | None = None) -> None:
+        """Put rows (path, hash, ...) in the place of what their paths had; dropped (path) goes."""
+        new = by_bucket(rows, "path", self.buckets)
+        if dropped is not None:
+            # a row without a hash, so that no folder is ever left without rows
+            new = new.unionByName(by_bucket(dropped.select("path").distinct(), "path", self.buckets), allowMissingColumns=True)
+        gone = new.select("path", "bucket").distinct()
+        old = self._read([r[0] for r in gone.select("bucket").distinct().collect()])
+        out = new if old is None else old.join(gone.select("path"), "path", "left_anti").unionByName(new)
+        # written aside first, as the folders that are read are those that are replaced
+        cut(out, "parse-cache").repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.root)

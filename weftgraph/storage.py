@@ -7,7 +7,6 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
@@ -37,13 +36,38 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: ends lineage, feeds several consumers."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-#: Levels of a loop between two written tables; in between, levels are only kept (and recomputed if lost).
-LEVELS = 4
-
-
-def keep(df: DataFrame, level: int, name: str) -> DataFrame:
-    """The result of one level of a loop, held for the levels to come."""
-    return cut(df, name) if level % LEVELS == LEVELS - 1 else df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove what cut() wrote for df; nothing that reads it may run later."""
+    path = getattr(df, "_written", None)
+    if path:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_tables: dict[tuple[str, str], str] = {}
+
+
+def once(spark: SparkSession, key: str, build, partition: str | None = None, order: list[str] = ()) -> DataFrame:
+    """The table that build() gives, written the first time this application asks for the key, read afterwards.
+
+    For what many queries read and the data alone determines: an edge table, an
+    index, ranks.  order sorts each file, so that ranges of those columns skip
+    row groups; partition makes folders.
+    """
+    at = (spark.sparkContext.applicationId, key)
+    if at not in _tables:
+        path = scratch_path(spark, "once")
+        df = build()
+        if partition:
+            df = df.repartition(partition)
+        if order or partition:
+            df = df.sortWithinPartitions(*([partition] if partition else []), *order)
+        (df.write.partitionBy(partition) if partition else df.write).parquet(path)
+        _tables[at] = path
+    return spark.read.parquet(_tables[at])
