@@ -8,10 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 from weftgraph.storage import cut, release
 
 
-#: Rounds between two written tables.
-ROUNDS = 4
-
-
 def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6, focus: DataFrame | None = None) -> DataFrame:
     """(id, pagerank).  Repeated edges collapse; dangling mass goes where the restart goes.
 
@@ -34,30 +30,23 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, itera
     base = restart.join(degree.withColumnRenamed("src", "id"), "id", "left").persist(StorageLevel.MEMORY_AND_DISK)
     # read in every round: held by the key that rounds join on, recomputed if an executor goes
     pairs = pairs.repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
-    ranks, held = base.select("id", "restart", "degree", F.col("restart").alias("pagerank")), []
+    ranks = base.select("id", "restart", "degree", F.col("restart").alias("pagerank"))
     for i in range(1, iterations + 1):
         dangling = ranks.where("degree IS NULL").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("lost"))
         given = ranks.where("degree IS NOT NULL").select(F.col("id").alias("src"), (F.col("pagerank") / F.col("degree")).alias("share")).join(pairs, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
         new = base.join(given, "id", "left").join(F.broadcast(dangling))  # one row
         rank = F.lit(1 - damping) * F.col("restart") + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("restart"))
-        new = new.select("id", "restart", "degree", rank.alias("pagerank"))
-        # some rounds in memory, then a written table, which ends the lineage and lets go of them
-        new = cut(new, "ranks") if i % ROUNDS == 0 or i == iterations else new.persist(StorageLevel.MEMORY_AND_DISK)
+        new = cut(new.select("id", "restart", "degree", rank.alias("pagerank")), "ranks")
         moved = None
         if tolerance is not None:
             moved = new.select("id", F.col("pagerank").alias("_new")).join(ranks.select("id", "pagerank"), "id").agg(F.sum(F.abs(F.col("_new") - F.col("pagerank")))).head()[0]
-        held.append(ranks)
-        if i % ROUNDS == 0 or i == iterations:
-            for old in held:
-                old.unpersist()
-                release(old)
-            held = []
+        release(ranks)
         ranks = new
         if moved is not None and moved < n * tolerance:
             break
     out = ranks.select("id", "pagerank") if hasattr(ranks, "_written") else cut(ranks.select("id", "pagerank"), "pagerank")
-    for df in (pairs, base, ranks, *held):
-        df.unpersist()
+    pairs.unpersist()
+    base.unpersist()
     return out
 
 

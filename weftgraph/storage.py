@@ -65,7 +65,8 @@ def once(spark: SparkSession, key: str, build, partition: str | None = None, ord
         path = scratch_path(spark, "once")
         df = build()
         if partition:
-            df = df.repartition(partition)
+            # a given number of tasks: sorting and writing them is the work, however few bytes there are
+            df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), partition)
         if order or partition:
             df = df.sortWithinPartitions(*([partition] if partition else []), *order)
         (df.write.partitionBy(partition) if partition else df.write).parquet(path)
