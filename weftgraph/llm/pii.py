@@ -33,7 +33,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weftgraph.llm.shared import cut, only
+from weftgraph.llm.shared import cut, free_names, only
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 LENGTHS = 6
@@ -44,9 +44,10 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: The loose patterns.
-SPELT = r"(?i)[a-z0-9._%+-]{1,64} ?[(\[]at[)\]] ?[a-z0-9-]++(?: ?[(\[]dot[)\]] ?[a-z0-9-]++)++"
+SPELT = r"(?i)(?:\G|(?<![a-z0-9._%+-]))[a-z0-9._%+-]++ ?[(\[]at[)\]] ?[a-z0-9-]++(?: ?[(\[]dot[)\]] ?[a-z0-9-]++)++"
 LOCAL_PHONE = r"(?<![0-9+().-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
-SECRET = r"(?i)(?:token|secret|password|passwd|api[_-]?key)\s{0,4}[=:]\s{0,4}\"[^\"\s]{8,200}\""
+SECRET = r"(?i)(?:token|secret|password|passwd|api[_-]?key)\s{0,4}[=:]\s{0,4}(?:\"[^\"\s]{8,}+\"|'[^'\s]{8,}+'|(?=[a-z+/_.~=-]*+[0-9])[a-z0-9+/_.~=-]{8,}+)"
+KEY = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[0-9A-Za-z-]{10,}+|-----BEGIN (?:[A-Z]++ )*PRIVATE KEY-----)"
 #: Gazetteers.
 DOMAINS = ["at", "au", "be", "br", "ca", "ch", "cn", "co", "com", "de", "dk", "edu", "es", "eu", "fi", "fr", "gov", "ie", "in", "info", "io", "it", "jp", "mil", "mx", "net", "nl", "no", "org", "pl", "pt", "ru", "se", "uk", "us"]
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35|30|36|38)"
@@ -61,6 +62,8 @@ CONTEXT = {
 }
 OTHER_USE = r"(?i)\b(?:version|release|isbn|order|invoice|section|chapter|example|serial|item)\W{0,3}(?:no\.?|number)?\W{0,3}$"
 
+#: Matches of a text that are placed in one go.
+BLOCK = 256
 _FOUND = "array<struct<s:int,e:int,m:string>>"
 
 
@@ -69,14 +72,23 @@ def _matches(text: Column, pattern: str, gate: Column) -> Column:
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out"))
+    zero, none = F.lit(0), F.array().cast(_FOUND)
 
-    def step(acc, x):
-        s = acc["at"] + x["g"]
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
+    def place(some: Column, at: Column) -> Column:
+        def step(acc, x):
+            s = acc["at"] + x["g"]
+            e = s + F.length(x["m"])
+            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
 
-    return F.when(gate, F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(F.array().cast(_FOUND))
+        return F.aggregate(some, F.struct(at.alias("at"), none.alias("out")), step, lambda a: a["out"])
+
+    # in blocks, each from the place where the block before it ends: appending is quadratic in a block alone
+    block = lambda b: F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK))
+    blocks = F.sequence(zero, F.floor((F.size(pairs) - 1) / BLOCK).cast("int"))
+    long = F.transform(blocks, lambda b: F.aggregate(block(b), zero, lambda n, x: n + x["g"] + F.length(x["m"])))
+    starts = F.aggregate(long, F.array(zero), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+    many = F.flatten(F.zip_with(blocks, F.slice(starts, zero + 1, F.size(blocks)), lambda b, at: place(block(b), at)))
+    return F.when(gate, F.when(F.size(pairs) <= BLOCK, place(pairs, zero)).otherwise(many)).otherwise(none)
 
 
 def _digits(m: Column) -> Column:
@@ -108,14 +120,14 @@ def _labelled(found: Column, kind: str, text: Column, strict=None) -> Column:
         "ip": lambda m: (m.rlike(r"^[1-9][0-9]{0,2}(?:\.(?:0|[1-9][0-9]{0,2})){3}$"), m.rlike(r"(?:^|\.)0[0-9]")),
         "card": lambda m: (_n_digits(m).isin(15, 16), _n_digits(m) > 19),
         "phone": lambda m: (m.rlike(r"[0-9]{3}[ .-][0-9]{4}$"), _n_digits(m) < 9),
-        "secret": lambda m: (m.rlike(r"\"[A-Za-z0-9+/_=-]{16,}\"$"), m.rlike(r"(?i)\"(?:example|changeme|none|null)")),
+        "secret": lambda m: (m.rlike(r"[\"':= ][A-Za-z0-9+/_=-]{16,}[\"']?$|^(?:AKIA|gh|xox|-----BEGIN)"), m.rlike(r"(?i)[\"':= ](?:example|changeme|none|null)")),
     }[kind]
     known = {
         "email": lambda m: (F.lower(F.regexp_extract(m, r"([A-Za-z]+)$", 1)).isin(DOMAINS), m.rlike(r"[0-9]$")),
         "ip": lambda m: (m.rlike(r"^(?:[1-9]|[1-9][0-9]|1[0-9]{2}|2[01][0-9]|22[0-3])\.") & ~m.rlike(r"^127\."), m.rlike(r"^(?:0|127|22[4-9]|2[3-9][0-9])\.")),
         "card": lambda m: (_digits(m).rlike(ISSUERS), _digits(m).rlike(r"^[0789]")),
         "phone": lambda m: (m.rlike(COUNTRIES), m.rlike(r"^\+0")),
-        "secret": lambda m: (m.rlike(r"\"(?:[0-9a-f]{32,}|[0-9A-Za-z+/_-]{24,}=*)\"$"), m.rlike(r"\"[a-z]+\"$")),
+        "secret": lambda m: (m.rlike(r"[\"':= ](?:[0-9a-f]{32,}|[0-9A-Za-z+/_-]{24,}=*)[\"']?$|^(?:AKIA|gh|xox|-----BEGIN)"), m.rlike(r"[\"'][a-z]+[\"']$")),
     }[kind]
 
     def one(x: Column) -> Column:
@@ -139,7 +151,8 @@ def candidates(text: Column) -> Column:
         _labelled(_matches(text, PHONE, F.contains(text, F.lit("+")) & text.rlike(r"\+[0-9]")), "phone", text, lambda m: _n_digits(m).between(10, 15)),
         _labelled(_matches(text, SPELT, text.rlike(r"(?i)[(\[]at[)\]]")), "email", text),
         _labelled(_matches(text, LOCAL_PHONE, text.rlike(r"[0-9]{3}[ .-][0-9]{4}")), "phone", text),
-        _labelled(_matches(text, SECRET, F.contains(text, F.lit('"')) & text.rlike(r"(?i)(?:token|secret|passw|key)")), "secret", text),
+        _labelled(_matches(text, SECRET, text.rlike(r"(?i)(?:token|secret|passw|key)")), "secret", text),
+        _labelled(_matches(text, KEY, text.rlike("AKIA|gh[pousr]_|xox[abprs]-|PRIVATE KEY")), "secret", text),
     ]
     return F.concat(*parts)
 
@@ -147,8 +160,8 @@ def candidates(text: Column) -> Column:
 def detect(docs: DataFrame, *, text_col: str = "text", out: str = "_candidates") -> DataFrame:
     """docs with their candidates."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # texts without a digit, an address sign or a quotation mark hold no candidate of any pattern
-    any_ = text.rlike(r"[0-9@\"\[(]")
+    # texts without a digit, an address sign, a quotation mark, a bracket or a key's mark hold no candidate of any pattern
+    any_ = text.rlike(r"[0-9@\"'\[(]|AKIA|gh[pousr]_|xox[abprs]-|PRIVATE KEY")
     kind = "array<struct<kind:string,s:int,e:int,strict:boolean,key:string>>"
     return docs.withColumn(out, F.when(any_, candidates(text)).otherwise(F.array().cast(kind)))
 
@@ -160,7 +173,13 @@ def fit(found: DataFrame, *, col: str = "_candidates", rounds: int = 60) -> list
     for r in rows:
         kind, votes, size = r.key.split(" ")
         cells.append((kind, votes, int(size), r.n))
-    return sorted(f"{k} {v} {s}" for k, v, s, p in classify(cells, expectation_maximisation(cells, rounds)) if p >= 0.5)
+    found = classify(cells, expectation_maximisation(cells, rounds))
+    return sorted(f"{k} {v} {s}" for k, v, s, p in found if p >= 0.5 and not _fails(k, v))
+
+
+def _fails(kind: str, votes: str) -> bool:
+    """A card number that fails its check digit counts only where words before it announce a card."""
+    return kind == "card" and votes[0] == "-" and votes[3] != "+"
 
 
 def expectation_maximisation(cells: list[tuple[str, str, int, int]], rounds: int) -> dict[tuple[str, str], float]:
@@ -265,13 +284,12 @@ def redact(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -
     accepted = fit(found)
     columns = docs.columns
     text = F.col(text_col)
-    with_ = detect(docs, text_col=text_col).withColumn("_spans", all_spans(F.col("_candidates"), accepted))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, x):
-        gap = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), x["s"] - acc["at"]))
-        name = F.when(x["s"] >= acc["at"], F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], gap, name).alias("out"))
-
-    masked = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return with_.withColumn(text_col, F.when(F.size("_spans") > 0, masked).otherwise(text)).select(*columns)
+    held, spans = free_names(columns, "_candidates", "_spans")
+    with_ = detect(docs, text_col=text_col, out=held).withColumn(spans, all_spans(F.col(held), accepted))
+    # what stands before a span begins where the farthest of those before it ends
+    ends = F.aggregate(spans, F.array(F.lit(0)), lambda out, x: F.concat(out, F.array(F.greatest(F.element_at(out, -1), x["e"]))))
+    gap = lambda at, x: F.substring(text, at + 1, F.greatest(F.lit(0), x["s"] - at))
+    name = lambda at, x: F.when(x["s"] >= at, F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(F.lit(""))
+    parts = F.zip_with(F.slice(ends, F.lit(1), F.size(spans)), F.col(spans), lambda at, x: F.concat(gap(at, x), name(at, x)))
+    masked = F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
+    return with_.withColumn(text_col, F.when(F.size(spans) > 0, masked).otherwise(text)).select(*columns)
