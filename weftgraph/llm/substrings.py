@@ -1,7 +1,7 @@
 """Removal of repeated word windows by level-wise doubling.
 
 A window of `window` words is judged at growing lengths: base, twice base, and
-so on.  At a length L below the window it is stood for by its anchor, the run
+so on (5, 10 and 20 words by default).  At a length L below the window it is stood for by its anchor, the run
 of L of its words with the smallest hash, which repeats wherever the window
 does; neighbouring windows share anchors, so a level posts far fewer rows than
 there are windows.  Only windows whose anchor repeats are extended to anchors
@@ -113,7 +113,7 @@ def with_marks(docs: DataFrame, marks: DataFrame, kind: str) -> DataFrame:
     return some.join(marks, "doc_id").select("doc_id", "text", "marks")
 
 
-def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, base: int = 10) -> DataFrame:
+def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, base: int = 5) -> DataFrame:
     """(doc_id, at, n): runs of windows, by start, whose words start earlier too (in a smaller id, or before in the same text)."""
     docs = only(docs, id_col, text_col).withColumnRenamed(id_col, "doc_id").withColumnRenamed(text_col, "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -153,7 +153,7 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return told.union(later)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, base: int = 10, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, base: int = 5, keep_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text: the kept words joined by one space."""
     all_docs = only(docs, id_col, text_col).withColumnRenamed(id_col, "doc_id").withColumnRenamed(text_col, "text")
     kind = all_docs.schema["doc_id"].dataType.simpleString()
