@@ -5,12 +5,14 @@ of fewer words is one window).  A document holds a window only if it holds all
 its words, so one necessary token, its rarest word in the corpus, is enough to
 find every occurrence: the prefix.  A document word that is such a token gives
 a candidate start by the token's offset in the window (positional bound), which
-must lie with the window's whole length inside the document (length bound) and
-is then verified on the words in order by two independent 64-bit hashes.
-
-The benchmark is taken in blocks of about BLOCK_WORDS words; a block's index is
-what is broadcast, so its size is bounded however large the benchmark is, and
-more blocks are more passes over the documents' batches.  Nothing is shuffled
+must lie with the window's whole length inside the document (length bound).  A
+64-bit hash of the words in order leaves few false candidates, and those that
+pass are compared word by word.
+
+The benchmark is taken in blocks of about BLOCK_BYTES bytes of text; a block's
+index is what is broadcast, so its size is bounded however large the benchmark
+is (but for one item larger than that), and more blocks are more passes over the
+documents' batches.  Nothing is shuffled
 but the word counts of the benchmark's own vocabulary.
 
 Defined cases: null texts have no words; a wordless item occurs nowhere; rows
@@ -28,32 +30,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.llm import textops
-from weftgraph.llm.shared import lean, only
+from weftgraph.llm.shared import free_names, lean, only
 
-BLOCK_WORDS = 1_000_000
+BLOCK_BYTES = 6_000_000
+#: The columns that find_leaks() adds, after a prefix.
+FOUND = ("n_words", "hits", "items", "shares")
 
 
-def _lower_words(column: pa.Array) -> Iterator[tuple[textops.Slice, np.ndarray, np.ndarray, np.ndarray]]:
+def _lower_words(column: pa.Array) -> Iterator[tuple[textops.Slice, np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]]:
     for part in textops.slices(column, lower=True):
         start, end, first = part.words(textops.NOT_ALNUM)
-        yield part, part.hashes(start, end), part.hashes(start, end, 1), first
+        yield part, part.hashes(start, end), (start, end), first
+
+
+def _spelt(part: textops.Slice, at: tuple[np.ndarray, np.ndarray], a: int, b: int) -> bytes:
+    """Words a to b of a slice, with a space between."""
+    return b" ".join(part.buf[s:e].tobytes() for s, e in zip(at[0][a:b], at[1][a:b]))
 
 
-def _windows(items: list[tuple[str, str]], window: int) -> dict[tuple[int, int, int], dict]:
-    """{(length, hash, second hash): {words, items}} of a block of items."""
-    out: dict[tuple[int, int, int], dict] = {}
+def _windows(items: list[tuple[str, str]], window: int) -> dict[bytes, dict]:
+    """{the window's words: {length, words, items}} of a block of items; words: their hashes."""
+    out: dict[bytes, dict] = {}
     if not items:
         return out
     at = 0
-    for part, one, two, first in _lower_words(pa.array([t for _, t in items], pa.string())):
+    for part, one, where, first in _lower_words(pa.array([t for _, t in items], pa.string())):
         for a, b in zip(first[:-1], first[1:]):
             name, n = items[at][0], min(window, int(b - a))
             at += 1
             if not n:
                 continue
-            ha, hb = textops.gram_hashes(one[a:b], n), textops.gram_hashes(two[a:b], n, 1)
-            for k in range(len(ha)):
-                w = out.setdefault((n, int(ha[k]), int(hb[k])), {"words": one[a + k : a + k + n], "items": set()})
+            for k in range(a, b - n + 1):
+                w = out.setdefault(_spelt(part, where, k, k + n), {"length": n, "words": one[k : k + n].copy(), "items": set()})
                 w["items"].add(name)
     return out
 
@@ -78,7 +86,7 @@ def _word_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     return out
 
 
-def _index(docs: DataFrame, found: dict, names: list[str]) -> dict[str, np.ndarray]:
+def _index(docs: DataFrame, found: dict[bytes, dict], names: list[str]) -> dict:
     """Arrays for the scan: rarest words, and under each the windows that it stands for."""
     keys = list(found)
     vocabulary = np.unique(np.concatenate([w["words"] for w in found.values()]))
@@ -99,15 +107,15 @@ def _index(docs: DataFrame, found: dict, names: list[str]) -> dict[str, np.ndarr
         "first": np.append(first, len(rows)),
         "offset": np.array([r[1] for r in rows]),
         "window": np.array([r[2] for r in rows]),
-        "length": np.array([k[0] for k in keys]),
-        "hash": np.array([k[1] for k in keys], np.uint64),
-        "hash2": np.array([k[2] for k in keys], np.uint64),
+        "length": np.array([found[k]["length"] for k in keys]),
+        "hash": np.array([int(textops.gram_hashes(found[k]["words"], found[k]["length"])[0]) for k in keys], np.uint64),
+        "text": keys,
         "item_at": np.cumsum([0, *map(len, held)]),
         "item": np.array([i for h in held for i in h], np.int64),
     }
 
 
-def _occurrences(ix: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _occurrences(ix: dict, part: textops.Slice, one: np.ndarray, where: tuple[np.ndarray, np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start word, window number) of every occurrence in a slice."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(ix["token"]) or not len(one):
@@ -130,24 +138,28 @@ def _occurrences(ix: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, fi
     start, end, window = start[same], end[same], window[same]
     if not len(start):
         return none
-    same = textops.range_hash(textops.prefix_sums(two, 1), start, end, 1) == ix["hash2"][window]
+    same = np.array([_spelt(part, where, a, b) == ix["text"][w] for a, b, w in zip(start, end, window)])
     return start[same], window[same]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8) -> DataFrame:
-    """docs with _n_words, _hits (start and end words of merged runs, flat), _items, _shares.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, prefix: str = "_") -> DataFrame:
+    """docs with _n_words, _hits (start and end words of merged runs, flat), _items, _shares; prefix takes the place of their underscore.
 
     _items: ids as strings of the items with a window in the document; _shares:
     for each the part of its distinct windows that occur.
     """
     spark = docs.sparkSession
     columns = docs.columns
+    new = [prefix + n for n in FOUND]
+    if free_names(columns, *new) != new:
+        raise ValueError(f"the table has a column named like one of {new}")
+    text_at = columns.index(text_col)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.sum(F.size(F.split("text", " ")))).head()[0] or 0
-    blocks = max(1, math.ceil(total / BLOCK_WORDS))
-    out = docs.select("*", F.lit(0).cast("long").alias("_n_words"), F.array().cast("array<long>").alias("_hits"), F.array().cast("array<string>").alias("_items"), F.array().cast("array<double>").alias("_shares"))
+    total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    blocks = max(1, math.ceil(total / BLOCK_BYTES))
+    out = docs.select("*", F.lit(0).cast("long").alias(new[0]), F.array().cast("array<long>").alias(new[1]), F.array().cast("array<string>").alias(new[2]), F.array().cast("array<double>").alias(new[3]))
     for block in range(blocks):
-        # one block of the benchmark, bounded by BLOCK_WORDS (twice that if ids hash unevenly)
+        # one block of the benchmark, of about BLOCK_BYTES, as ids hash evenly
         rows = [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()]
         found = _windows(rows, window)
         names = sorted({n for n, _ in rows})
@@ -158,10 +170,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ix, names, of_item = shared.value
             for batch in batches:
-                for part, one, two, first in _lower_words(batch.column(text_col)):
+                for part, one, where, first in _lower_words(batch.column(text_at)):
                     lo, n = part.lo, len(part)
-                    hits, items_, shares = (batch.column(c).slice(lo, n).to_pylist() for c in ("_hits", "_items", "_shares"))
-                    start, win = _occurrences(ix, one, two, first) if ix else (np.zeros(0, np.int64),) * 2
+                    hits, items_, shares = (batch.column(len(columns) + k).slice(lo, n).to_pylist() for k in (1, 2, 3))
+                    start, win = _occurrences(ix, part, one, where, first) if ix else (np.zeros(0, np.int64),) * 2
                     if len(start):
                         doc = np.searchsorted(first, start, "right") - 1
                         order = np.lexsort((start, doc))
@@ -177,8 +189,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
                                 items_[d].append(names[i])
                                 shares[d].append(float(got[i] / of_item[i]))
                     yield pa.RecordBatch.from_arrays(
-                        [*(batch.column(c).slice(lo, n) for c in columns), pa.array(np.diff(first).astype(np.int64)), pa.array(hits, pa.list_(pa.int64())), pa.array(items_, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))],
-                        names=[*columns, "_n_words", "_hits", "_items", "_shares"],
+                        [*(c.slice(lo, n) for c in batch.columns[: len(columns)]), pa.array(np.diff(first).astype(np.int64)), pa.array(hits, pa.list_(pa.int64())), pa.array(items_, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))],
+                        names=[*columns, *new],
                     )
 
         out = out.mapInArrow(lean(run), out.schema)
@@ -195,15 +207,15 @@ def _merged(runs: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def is_contaminated(min_items: int = 2, min_share: float = 0.5):
+def is_contaminated(min_items: int = 2, min_share: float = 0.5, prefix: str = "_"):
     """Whether windows of several items, or a good part of one item's windows, occur."""
-    return (F.size("_items") >= min_items) | F.exists("_shares", lambda x: x >= min_share)
+    return (F.size(f"{prefix}items") >= min_items) | F.exists(f"{prefix}shares", lambda x: x >= min_share)
 
 
-def longest_quote(gap: int = 2):
+def longest_quote(gap: int = 2, prefix: str = "_"):
     """The most hit words of a stretch whose runs have at most `gap` words between them."""
     first = F.struct(F.lit(-gap - 1).cast("long").alias("end"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("most"))
-    runs = F.zip_with(F.filter("_hits", lambda _, k: k % 2 == 0), F.filter("_hits", lambda _, k: k % 2 == 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    runs = F.zip_with(F.filter(f"{prefix}hits", lambda _, k: k % 2 == 0), F.filter(f"{prefix}hits", lambda _, k: k % 2 == 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
     def add(s, run):
         n = F.when(run["a"] - s["end"] <= gap, s["n"]).otherwise(F.lit(0).cast("long")) + run["b"] - run["a"]
