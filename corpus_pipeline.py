@@ -52,10 +52,13 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold benchmark items, or quote them at some length, if with words changed."""
     _short_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.find_leaks(docs, items)
-    left = found.where(~decontaminate.is_contaminated(LEAK_ITEMS, LEAK_SHARE)).select(*docs.columns)
-    found = decontaminate.find_leaks(left, items, window=LEAK_WINDOW)
-    return found.where(decontaminate.longest_quote(LEAK_GAP) < LEAK_RUN).select(*docs.columns)
+    prefix = "_"
+    while free_names(docs.columns, *(names := [prefix + n for n in decontaminate.FOUND])) != names:
+        prefix += "_"
+    found = decontaminate.find_leaks(docs, items, prefix=prefix)
+    left = found.where(~decontaminate.is_contaminated(LEAK_ITEMS, LEAK_SHARE, prefix)).select(*docs.columns)
+    found = decontaminate.find_leaks(left, items, window=LEAK_WINDOW, prefix=prefix)
+    return found.where(decontaminate.longest_quote(LEAK_GAP, prefix) < LEAK_RUN).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
