@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import neardup, substrings, suffixes
+from weftgraph.llm import induction, neardup, substrings, suffixes
 from weftgraph.llm.components import connected_components
 from weftgraph.llm.induction import repeats
 
@@ -141,6 +141,46 @@ def test_induced_sorting(tmp_path):
         assert all(marks[k] == (count[tuple(t[k : k + size])] > 1) for k in range(len(t) - size + 1) if 0 not in t[k : k + size])
 
 
+def test_recursive_order(tmp_path, monkeypatch):
+    """Suffixes of any alphabet, in tiny blocks, ranges and queues: the order of plain sorting."""
+    for seed in range(60):
+        r = random.Random(seed)
+        monkeypatch.setattr(induction, "SMALL_ALPHABET", r.choice([2, 8, 512]))
+        monkeypatch.setattr(induction, "BLOCK", r.choice([4, 16, 1 << 16]))
+        t = [1, 2] * r.choice([0, 50]) + [r.randint(0, r.choice([1, 3, 30, 600])) for _ in range(r.randint(1, 120))]
+        t += t[: r.choice([0, 40])]
+        assert induction.suffix_order(np.array(t, np.int32), str(tmp_path), r.choice([64, 1 << 20])).tolist() == sorted(range(len(t)), key=lambda k: t[k:])
+
+
+def test_queues_spill_in_a_shard_of_usual_size(tmp_path):
+    r = np.random.default_rng(1)
+    text = r.integers(97, 117, suffixes.SHARD_BYTES).astype(np.uint16)
+    text[300_000:300_900] = text[1000:1900]
+    is_s = induction.types(text, str(tmp_path))
+    seeds = induction.seed_order(text, is_s, induction.lms_positions(is_s, str(tmp_path)), str(tmp_path), suffixes.QUEUE_BYTES)
+    assert induction.induce(text, is_s, seeds, None, str(tmp_path), suffixes.QUEUE_BYTES, 0) > 0
+    marks = repeats(text, 400, str(tmp_path), suffixes.QUEUE_BYTES)
+    assert np.flatnonzero(marks).tolist() == [*range(1000, 1501), *range(300_000, 300_501)]
+
+
+def test_one_anchor_larger_than_memory(spark, monkeypatch):
+    """A passage that all texts share, each with neighbours of its own, is one shard many times the queue and the block."""
+    monkeypatch.setattr(suffixes, "QUEUE_BYTES", 1 << 12)
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", 1 << 10)
+    r = random.Random(5)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(450))
+    rows = [(k, "".join(r.choice("ijklmnop ") for _ in range(380)) + passage + "".join(r.choice("qrstuvw ") for _ in range(380))) for k in range(60)]
+    got = {x.doc_id: (x.n_removed, x.n_spans) for x in suffixes.remove_repeated_strings(spark.createDataFrame(rows, "doc_id long, text string"), keep_bytes=False).collect()}
+    data = [t.encode() for _, t in rows]
+    count = Counter(t[k : k + 400] for t in data for k in range(len(t) - 399))
+    for (i, _), t in zip(rows, data):
+        gone = set()
+        for k in range(len(t) - 399):
+            if count[t[k : k + 400]] > 1:
+                gone |= set(range(k, k + 400))
+        assert got[i] == (len(gone), 1)
+
+
 def test_nothing_is_lost_to_the_bitmap(docs):
     from weftgraph.llm.shared import id_bitmap, in_bitmap
 

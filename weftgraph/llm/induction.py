@@ -1,4 +1,4 @@
-"""Suffix order and common-prefix values of a byte text by induced sorting.
+"""Suffix order and common-prefix values of a text by external, recursive induced sorting.
 
 The text's suffixes are of type L (greater than the next suffix) or S.  Sorted
 seeds, the leftmost S suffixes of each S run (LMS), induce the order of all L
@@ -9,17 +9,21 @@ pushes the suffix that starts one position before it.  Tuples carry the common
 prefix with their predecessor: that of two pushed neighbours is one more than
 the least value between the tuples that pushed them.
 
-The queue keeps a bounded part in memory and appends the rest to files that it
-reads back in order, so a text far larger than memory needs only its types and
-bytes as (mapped) arrays.  Work is done in blocks of tuples on numpy arrays.
-
 Seeds are ordered by recursion: a first induction sorts the substrings between
 neighbouring LMS positions, equal ones get one name, and the string of names is
-sorted in turn.  Its alphabet is too large to be taken character by character,
-so that level doubles ranks instead, and ends once names reach `depth` bytes.
-
-Common prefixes count up to `depth`; order among suffixes that agree for depth
-bytes is arbitrary.
+sorted in the same way, level by level, until names are distinct.  Names are a
+large alphabet, so the queue is cut into ranges of characters that hold few
+tuples each; within a range, what is pushed back into it is merged in before
+anything at or after its place is taken.
+
+Texts, types, positions, names and orders are mapped files of the task's own
+scratch folder; the queue and the finished L suffixes keep a bounded part in
+memory and append the rest to files that they read back in order.  Work is done
+in blocks of tuples, so memory is bounded by the block, the queue's part and
+one number per distinct name, whatever the text's length.
+
+Common prefixes count up to `depth`.  All comparisons are of characters
+themselves.
 """
 
 from __future__ import annotations
@@ -30,89 +34,122 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-from weftgraph.llm import textops
-
 BLOCK = 1 << 16
+#: Symbols that are compared at a time, and rows of such a comparison.
+STRIDE, ROWS = 32, 1 << 14
+#: Characters up to which each is a range of its own.
+SMALL_ALPHABET = 512
+
+
+def mapped(folder: str, n: int, dtype) -> np.ndarray:
+    """An array in a file without a name, which goes with the array."""
+    if not n:
+        return np.zeros(0, dtype)
+    with tempfile.TemporaryFile(dir=folder) as f:
+        f.truncate(n * np.dtype(dtype).itemsize)
+        return np.memmap(f, dtype, "r+", shape=(n,))
+
+
+def gathered(folder: str, parts: Iterator[np.ndarray], dtype) -> np.ndarray:
+    """Successive parts as one mapped array."""
+    f = tempfile.TemporaryFile(dir=folder)
+    n = 0
+    for p in parts:
+        n += len(p)
+        f.write(np.ascontiguousarray(p, dtype).tobytes())
+    f.flush()
+    with f:
+        return np.memmap(f, dtype, "r+", shape=(n,)) if n else np.zeros(0, dtype)
 
 
 class PriorityQueue:
-    """Tuples (position, common prefix) by character, first in first out within one; larger parts go to disk."""
+    """Tuples (position, common prefix) by range, first in first out within one; larger parts go to disk."""
 
     def __init__(self, folder: str, memory: int):
         self.folder, self.memory, self.held = folder, memory, 0
         self.parts: dict[int, list[np.ndarray]] = {}
         self.files: dict[int, list] = {}
+        self.spilled = 0
 
-    def push(self, char: np.ndarray, tuples: np.ndarray) -> None:
-        """tuples: rows of (position, common prefix), grouped by char and in order within it."""
-        if not len(char):
+    def push(self, group: np.ndarray, tuples: np.ndarray) -> None:
+        """tuples: rows of (position, common prefix), together by group and in order within it."""
+        if not len(group):
             return
-        at = np.flatnonzero(np.concatenate(([True], char[1:] != char[:-1], [True])))
-        for a, b in zip(at[:-1], at[1:]):
-            self.parts.setdefault(int(char[a]), []).append(tuples[a:b])
+        at = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            self.parts.setdefault(int(group[a]), []).append(tuples[a:b].copy())
         self.held += tuples.nbytes
         if self.held > self.memory:
             self.spill()
 
     def spill(self) -> None:
+        """One file holds what is spilled together; groups remember their places in it."""
+        f = tempfile.TemporaryFile(dir=self.folder)
+        at = 0
         for c, parts in self.parts.items():
-            if c not in self.files:
-                self.files[c] = [tempfile.TemporaryFile(dir=self.folder), 0]
-            f = self.files[c][0]
-            f.seek(0, os.SEEK_END)
-            for p in parts:
-                f.write(np.ascontiguousarray(p).tobytes())
+            data = b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
+            f.write(data)
+            self.files.setdefault(c, []).append([f, at, len(data)])
+            at += len(data)
+        self.spilled += at
         self.parts, self.held = {}, 0
 
-    def pop(self, char: int) -> np.ndarray | None:
-        """The next block under char, in order of arrival; None once it is empty."""
-        if char in self.files:
-            f, at = self.files[char]
+    def pop(self, group: int) -> np.ndarray | None:
+        """The next block of a group, in order of arrival; None once it is empty."""
+        if group in self.files:
+            places = self.files[group]
+            f, at, size = places[0]
             f.seek(at)
-            got = np.frombuffer(f.read(BLOCK * 8), np.int32).reshape(-1, 2)
-            if len(got):
-                self.files[char][1] = at + got.nbytes
-                return got
-            f.close()
-            del self.files[char]
-        parts = self.parts.pop(char, None)
+            got = np.frombuffer(f.read(min(size, BLOCK * 8)), np.int32).reshape(-1, 2)
+            if got.nbytes == size:
+                places.pop(0)
+                if not places:
+                    del self.files[group]
+            else:
+                places[0] = [f, at + got.nbytes, size - got.nbytes]
+            return got
+        parts = self.parts.pop(group, None)
         if not parts:
             return None
         got = np.concatenate(parts)
         if len(got) > BLOCK:
-            self.parts[char] = [got[BLOCK:]]
+            self.parts[group] = [got[BLOCK:]]
             got = got[:BLOCK]
         self.held -= got.nbytes
         return got
 
-    def close(self) -> None:
-        for f, _ in self.files.values():
-            f.close()
+    def pop_all(self, group: int) -> np.ndarray:
+        out = []
+        while (block := self.pop(group)) is not None:
+            out.append(block)
+        return np.concatenate(out) if out else np.zeros((0, 2), np.int32)
 
 
 class _Store:
-    """Blocks per character, kept for reading in either direction; larger amounts on disk."""
+    """Blocks per range, kept for reading backwards; larger amounts on disk."""
 
     def __init__(self, folder: str, memory: int):
         self.folder, self.memory, self.held = folder, memory, 0
         self.blocks: dict[int, list] = {}
         self.file = None
 
-    def add(self, char: int, block: np.ndarray) -> None:
+    def add(self, group: int, block: np.ndarray) -> None:
         if self.held + block.nbytes > self.memory:
             self.file = self.file or tempfile.TemporaryFile(dir=self.folder)
             at = self.file.seek(0, os.SEEK_END)
             self.file.write(np.ascontiguousarray(block).tobytes())
-            self.blocks.setdefault(char, []).append((at, block.nbytes))
+            self.blocks.setdefault(group, []).append((at, block.nbytes))
         else:
             self.held += block.nbytes
-            self.blocks.setdefault(char, []).append(block)
+            self.blocks.setdefault(group, []).append(block)
 
-    def backwards(self, char: int) -> Iterator[np.ndarray]:
-        for b in reversed(self.blocks.get(char, [])):
+    def backwards(self, group: int) -> Iterator[np.ndarray]:
+        for b in reversed(self.blocks.pop(group, [])):
             if isinstance(b, tuple):
                 self.file.seek(b[0])
                 b = np.frombuffer(self.file.read(b[1]), np.int32).reshape(-1, 2)
+            else:
+                self.held -= b.nbytes
             yield b
 
     def close(self) -> None:
@@ -120,15 +157,52 @@ class _Store:
             self.file.close()
 
 
-def _types(text: np.ndarray) -> np.ndarray:
-    """True where the suffix is of type S (the end of the text counts as least)."""
+def types(text: np.ndarray, folder: str) -> np.ndarray:
+    """True where the suffix is of type S (the end of the text counts as least); in blocks from the end."""
     n = len(text)
-    step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(text[1:].astype(np.int16) - text[:-1].astype(np.int16))
-    step[-1] = -1
-    at = np.where(step != 0, np.arange(n), n)
-    nxt = np.minimum.accumulate(at[::-1])[::-1]
-    return step[nxt] > 0
+    out = mapped(folder, n, bool)
+    after, kind = -1, False
+    for b in range(n, 0, -BLOCK):
+        a = max(0, b - BLOCK)
+        here = np.asarray(text[a:b]).astype(np.int64)
+        step = np.sign(np.append(here[1:], after) - here)
+        at = np.where(step != 0, np.arange(len(step)), len(step))
+        nxt = np.minimum.accumulate(at[::-1])[::-1]
+        # a tie with what follows has the type of that
+        found = np.where(nxt < len(step), np.append(step, 1 if kind else -1)[np.minimum(nxt, len(step))] > 0, kind)
+        out[a:b] = found
+        after, kind = int(here[0]), bool(found[0])
+    return out
+
+
+def lms_positions(is_s: np.ndarray, folder: str) -> np.ndarray:
+    def parts():
+        for a in range(1, len(is_s), BLOCK):
+            b = min(a + BLOCK, len(is_s))
+            yield np.flatnonzero(is_s[a:b] & ~is_s[a - 1 : b - 1]) + a
+
+    return gathered(folder, parts(), np.int32)
+
+
+def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many symbols from a and from b on are the same, up to most (which stays inside the text)."""
+    out = np.zeros(len(a), np.int64)
+    for lo in range(0, len(a), ROWS):
+        live = np.arange(lo, min(lo + ROWS, len(a)))
+        live = live[most[live] > 0]
+        done = 0
+        while len(live):
+            width = min(STRIDE << min(4, done // STRIDE), int(most[live].max()) - done)
+            at = done + np.arange(width)
+            inside = at[None, :] < most[live][:, None]
+            x = np.minimum(a[live][:, None] + at, len(text) - 1)
+            y = np.minimum(b[live][:, None] + at, len(text) - 1)
+            same = (np.asarray(text[x]) == np.asarray(text[y])) & inside
+            whole = same.all(axis=1)
+            out[live] = done + np.where(whole, width, same.argmin(axis=1))
+            done += width
+            live = live[whole & (most[live] > done)]
+    return out
 
 
 class _Carry:
@@ -168,105 +242,257 @@ class _Carry:
         return out + 1
 
 
-def _induce(text: np.ndarray, is_s: np.ndarray, seeds: dict[int, np.ndarray], folder: str, memory: int, depth: int, visit: Callable[[np.ndarray, np.ndarray], None] | None, with_lcp: bool) -> None:
-    """Induce all L suffixes from the seeds, then all S suffixes from these.
+def _bounds(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First characters of the ranges, and which of them are a single character.
 
-    visit(positions, common prefixes) gets the S phase's blocks, in falling
-    order, and the L phase's blocks, in rising order; the first value of each
-    belongs to the pair with the tuple before, whose position leads the block.
+    Ranges hold about twice the root of the text's length each; a frequent character is
+    a range of its own.
     """
-    chars = np.unique(text)
-    size = 257
-
-    def direct(i: int, j: int) -> int:
-        x, y = text[i : i + depth], text[j : j + depth]
-        n = min(len(x), len(y))
-        d = np.flatnonzero(x[:n] != y[:n])
-        return int(d[0]) if len(d) else n
-
-    def step(queue, carry, block, want_s):
-        pos = block[:, 0]
-        before = pos - 1
-        ok = before >= 0
-        ok &= is_s[before] == want_s
-        if want_s:
-            # an S suffix is induced only by a greater one, an L suffix only by a smaller one
-            ok &= text[before] <= text[pos]
-        else:
-            ok &= text[before] >= text[pos]
-        index = np.flatnonzero(ok)
+    n, size = len(text), 0
+    for a in range(0, n, BLOCK):
+        size = max(size, int(text[a : a + BLOCK].max()) + 1)
+    if size <= SMALL_ALPHABET:
+        return np.arange(size), np.ones(size, bool)
+    count = np.zeros(size, np.int64)
+    for a in range(0, n, BLOCK):
+        count += np.bincount(text[a : a + BLOCK], minlength=size)
+    share = (np.cumsum(count) - count) // max(256, int(2 * n**0.5))
+    new = np.concatenate(([True], share[1:] != share[:-1]))
+    often = np.flatnonzero(count > BLOCK)
+    new[often] = True
+    new[np.minimum(often + 1, size - 1)] = True
+    bounds = np.flatnonzero(new)
+    return bounds, np.diff(np.append(bounds, size)) == 1
+
+
+def induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, lcp: np.ndarray | None, folder: str, memory: int, depth: int, visit: Callable | None = None, collect: Callable | None = None) -> int:
+    """Induce all L suffixes from the seeds, then all S suffixes from these; the bytes that the queues have spilled.
+
+    seeds: LMS positions in order; lcp: their common prefixes, each with the one
+    before (None: no common prefixes are carried; else the alphabet is small).
+    visit(position before, block) gets the L phase's blocks of (position, common
+    prefix) in rising order and the S phase's in falling order, and the pairs
+    where both meet.  collect(positions) gets all suffixes in falling order.
+    """
+    bounds, single = _bounds(text)
+    group_of = lambda char: np.searchsorted(bounds, char, "right") - 1
+    carry = _Carry(int(bounds[-1]) + 1) if lcp is not None else None
+    count = np.zeros(len(bounds) + 1, np.int64)
+    for a in range(0, len(seeds), BLOCK):
+        count[1:] += np.bincount(group_of(text[seeds[a : a + BLOCK]]), minlength=len(bounds))
+    seed_at = np.cumsum(count)
+
+    def before(pos: np.ndarray, want_s: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the tuples push a suffix of the wanted type, that suffix, and its character."""
+        prev = pos - 1
+        index = np.flatnonzero(prev >= 0)
+        prev = prev[index]
+        # an S suffix is induced only by a greater one, an L suffix only by a smaller one
+        own, char = np.asarray(text[pos[index]]), np.asarray(text[prev])
+        ok = (is_s[prev] == want_s) & ((char <= own) if want_s else (char >= own))
+        return index[ok], prev[ok], char[ok].astype(np.int64)
+
+    def step(queue: PriorityQueue, block: np.ndarray, want_s: bool) -> None:
+        """Push what a block of one character induces."""
+        index, prev, char = before(block[:, 0], want_s)
         if not len(index):
-            if with_lcp:
+            if carry:
                 np.minimum(carry.low, int(block[:, 1].min()), out=carry.low)
             return
-        before = before[index]
-        char = text[before].astype(np.int64)
         order = np.argsort(char, kind="stable")
-        char, before, index = char[order], before[order], index[order]
-        lcp = np.minimum(carry.push_values(char, index, block[:, 1]), depth) if with_lcp else np.zeros(len(char), np.int64)
-        queue.push(char, np.stack((before, lcp.astype(np.int32)), 1).astype(np.int32))
-
-    done = _Store(folder, memory)
-    queue, carry, last = PriorityQueue(folder, memory), _Carry(size), None
-    queue.push(text[-1:].astype(np.int64), np.array([[len(text) - 1, 0]], np.int32))
-    carry.low[text[-1]] = 0
-    for c in map(int, chars):
+        char, prev, index = char[order], prev[order], index[order]
+        value = np.minimum(carry.push_values(char, index, block[:, 1]), depth) if carry else np.zeros(len(char), np.int64)
+        queue.push(group_of(char), np.stack((prev, value), 1).astype(np.int32))
+
+    def merge(queue: PriorityQueue, group: int, pos: np.ndarray, kind: np.ndarray, want_s: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Final parts of a range of several characters, (positions, kinds); kind 0 comes before 1 under one character.
+
+        What is pushed back into the range has kind 0 and goes behind its like;
+        everything up to the first such place is final.
+        """
+        sign = -1 if want_s else 1
+        key = sign * 2 * np.asarray(text[pos]).astype(np.int64) + kind
+        order = np.argsort(key, kind="stable")
+        pos, key = pos[order], key[order]
+        while len(pos):
+            index, prev, char = before(pos, want_s)
+            inner = group_of(char) == group
+            back = sign * 2 * char
+            safe = len(pos) if not inner.any() else int(np.searchsorted(key, back[inner].min(), "right"))
+            yield pos[:safe], key[:safe] & 1
+            mine = index < safe
+            out = mine & ~inner
+            by = np.argsort(char[out], kind="stable")
+            queue.push(group_of(char[out][by]), np.stack((prev[out][by], np.zeros(len(by), np.int64)), 1).astype(np.int32))
+            again = mine & inner
+            pos, key = np.concatenate((pos[safe:], prev[again])), np.concatenate((key[safe:], back[again]))
+            order = np.argsort(key, kind="stable")
+            pos, key = pos[order], key[order]
+
+    def meeting(last: int, pos: int) -> int:
+        most = np.array([min(depth, len(text) - max(last, pos))])
+        return int(common_prefix(text, np.array([last]), np.array([pos]), most)[0])
+
+    pair = lambda pos: np.stack((pos, np.zeros(len(pos), np.int64)), 1).astype(np.int32)
+    done, queue = _Store(folder, memory), PriorityQueue(folder, memory)
+    queue.push(group_of(text[-1:].astype(np.int64)), np.array([[len(text) - 1, 0]], np.int32))
+    if carry:
+        carry.low[int(text[-1])] = 0
+    for r in range(len(bounds)):
+        mine = slice(int(seed_at[r]), int(seed_at[r + 1]))
+        if not single[r]:
+            found = queue.pop_all(r)[:, 0].astype(np.int64)
+            pos = np.concatenate((found, np.asarray(seeds[mine]).astype(np.int64)))
+            for part, kind in merge(queue, r, pos, np.repeat([0, 1], [len(found), len(pos) - len(found)]), False):
+                if not kind.all():
+                    done.add(r, pair(part[kind == 0]))
+            continue
         last = None
-        while (block := queue.pop(c)) is not None:
+        while (block := queue.pop(r)) is not None:
             if visit:
                 visit(last, block)
-            done.add(c, block)
+            done.add(r, block)
             last = int(block[-1, 0])
-            step(queue, carry, block, False)
-        if c in seeds:
-            mine = seeds[c]
-            if with_lcp:
-                mine = mine.copy()
-                mine[0, 1] = direct(last, int(mine[0, 0])) if last is not None else 0
-            for k in range(0, len(mine), BLOCK):
-                step(queue, carry, mine[k : k + BLOCK], False)
-    queue.close()
-    queue, carry = PriorityQueue(folder, memory), _Carry(size)
-    for c in map(int, chars[::-1]):
+            step(queue, block, False)
+        for a in range(mine.start, mine.stop, BLOCK):
+            b = min(a + BLOCK, mine.stop)
+            block = np.stack((seeds[a:b], lcp[a:b] if carry else np.zeros(b - a, np.int32)), 1).astype(np.int32)
+            if carry and a == mine.start:
+                block[0, 1] = meeting(last, int(block[0, 0])) if last is not None else 0
+            step(queue, block, False)
+    spilled = queue.spilled
+    queue = PriorityQueue(folder, memory)
+    carry = _Carry(int(bounds[-1]) + 1) if lcp is not None else None
+    for r in range(len(bounds) - 1, -1, -1):
+        if not single[r]:
+            found = queue.pop_all(r)[:, 0].astype(np.int64)
+            held = [b[::-1, 0] for b in done.backwards(r)]
+            pos = np.concatenate((found, *held)).astype(np.int64)
+            for part, _ in merge(queue, r, pos, np.repeat([0, 1], [len(found), len(pos) - len(found)]), True):
+                if collect:
+                    collect(part)
+            continue
         last = None
-        while (block := queue.pop(c)) is not None:
+        while (block := queue.pop(r)) is not None:
             if visit:
                 visit(last, block)
+            if collect:
+                collect(block[:, 0])
             last = int(block[-1, 0])
-            step(queue, carry, block, True)
+            step(queue, block, True)
         value = None
-        for block in done.backwards(c):
+        for block in done.backwards(r):
             block = block[::-1].copy()
-            if with_lcp:
+            if collect:
+                collect(block[:, 0])
+            if carry:
                 # turned round, a tuple's common prefix is that with the one after it
                 own = block[:, 1].copy()
                 block[1:, 1] = own[:-1]
                 if value is None:
-                    value = direct(last, int(block[0, 0])) if last is not None else 0
+                    value = meeting(last, int(block[0, 0])) if last is not None else 0
                     if visit and last is not None:
                         visit(last, np.array([[block[0, 0], value]], np.int32))
                 block[0, 1] = value
                 value = int(own[-1])
-            step(queue, carry, block, True)
-    queue.close()
+            step(queue, block, True)
     done.close()
+    return spilled + queue.spilled
+
+
+def _flipped(folder: str, falling: np.ndarray) -> np.ndarray:
+    return gathered(folder, (falling[max(0, b - BLOCK) : b][::-1] for b in range(len(falling), 0, -BLOCK)), np.int32)
+
+
+class _Falling:
+    """Positions that come in falling order, gathered in a file."""
+
+    def __init__(self, folder: str, keep: Callable[[np.ndarray], np.ndarray] | None = None):
+        self.folder, self.keep, self.file, self.n = folder, keep, tempfile.TemporaryFile(dir=folder), 0
+
+    def __call__(self, pos: np.ndarray) -> None:
+        if self.keep:
+            pos = pos[self.keep(pos)]
+        self.n += len(pos)
+        self.file.write(np.ascontiguousarray(pos, np.int32).tobytes())
+
+    def rising(self) -> np.ndarray:
+        self.file.flush()
+        with self.file as f:
+            got = np.memmap(f, np.int32, "r", shape=(self.n,)) if self.n else np.zeros(0, np.int32)
+        return _flipped(self.folder, got)
+
+
+def _by_first(text: np.ndarray, lms: np.ndarray, folder: str, memory: int) -> np.ndarray:
+    """Positions in the order of their first characters."""
+    bounds, single = _bounds(text)
+    queue = PriorityQueue(folder, memory)
+    for a in range(0, len(lms), BLOCK):
+        pos = np.asarray(lms[a : a + BLOCK])
+        group = np.searchsorted(bounds, text[pos], "right") - 1
+        by = np.argsort(group, kind="stable")
+        queue.push(group[by], np.stack((pos[by], pos[by]), 1).astype(np.int32))
+
+    def parts():
+        for r in range(len(bounds)):
+            if single[r]:
+                while (block := queue.pop(r)) is not None:
+                    yield block[:, 0]
+            else:
+                pos = queue.pop_all(r)[:, 0]
+                yield pos[np.argsort(text[pos], kind="stable")]
+
+    return gathered(folder, parts(), np.int32)
+
+
+def seed_order(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, folder: str, memory: int) -> np.ndarray:
+    """The LMS positions in the order of their suffixes, by names and recursion."""
+    if not len(lms):
+        return lms
+    is_lms = mapped(folder, len(text), bool)
+    is_lms[lms] = True
+    falling = _Falling(folder, lambda pos: is_lms[pos])
+    # the first induction sorts LMS substrings: seeds need no more than the order of their first characters
+    induce(text, is_s, _by_first(text, lms, folder, memory), None, folder, memory, 0, collect=falling)
+    order = falling.rising()
+    names, name = mapped(folder, len(lms), np.int32), 0
+    for a in range(0, len(order), BLOCK):
+        here = np.asarray(order[max(0, a - 1) : a + BLOCK]).astype(np.int64)
+        slot = np.searchsorted(lms, here)
+        end = np.where(slot + 1 < len(lms), lms[np.minimum(slot + 1, len(lms) - 1)], len(text) - 1)
+        size = end - here + 1
+        same = size[1:] == size[:-1]
+        # the last substring runs into the end of the text, which no other one does
+        same &= (slot[1:] + 1 < len(lms)) & (slot[:-1] + 1 < len(lms))
+        at = np.flatnonzero(same)
+        equal = common_prefix(text, here[:-1][at], here[1:][at], size[1:][at]) == size[1:][at]
+        fresh = np.ones(len(here) - 1, np.int64)
+        fresh[at[equal]] = 0
+        if a == 0:
+            value = np.concatenate(([0], np.cumsum(fresh)))
+        else:
+            value, slot = name + np.cumsum(fresh), slot[1:]
+        names[slot] = value
+        name = int(value[-1])
+    if name + 1 == len(lms):
+        return order
+    return gathered(folder, _taken(lms, suffix_order(names, folder, memory)), np.int32)
 
 
-def _rank(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of a string of names, by doubling, as far as depth names."""
-    n, rank, h = len(names), names.astype(np.int64), 1
-    while True:
-        order = np.argsort(rank, kind="stable")
-        if h >= depth or (n and rank[order[-1]] == n - 1):
-            return order
-        nxt = np.zeros(n, np.int64)
-        nxt[:-h] = rank[h:] + 1
-        key = rank * (n + 2) + nxt
-        order = np.argsort(key, kind="stable")
-        sorted_ = key[order]
-        fresh = np.empty(n, np.int64)
-        fresh[order] = np.cumsum(np.concatenate(([0], (sorted_[1:] != sorted_[:-1]).astype(np.int64))))
-        rank, h = fresh, h * 2
+def _taken(values: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+    for a in range(0, len(at), BLOCK):
+        yield values[at[a : a + BLOCK]]
+
+
+def suffix_order(text: np.ndarray, folder: str, memory: int) -> np.ndarray:
+    """All positions of a string in the order of their suffixes (a shorter one before those that it begins)."""
+    if len(text) < 2:
+        return np.arange(len(text), dtype=np.int32)
+    is_s = types(text, folder)
+    seeds = seed_order(text, is_s, lms_positions(is_s, folder), folder, memory)
+    falling = _Falling(folder)
+    induce(text, is_s, seeds, None, folder, memory, 0, collect=falling)
+    return falling.rising()
 
 
 def repeats(text: np.ndarray, length: int, folder: str, memory: int = 64 << 20) -> np.ndarray:
@@ -276,50 +502,16 @@ def repeats(text: np.ndarray, length: int, folder: str, memory: int = 64 << 20)
     with a 0 in those bytes mean nothing.
     """
     n, depth = len(text), length
-    marks = np.zeros(n, bool)
+    marks = mapped(folder, n, bool)
     if n < 2:
         return marks
-    is_s = _types(text)
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    seeds: dict[int, np.ndarray] = {}
-
-    def as_seeds(order: np.ndarray, lcp: np.ndarray) -> dict[int, np.ndarray]:
-        char = text[order]
-        at = np.flatnonzero(np.concatenate(([True], char[1:] != char[:-1], [True]))) if len(char) else np.zeros(1, int)
-        both = np.stack((order, lcp), 1).astype(np.int32)
-        return {int(char[a]): both[a:b] for a, b in zip(at[:-1], at[1:])}
-
-    if len(lms):
-        by_char = lms[np.argsort(text[lms], kind="stable")]
-        is_lms = np.zeros(n, bool)
-        is_lms[lms] = True
-        falling: list[np.ndarray] = []
-
-        def keep(_, block):
-            pos = block[:, 0]
-            falling.append(pos[is_lms[pos]])
-
-        # the first induction sorts LMS substrings (the L phase's blocks hold no LMS position)
-        _induce(text, is_s, as_seeds(by_char, np.zeros(len(lms), np.int64)), folder, memory, depth, keep, False)
-        order = np.concatenate(falling)[::-1]
-        sums = textops.prefix_sums(np.concatenate((text, np.zeros(2 * depth + 2, text.dtype))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019))
-        end = np.append(lms[1:] + 1, n)
-        slot = np.searchsorted(lms, order)
-        hashed = textops.range_hash(sums, order, end[slot])
-        size = end[slot] - order
-        name = np.cumsum(np.concatenate(([0], ((hashed[1:] != hashed[:-1]) | (size[1:] != size[:-1])).astype(np.int64))))
-        names = np.empty(len(lms), np.int64)
-        names[slot] = name
-        order = lms[_rank(names, depth)]
-        lcp = np.zeros(len(order), np.int64)
-        a, b, got = order[:-1], order[1:], np.zeros(len(order) - 1, np.int64)
-        jump = 1 << (depth.bit_length() - 1)
-        while jump and len(got):
-            same = textops.range_hash(sums, a + got, a + got + jump) == textops.range_hash(sums, b + got, b + got + jump)
-            got += np.where(same, jump, 0)
-            jump >>= 1
-        lcp[1:] = np.minimum(got, depth)
-        seeds = as_seeds(order, lcp)
+    is_s = types(text, folder)
+    seeds = seed_order(text, is_s, lms_positions(is_s, folder), folder, memory)
+    lcp = mapped(folder, len(seeds), np.int32)
+    for a in range(1, len(seeds), BLOCK):
+        here = np.asarray(seeds[a - 1 : a + BLOCK]).astype(np.int64)
+        most = np.minimum(depth, n - np.maximum(here[:-1], here[1:]))
+        lcp[a : a + len(most)] = common_prefix(text, here[:-1], here[1:], most)
 
     def mark(last, block):
         near = block[:, 1] >= length
@@ -327,7 +519,7 @@ def repeats(text: np.ndarray, length: int, folder: str, memory: int = 64 << 20)
             marks[last] = True
         near[0] &= last is not None
         marks[block[near, 0]] = True
-        marks[block[np.flatnonzero(near[1:]), 0]] |= near[1:][near[1:]]
+        marks[block[np.flatnonzero(near[1:]), 0]] = True
 
-    _induce(text, is_s, seeds, folder, memory, depth, mark, True)
+    induce(text, is_s, seeds, lcp, folder, memory, depth, visit=mark)
     return marks

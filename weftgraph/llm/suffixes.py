@@ -9,9 +9,11 @@
    that can match meet in one shard, and each shard is suffix-sorted by
    external induced sorting with common-prefix values (see induction.py): a
    string is a repeat if its suffix agrees with a neighbour for `length` bytes.
-   A task sorts shard after shard of about SHARD_BYTES; the anchors of one
-   shard are never parted, and the sorter keeps what exceeds QUEUE_BYTES in
-   files of the task's own scratch folder, removed when the shard is done.
+   A task sorts shard after shard of about SHARD_BYTES.  An anchor is never
+   parted between shards, so one that very many texts share makes a shard of its
+   own of any size: a shard's bytes, and all that grows with them, are mapped
+   files of the task's own scratch folder, and the sorter's queues keep no more
+   than QUEUE_BYTES in memory.
 
 Matches never cross documents, nor runs.  The result covers each byte of every
 occurrence, the first included.
@@ -34,12 +36,13 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.llm import textops
-from weftgraph.llm.induction import repeats
+from weftgraph.llm.induction import BLOCK, repeats
 from weftgraph.llm.shared import cut, id_bitmap, in_bitmap, lean, only, small_batches
 from weftgraph.llm.substrings import with_marks
 
 SHARD_BYTES = 1 << 20
-QUEUE_BYTES = 16 << 20
+#: What a queue holds in memory; a shard of SHARD_BYTES has several times that.
+QUEUE_BYTES = 1 << 18
 SLICE_BYTES = 1 << 19
 
 
@@ -98,48 +101,73 @@ def _runs(docs: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(lean(run), f"gram long, run binary, doc_id {kind}, at int, n int, bytes binary")
 
 
+class _Shard:
+    """Runs of one or more anchors: their bytes go to a file as they come, only ids, places and sizes stay in memory."""
+
+    def __init__(self, folder: str):
+        self.folder, self.file, self.bytes = folder, tempfile.TemporaryFile(dir=folder), 0
+        self.rows: list[pa.RecordBatch] = []
+        self.sizes: list[int] = []
+
+    def add(self, part: pa.RecordBatch) -> None:
+        """part: rows of (gram, doc_id, at, bytes)."""
+        self.rows.append(pa.RecordBatch.from_arrays([pa.concat_arrays([part.column(1)]), pa.concat_arrays([part.column(2)])], names=["doc_id", "at"]))
+        for v in part.column(3):
+            symbols = np.frombuffer(v.as_buffer(), np.uint8).astype(np.uint16) + np.uint16(1)
+            self.file.write(symbols.tobytes() + b"\0\0")
+            self.sizes.append(len(symbols))
+            self.bytes += len(symbols)
+
+    def finish(self) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+        """Rows (doc_id, at), their sizes, and the text: symbols of 1 to 256, a 0 after each run; it is a mapped file."""
+        self.file.flush()
+        with self.file as f:
+            text = np.memmap(f, np.uint16, "r", shape=(self.bytes + len(self.sizes),))
+        return pa.concat_batches(self.rows), np.array(self.sizes, np.int64), text
+
+
 def _sorted_shards(apart: DataFrame, kind: str, length: int) -> DataFrame:
     """(doc_id, at, n) of the repeated strings among runs; apart is dealt out and ordered by gram."""
 
-    def sort(rows: list[pa.RecordBatch], folder: str) -> pa.RecordBatch | None:
-        batch = pa.concat_batches(rows)
-        size = np.array([len(v.as_buffer()) for v in batch.column(3)], np.int64)
-        text = np.zeros(int(size.sum()) + len(size), np.uint16)
+    def sort(shard: "_Shard", folder: str) -> pa.RecordBatch | None:
+        rows, size, text = shard.finish()
         at = np.cumsum(size + 1) - size - 1
-        for p, v in zip(at, batch.column(3)):
-            b = np.frombuffer(v.as_buffer(), np.uint8)
-            text[p : p + len(b)] = b
-            text[p : p + len(b)] += 1
         marks = repeats(text, length, folder, QUEUE_BYTES)
-        edge = np.zeros(len(text) + 1, np.int64)
-        edge[at] += 1
-        edge[at + size - length + 1] -= 1
-        marks &= np.cumsum(edge[:-1]) > 0
-        # a run of marks never crosses a run of strings: the last length bytes of each are unmarked
-        step = np.diff(np.concatenate(([0], marks.astype(np.int8), [0])))
-        a, b = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        if not len(a):
+        runs: list[list[int]] = []
+        for lo in range(0, len(text), BLOCK):
+            mine = np.flatnonzero(marks[lo : lo + BLOCK]) + lo
+            row = np.searchsorted(at, mine, "right") - 1
+            # the last length - 1 bytes of a string are no starts
+            fits = mine <= at[row] + size[row] - length
+            mine, row = mine[fits], row[fits]
+            if len(mine):
+                edge = np.flatnonzero(np.concatenate(([True], (np.diff(mine) != 1) | (np.diff(row) != 0), [True])))
+                for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                    first, end, r = int(mine[i]), int(mine[j - 1]) + 1, int(row[i])
+                    if runs and runs[-1][1] == first and runs[-1][2] == r:
+                        runs[-1][1] = end
+                    else:
+                        runs.append([first, end, r])
+        if not runs:
             return None
-        row = np.searchsorted(at, a, "right") - 1
-        return pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(row)), pa.array((batch.column(2).to_numpy()[row] + a - at[row]).astype(np.int32)), pa.array((b - a).astype(np.int32))], names=["doc_id", "at", "n"])
+        a, b, row = np.array(runs, np.int64).T
+        return pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(row)), pa.array((rows.column(1).to_numpy()[row] + a - at[row]).astype(np.int32)), pa.array((b - a).astype(np.int32))], names=["doc_id", "at", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size, last = 0, None
+        last = None
         with tempfile.TemporaryDirectory() as folder:
+            shard = _Shard(folder)
             for batch in batches:
                 gram = batch.column(0).to_numpy()
                 edge = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1], [True])))
                 for a, b in zip(edge[:-1], edge[1:]):
-                    if size > SHARD_BYTES and gram[a] != last:
-                        if (got := sort(held, folder)) is not None:
+                    if shard.bytes > SHARD_BYTES and gram[a] != last:
+                        if (got := sort(shard, folder)) is not None:
                             yield got
-                        held, size = [], 0
-                    part = batch.slice(a, b - a)
-                    held.append(part)
+                        shard = _Shard(folder)
+                    shard.add(batch.slice(a, b - a))
                     last = gram[a]
-                    size += sum(len(v.as_buffer()) for v in part.column(3))
-            if held and (got := sort(held, folder)) is not None:
+            if shard.bytes and (got := sort(shard, folder)) is not None:
                 yield got
 
     return apart.mapInArrow(lean(run), f"doc_id {kind}, at int, n int")
