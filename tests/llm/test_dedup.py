@@ -147,6 +147,8 @@ def test_recursive_order(tmp_path, monkeypatch):
         r = random.Random(seed)
         monkeypatch.setattr(induction, "SMALL_ALPHABET", r.choice([2, 8, 512]))
         monkeypatch.setattr(induction, "BLOCK", r.choice([4, 16, 1 << 16]))
+        monkeypatch.setattr(induction, "SHORT", r.choice([0, 0, 1 << 17]))
+        monkeypatch.setattr(induction, "IN_MEMORY", r.choice([0, 64, 1 << 20]))
         t = [1, 2] * r.choice([0, 50]) + [r.randint(0, r.choice([1, 3, 30, 600])) for _ in range(r.randint(1, 120))]
         t += t[: r.choice([0, 40])]
         assert induction.suffix_order(np.array(t, np.int32), str(tmp_path), r.choice([64, 1 << 20])).tolist() == sorted(range(len(t)), key=lambda k: t[k:])
@@ -166,6 +168,8 @@ def test_queues_spill_in_a_shard_of_usual_size(tmp_path):
 def test_one_anchor_larger_than_memory(spark, monkeypatch):
     """A passage that all texts share, each with neighbours of its own, is one shard many times the queue and the block."""
     monkeypatch.setattr(suffixes, "QUEUE_BYTES", 1 << 12)
+    monkeypatch.setattr(induction, "IN_MEMORY", 1 << 10)
+    monkeypatch.setattr(induction, "SHORT", 0)
     monkeypatch.setattr(suffixes, "SHARD_BYTES", 1 << 10)
     r = random.Random(5)
     passage = "".join(r.choice("abcdefgh ") for _ in range(450))

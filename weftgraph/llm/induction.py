@@ -11,13 +11,14 @@ the least value between the tuples that pushed them.
 
 Seeds are ordered by recursion: a first induction sorts the substrings between
 neighbouring LMS positions, equal ones get one name, and the string of names is
-sorted in the same way, level by level, until names are distinct.  Names are a
+sorted in the same way, level by level, until names are distinct or the string
+is as short as a block, which is sorted in memory.  Names are a
 large alphabet, so the queue is cut into ranges of characters that hold few
 tuples each; within a range, what is pushed back into it is merged in before
 anything at or after its place is taken.
 
-Texts, types, positions, names and orders are mapped files of the task's own
-scratch folder; the queue and the finished L suffixes keep a bounded part in
+Texts, types, positions, names and orders beyond a bounded size are mapped files
+of the task's own scratch folder; the queue and the finished L suffixes keep a bounded part in
 memory and append the rest to files that they read back in order.  Work is done
 in blocks of tuples, so memory is bounded by the block, the queue's part and
 one number per distinct name, whatever the text's length.
@@ -35,31 +36,57 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 BLOCK = 1 << 16
-#: Symbols that are compared at a time, and rows of such a comparison.
-STRIDE, ROWS = 32, 1 << 14
+#: Bytes up to which an array is no file, and symbols up to which the recursion ends in memory.
+IN_MEMORY, SHORT = 16 << 20, 1 << 17
+#: Rows of a comparison; symbols in a packed number, and their bits.
+ROWS = 1 << 13
+PACK, BITS = 7, 9
 #: Characters up to which each is a range of its own.
 SMALL_ALPHABET = 512
 
 
 def mapped(folder: str, n: int, dtype) -> np.ndarray:
-    """An array in a file without a name, which goes with the array."""
-    if not n:
-        return np.zeros(0, dtype)
+    """An array of zeros: in a file without a name, which goes with the array, if it is over IN_MEMORY bytes."""
+    size = n * np.dtype(dtype).itemsize
+    if size <= IN_MEMORY:
+        return np.zeros(n, dtype)
     with tempfile.TemporaryFile(dir=folder) as f:
-        f.truncate(n * np.dtype(dtype).itemsize)
-        return np.memmap(f, dtype, "r+", shape=(n,))
+        f.truncate(size)
+        return np.asarray(np.memmap(f, dtype, "r+", shape=(n,)))
+
+
+class Spool:
+    """Successive parts that become one array; what is over IN_MEMORY bytes goes to a file."""
+
+    def __init__(self, folder: str, dtype):
+        self.folder, self.dtype, self.file, self.parts, self.n = folder, np.dtype(dtype), None, [], 0
+
+    def add(self, part: np.ndarray) -> None:
+        self.n += len(part)
+        part = np.array(part, self.dtype)
+        if self.file is None and self.n * self.dtype.itemsize > IN_MEMORY:
+            self.file = tempfile.TemporaryFile(dir=self.folder)
+            for p in self.parts:
+                self.file.write(p.tobytes())
+            self.parts = []
+        if self.file is None:
+            self.parts.append(part)
+        else:
+            self.file.write(part.tobytes())
+
+    def array(self) -> np.ndarray:
+        if self.file is None:
+            return np.concatenate(self.parts) if self.parts else np.zeros(0, self.dtype)
+        self.file.flush()
+        with self.file as f:
+            return np.asarray(np.memmap(f, self.dtype, "r+", shape=(self.n,)))
 
 
 def gathered(folder: str, parts: Iterator[np.ndarray], dtype) -> np.ndarray:
-    """Successive parts as one mapped array."""
-    f = tempfile.TemporaryFile(dir=folder)
-    n = 0
+    spool = Spool(folder, dtype)
     for p in parts:
-        n += len(p)
-        f.write(np.ascontiguousarray(p, dtype).tobytes())
-    f.flush()
-    with f:
-        return np.memmap(f, dtype, "r+", shape=(n,)) if n else np.zeros(0, dtype)
+        spool.add(p)
+    return spool.array()
 
 
 class PriorityQueue:
@@ -184,24 +211,50 @@ def lms_positions(is_s: np.ndarray, folder: str) -> np.ndarray:
     return gathered(folder, parts(), np.int32)
 
 
-def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """How many symbols from a and from b on are the same, up to most (which stays inside the text)."""
+def packed(text: np.ndarray, folder: str) -> np.ndarray:
+    """At each position the PACK symbols (under 2 ** BITS) from there on as one number; 0 stands for what is beyond the end."""
+    out = mapped(folder, len(text), np.uint64)
+    for a in range(0, len(text), BLOCK):
+        b = min(a + BLOCK, len(text))
+        here = np.zeros(b - a + PACK, np.uint64)
+        some = text[a : b + PACK]
+        here[: len(some)] = some
+        value = here[: b - a].copy()
+        for k in range(1, PACK):
+            value |= here[k : k + b - a] << np.uint64(BITS * k)
+        out[a:b] = value
+    return out
+
+
+def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray, packs: np.ndarray | None = None) -> np.ndarray:
+    """How many symbols from a and from b on are the same, up to most (which stays inside the text); packs: packed(text)."""
+    values, step = (text, 1) if packs is None else (packs, PACK)
     out = np.zeros(len(a), np.int64)
     for lo in range(0, len(a), ROWS):
         live = np.arange(lo, min(lo + ROWS, len(a)))
         live = live[most[live] > 0]
-        done = 0
+        done, width = 0, 4 if packs is None else 1
         while len(live):
-            width = min(STRIDE << min(4, done // STRIDE), int(most[live].max()) - done)
-            at = done + np.arange(width)
-            inside = at[None, :] < most[live][:, None]
-            x = np.minimum(a[live][:, None] + at, len(text) - 1)
-            y = np.minimum(b[live][:, None] + at, len(text) - 1)
-            same = (np.asarray(text[x]) == np.asarray(text[y])) & inside
-            whole = same.all(axis=1)
-            out[live] = done + np.where(whole, width, same.argmin(axis=1))
-            done += width
-            live = live[whole & (most[live] > done)]
+            limit = most[live]
+            at = done + step * np.arange(min(width, -(-(int(limit.max()) - done) // step)))
+            x, y = a[live][:, None] + at, b[live][:, None] + at
+            inside = at[None, :] < limit[:, None]
+            differ = np.asarray(values[np.minimum(x, len(text) - 1)]) != np.asarray(values[np.minimum(y, len(text) - 1)])
+            differ &= inside
+            first = differ.argmax(axis=1)
+            stops = differ[np.arange(len(live)), first]
+            got = np.minimum(limit, at[-1] + step)
+            if stops.any():
+                at_stop = done + step * first[stops]
+                if packs is not None:
+                    bits = packs[a[live[stops]] + at_stop] ^ packs[b[live[stops]] + at_stop]
+                    low = bits & (~bits + np.uint64(1))
+                    at_stop = at_stop + (np.log2(low.astype(np.float64)).astype(np.int64) // BITS)
+                got[stops] = np.minimum(limit[stops], at_stop)
+            out[live] = got
+            done = int(at[-1]) + step
+            live = live[~stops & (limit > done)]
+            width = min(2 * width, 32)
     return out
 
 
@@ -404,23 +457,18 @@ def _flipped(folder: str, falling: np.ndarray) -> np.ndarray:
     return gathered(folder, (falling[max(0, b - BLOCK) : b][::-1] for b in range(len(falling), 0, -BLOCK)), np.int32)
 
 
-class _Falling:
-    """Positions that come in falling order, gathered in a file."""
+class _Falling(Spool):
+    """Positions that come in falling order."""
 
     def __init__(self, folder: str, keep: Callable[[np.ndarray], np.ndarray] | None = None):
-        self.folder, self.keep, self.file, self.n = folder, keep, tempfile.TemporaryFile(dir=folder), 0
+        super().__init__(folder, np.int32)
+        self.keep = keep
 
     def __call__(self, pos: np.ndarray) -> None:
-        if self.keep:
-            pos = pos[self.keep(pos)]
-        self.n += len(pos)
-        self.file.write(np.ascontiguousarray(pos, np.int32).tobytes())
+        self.add(pos[self.keep(pos)] if self.keep else pos)
 
     def rising(self) -> np.ndarray:
-        self.file.flush()
-        with self.file as f:
-            got = np.memmap(f, np.int32, "r", shape=(self.n,)) if self.n else np.zeros(0, np.int32)
-        return _flipped(self.folder, got)
+        return _flipped(self.folder, self.array())
 
 
 def _by_first(text: np.ndarray, lms: np.ndarray, folder: str, memory: int) -> np.ndarray:
@@ -484,10 +532,29 @@ def _taken(values: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
         yield values[at[a : a + BLOCK]]
 
 
+def doubled_order(text: np.ndarray) -> np.ndarray:
+    """suffix_order() of a short string, by doubling the length that ranks stand for."""
+    n, h = len(text), 1
+    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    while True:
+        after = np.zeros(n, np.int64)
+        after[: max(0, n - h)] = rank[h:] + 1
+        key = rank * (n + 1) + after
+        order = np.argsort(key, kind="stable")
+        sorted_ = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate(([0], (sorted_[1:] != sorted_[:-1]).astype(np.int64))))
+        if rank[order[-1]] == n - 1:
+            return order.astype(np.int32)
+        h *= 2
+
+
 def suffix_order(text: np.ndarray, folder: str, memory: int) -> np.ndarray:
     """All positions of a string in the order of their suffixes (a shorter one before those that it begins)."""
     if len(text) < 2:
         return np.arange(len(text), dtype=np.int32)
+    if len(text) <= SHORT:
+        return doubled_order(np.asarray(text))
     is_s = types(text, folder)
     seeds = seed_order(text, is_s, lms_positions(is_s, folder), folder, memory)
     falling = _Falling(folder)
@@ -507,11 +574,11 @@ def repeats(text: np.ndarray, length: int, folder: str, memory: int = 64 << 20)
         return marks
     is_s = types(text, folder)
     seeds = seed_order(text, is_s, lms_positions(is_s, folder), folder, memory)
-    lcp = mapped(folder, len(seeds), np.int32)
+    lcp, packs = mapped(folder, len(seeds), np.int32), packed(text, folder)
     for a in range(1, len(seeds), BLOCK):
         here = np.asarray(seeds[a - 1 : a + BLOCK]).astype(np.int64)
         most = np.minimum(depth, n - np.maximum(here[:-1], here[1:]))
-        lcp[a : a + len(most)] = common_prefix(text, here[:-1], here[1:], most)
+        lcp[a : a + len(most)] = common_prefix(text, here[:-1], here[1:], most, packs)
 
     def mark(last, block):
         near = block[:, 1] >= length

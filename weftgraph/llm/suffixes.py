@@ -12,7 +12,7 @@
    A task sorts shard after shard of about SHARD_BYTES.  An anchor is never
    parted between shards, so one that very many texts share makes a shard of its
    own of any size: a shard's bytes, and all that grows with them, are mapped
-   files of the task's own scratch folder, and the sorter's queues keep no more
+   files of the task's own scratch folder beyond IN_MEMORY bytes each, and the sorter's queues keep no more
    than QUEUE_BYTES in memory.
 
 Matches never cross documents, nor runs.  The result covers each byte of every
@@ -36,7 +36,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.llm import textops
-from weftgraph.llm.induction import BLOCK, repeats
+from weftgraph.llm.induction import BLOCK, Spool, repeats
 from weftgraph.llm.shared import cut, id_bitmap, in_bitmap, lean, only, small_batches
 from weftgraph.llm.substrings import with_marks
 
@@ -102,10 +102,10 @@ def _runs(docs: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
 
 
 class _Shard:
-    """Runs of one or more anchors: their bytes go to a file as they come, only ids, places and sizes stay in memory."""
+    """Runs of one or more anchors: beyond a bounded size their bytes go to a file as they come; ids, places and sizes stay in memory."""
 
     def __init__(self, folder: str):
-        self.folder, self.file, self.bytes = folder, tempfile.TemporaryFile(dir=folder), 0
+        self.text, self.bytes = Spool(folder, np.uint16), 0
         self.rows: list[pa.RecordBatch] = []
         self.sizes: list[int] = []
 
@@ -113,17 +113,16 @@ class _Shard:
         """part: rows of (gram, doc_id, at, bytes)."""
         self.rows.append(pa.RecordBatch.from_arrays([pa.concat_arrays([part.column(1)]), pa.concat_arrays([part.column(2)])], names=["doc_id", "at"]))
         for v in part.column(3):
-            symbols = np.frombuffer(v.as_buffer(), np.uint8).astype(np.uint16) + np.uint16(1)
-            self.file.write(symbols.tobytes() + b"\0\0")
-            self.sizes.append(len(symbols))
-            self.bytes += len(symbols)
+            symbols = np.zeros(len(v.as_buffer()) + 1, np.uint16)
+            symbols[:-1] = np.frombuffer(v.as_buffer(), np.uint8)
+            symbols[:-1] += np.uint16(1)
+            self.text.add(symbols)
+            self.sizes.append(len(symbols) - 1)
+            self.bytes += len(symbols) - 1
 
     def finish(self) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
-        """Rows (doc_id, at), their sizes, and the text: symbols of 1 to 256, a 0 after each run; it is a mapped file."""
-        self.file.flush()
-        with self.file as f:
-            text = np.memmap(f, np.uint16, "r", shape=(self.bytes + len(self.sizes),))
-        return pa.concat_batches(self.rows), np.array(self.sizes, np.int64), text
+        """Rows (doc_id, at), their sizes, and the text: symbols of 1 to 256, a 0 after each run."""
+        return pa.concat_batches(self.rows), np.array(self.sizes, np.int64), self.text.array()
 
 
 def _sorted_shards(apart: DataFrame, kind: str, length: int) -> DataFrame:
