@@ -37,7 +37,7 @@ import numpy as np
 
 BLOCK = 1 << 16
 #: Bytes up to which an array is no file, and symbols up to which the recursion ends in memory.
-IN_MEMORY, SHORT = 16 << 20, 1 << 17
+IN_MEMORY, SHORT = 16 << 20, 1 << 19
 #: Rows of a comparison; symbols in a packed number, and their bits.
 ROWS = 1 << 13
 PACK, BITS = 7, 9
@@ -298,7 +298,7 @@ class _Carry:
 def _bounds(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First characters of the ranges, and which of them are a single character.
 
-    Ranges hold about twice the root of the text's length each; a frequent character is
+    Ranges hold about four times the root of the text's length each; a frequent character is
     a range of its own.
     """
     n, size = len(text), 0
@@ -309,7 +309,7 @@ def _bounds(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     count = np.zeros(size, np.int64)
     for a in range(0, n, BLOCK):
         count += np.bincount(text[a : a + BLOCK], minlength=size)
-    share = (np.cumsum(count) - count) // max(256, int(2 * n**0.5))
+    share = (np.cumsum(count) - count) // max(256, int(4 * n**0.5))
     new = np.concatenate(([True], share[1:] != share[:-1]))
     often = np.flatnonzero(count > BLOCK)
     new[often] = True

@@ -40,9 +40,9 @@ from weftgraph.llm.induction import BLOCK, Spool, repeats
 from weftgraph.llm.shared import cut, id_bitmap, in_bitmap, lean, only, small_batches
 from weftgraph.llm.substrings import with_marks
 
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 4 << 20
 #: What a queue holds in memory; a shard of SHARD_BYTES has several times that.
-QUEUE_BYTES = 1 << 18
+QUEUE_BYTES = 1 << 20
 SLICE_BYTES = 1 << 19
 
 
