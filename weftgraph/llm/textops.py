@@ -138,20 +138,28 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+#: Low bits of a hash that give way to the position where runs are compared.
+_PLACE = 20
+
+
 def sliding_argmin(v: np.ndarray, w: int) -> np.ndarray:
-    """For each run of w consecutive values the index of its first smallest one."""
+    """For each run of w consecutive hashes the index of its smallest one by all but the last 20 bits, the first on ties."""
     n = len(v)
     if n < w:
         return np.zeros(0, np.int64)
-    at, have = np.arange(n), 1
-    while have * 2 <= w:
-        left, right = at[: len(at) - have], at[have:]
-        at = np.where(v[right] < v[left], right, left)
-        have *= 2
-    if have < w:
-        left, right = at[: n - w + 1], at[w - have : w - have + n - w + 1]
-        at = np.where(v[right] < v[left], right, left)
-    return at
+    mask = np.uint64((1 << _PLACE) - 1)
+    out = np.empty(n - w + 1, np.int64)
+    # hash and place in one number, so that a minimum is all it takes; in pieces whose places fit
+    step = max(1, (1 << _PLACE) - w)
+    for lo in range(0, n - w + 1, step):
+        x = (v[lo : min(n, lo + step + w - 1)] & ~mask) | np.arange(min(n - lo, step + w - 1), dtype=np.uint64)
+        m, have = len(x) - w + 1, 1
+        while have * 2 <= w:
+            x = np.minimum(x[: len(x) - have], x[have:])
+            have *= 2
+        x = np.minimum(x[:m], x[w - have : w - have + m])
+        out[lo : lo + m] = (x & mask).astype(np.int64) + lo
+    return out
 
 
 def window_starts(first: np.ndarray, w: int) -> np.ndarray:
