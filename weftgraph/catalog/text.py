@@ -82,7 +82,8 @@ def name_functions(spark, d):
 
 @query("SELECT event_id, strftime(to_timestamp(epoch(ts)::BIGINT) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day FROM events")
 def event_days(spark, d):
-    return table(spark, d, "events").select("event_id", text.day(F.unix_timestamp("ts")).alias("day"))
+    e = table(spark, d, "events")
+    return e.select("event_id", text.utc_day(F.col("ts"), e.schema["ts"].dataType.simpleString() == "timestamp").alias("day"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 1300 THEN text ELSE left(text, 900) || chr(10) || '…' || chr(10) || right(text, 400) END AS sample FROM documents")
