@@ -61,10 +61,37 @@ def overlapping(ranges: DataFrame, spans: DataFrame) -> DataFrame:
     return spans.join(ranges, "file").where("line_start <= e AND line_end >= s").groupBy("id").agg(F.sum(lines).alias("overlap"))
 
 
+# What is joined by cells or bins is many times the file that it is read from, by whose size a join would be
+# broadcast; so these joins are told to merge.
+def _levels(spans: DataFrame) -> int:
+    """How many levels of halving the longest span has."""
+    longest = spans.agg(F.max(F.col("line_end").cast("long") - F.col("line_start"))).head()[0]
+    return max(longest or 0, 0).bit_length() + 1
+
+
+def _cells(levels: int) -> Column:
+    """Cells (k, c), cell c of level k being the lines from c * 2^k on, that together are a span's lines: two of each level at most."""
+    low, high = "-shiftright(-cast(line_start AS bigint), k)", "shiftright(cast(line_end AS bigint) + 1, k)"
+    pick = f"array(IF({low} < {high} AND ({low}) % 2 <> 0, struct(k, {low} AS c), NULL), IF({low} < {high} AND {high} % 2 <> 0, struct(k, {high} - 1 AS c), NULL))"
+    return F.explode(F.expr(f"filter(flatten(transform(sequence(0, {levels}), k -> {pick})), x -> x IS NOT NULL)")).alias("_c")
+
+
+def _around(levels: int) -> Column:
+    """The cells of each level that hold a line."""
+    return F.explode(F.expr(f"transform(sequence(0, {levels}), k -> struct(k, shiftright(cast(line AS bigint), k) AS c))")).alias("_c")
+
+
 def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """(point, id): the tightest span around each line; points: (point, file, line)."""
-    hit = points.join(spans.select("id", "file", "line_start", "line_end"), "file").where("line BETWEEN line_start AND line_end")
-    return hit.groupBy("point").agg(F.min(F.struct((F.col("line_end") - F.col("line_start")).alias("n"), "id")).getField("id").alias("id"))
+    """(point, id): the tightest span around each line; points: (point, file, line).
+
+    Spans leave their best in the cells that they are made of, a line looks into
+    the cells that it lies in: a row per level each, however spans overlap.
+    """
+    levels = _levels(spans)
+    best = F.min(F.struct((F.col("line_end") - F.col("line_start")).alias("n"), "id"))
+    held = spans.where("line_start <= line_end").select("id", "file", "line_start", "line_end", _cells(levels)).groupBy("file", "_c.k", "_c.c").agg(best.alias("_b"))
+    hit = points.select("point", "file", _around(levels)).select("point", "file", "_c.*").join(held.hint("merge"), ["file", "k", "c"])
+    return hit.groupBy("point").agg(F.min("_b").getField("id").alias("id"))
 
 
 def next_start(points: DataFrame, spans: DataFrame, window: int = 15) -> DataFrame:
