@@ -47,3 +47,13 @@ def test_enclosing_spans_by_cells(spark):
     points = [(k, f"f{k % 4}", (k * 37) % 7100 - 60) for k in range(900)]
     got = {r.point: r.id for r in edges.enclosing(spark.createDataFrame(points, "point long, file string, line long"), spans).collect()}
     assert got == {p: best[1] for p, f, x in points if (best := min(((e - s, i) for i, g, s, e in rows if g == f and s <= x <= e), default=None))}
+
+
+def test_next_start_by_bins(spark):
+    from weftgraph.operators import edges
+
+    rows, spans = _spans(spark)
+    points = [(k, f"f{k % 4}", (k * 37) % 7100 - 60) for k in range(900)]
+    for window in (1, 15):
+        got = {r.point: r.id for r in edges.next_start(spark.createDataFrame(points, "point long, file string, line long"), spans, window).collect()}
+        assert got == {p: best[1] for p, f, x in points if (best := min(((s, i) for i, g, s, e in rows if g == f and x < s <= x + window), default=None))}

@@ -95,9 +95,17 @@ def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def next_start(points: DataFrame, spans: DataFrame, window: int = 15) -> DataFrame:
-    """(point, id): the first span that starts after a line, within window lines."""
-    hit = points.join(spans.select("id", "file", "line_start"), "file").where(f"line_start > line AND line_start <= line + {window}")
-    return hit.groupBy("point").agg(F.min(F.struct("line_start", "id")).getField("id").alias("id"))
+    """(point, id): the first span that starts after a line, within window lines.
+
+    Starts are gathered by bins of window lines, one span for each line, so a
+    point looks into two short lists.
+    """
+    one = spans.groupBy("file", "line_start").agg(F.min("id").alias("id")).where("line_start IS NOT NULL")
+    starts = one.groupBy("file", F.expr(f"floor(line_start / {window})").alias("_b")).agg(F.collect_list(F.struct("line_start", "id")).alias("_s"))
+    bins = F.explode(F.expr(f"sequence(floor((line + 1) / {window}), floor((line + {window}) / {window}))")).alias("_b")
+    first = F.expr(f"array_min(filter(_s, x -> x.line_start > line AND x.line_start <= line + {window}))")
+    hit = points.where("line IS NOT NULL").select("point", "file", "line", bins).join(starts.hint("merge"), ["file", "_b"]).select("point", first.alias("_f")).where("_f IS NOT NULL")
+    return hit.groupBy("point").agg(F.min("_f").getField("id").alias("id"))
 
 
 def symbol_history(blame: DataFrame, spans: DataFrame) -> DataFrame:
