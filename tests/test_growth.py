@@ -57,3 +57,30 @@ def test_next_start_by_bins(spark):
     for window in (1, 15):
         got = {r.point: r.id for r in edges.next_start(spark.createDataFrame(points, "point long, file string, line long"), spans, window).collect()}
         assert got == {p: best[1] for p, f, x in points if (best := min(((s, i) for i, g, s, e in rows if g == f and x < s <= x + window), default=None))}
+
+
+def test_symbol_history_by_cells(spark):
+    from weftgraph.operators import edges
+
+    rows, spans = _spans(spark)
+    blame = [(f"f{k % 3}", k // 3 - 50, None if k % 211 == 0 else 1000 + k * 7 % 97) for k in range(9000)]
+    got = {r.id: (r.first_ts, r.last_ts) for r in edges.symbol_history(spark.createDataFrame(blame, "file string, line long, ts long"), spans).collect()}
+    want = {}
+    for i, f, s, e in rows:
+        own = sorted((x, t) for g, x, t in blame if g == f and s <= x <= e)
+        if own:
+            known = [t for _, t in own if t is not None]
+            want[i] = (own[0][1] if own[0][1] is not None else min(known, default=None), None if len(known) < len(own) else max(known))
+    assert got == want
+
+
+def test_no_join_by_file_alone(spark):
+    """A join by file alone, however it filters lines, meets all pairs of a file's definitions."""
+    from weftgraph.operators import edges
+
+    spans = spark.range(20000).select("id", F.lit("f").alias("file"), F.col("id").alias("line_start"), (F.col("id") + 30).alias("line_end"))
+    points = spans.select(F.col("id").alias("point"), F.concat("file", F.lit("")).alias("file"), F.col("line_start").alias("line"), F.col("id").alias("ts"))
+    for df in (edges.enclosing(points, spans), edges.next_start(points, spans), edges.symbol_history(points, spans)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        on = re.findall(r"Join Inner, (.*)", plan)
+        assert on and all("_b" in x or ("k#" in x and "c#" in x) for x in on)

@@ -112,11 +112,14 @@ def symbol_history(blame: DataFrame, spans: DataFrame) -> DataFrame:
     """(id, first_ts, last_ts): the commit of a span's first line, and its latest; blame: (file, line, ts), a null ts is uncommitted.
 
     An uncommitted first line takes the earliest committed one; any uncommitted
-    line leaves the last one null.
+    line leaves the last one null.  Lines are summed up in cells of each level, of
+    which a span takes those that it is made of, and never line by line.
     """
-    hit = spans.join(blame, "file").where("line BETWEEN line_start AND line_end")
-    first = F.min(F.struct("line", "ts")).getField("ts")
-    return hit.groupBy("id").agg(F.coalesce(first, F.min("ts")).alias("first_ts"), F.when(F.bool_or(F.col("ts").isNull()), F.lit(None)).otherwise(F.max("ts")).alias("last_ts"))
+    levels = _levels(spans)
+    lines = blame.where("line IS NOT NULL").select("file", "line", "ts", _around(levels)).groupBy("file", "_c.k", "_c.c")
+    cells = lines.agg(F.min(F.struct("line", "ts")).alias("_f"), F.min("ts").alias("_a"), F.max("ts").alias("_z"), F.bool_or(F.col("ts").isNull()).alias("_n"))
+    hit = spans.where("line_start <= line_end").select("id", "file", _cells(levels)).select("id", "file", "_c.*").join(cells.hint("merge"), ["file", "k", "c"])
+    return hit.groupBy("id").agg(F.coalesce(F.min("_f").getField("ts"), F.min("_a")).alias("first_ts"), F.when(F.bool_or("_n"), F.lit(None)).otherwise(F.max("_z")).alias("last_ts"))
 
 
 def aggregate_edges(edges: DataFrame, groups: DataFrame) -> DataFrame:
