@@ -84,3 +84,97 @@ def test_no_join_by_file_alone(spark):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         on = re.findall(r"Join Inner, (.*)", plan)
         assert on and all("_b" in x or ("k#" in x and "c#" in x) for x in on)
+
+
+def test_rename_plans_of_many_names(spark):
+    """All names in one pass, with the rows that a plan for each name gives."""
+    from weftgraph.operators import changes
+
+    text = "def foo(a):\n    return foo_(foo(a), $x)\n# foo, bar.foo and éfoo\nbar(foo$x)\n"
+    files = spark.createDataFrame([("a.py", text), ("b.py", "x = bar(1) + bar(2)\n\tfoo\n"), ("c.py", None)], "path string, text string")
+    symbols = spark.createDataFrame([(1, "foo", "a.py", 1), (2, "bar", "b.py", 9), (3, "x", "b.py", 1)], "id long, name string, file string, line_start int")
+    edges = spark.createDataFrame([("CALLS", 3, 2, 1), ("CALLS", 1, 1, 2)], "rel string, src long, dst long, line int")
+    names = spark.createDataFrame([("foo",), ("bar",), ("none",), ("x",), ("foo",)], "name string")
+    got = sorted(tuple(r) for r in changes.rename_plans(files, symbols, edges, names).collect())
+    want = sorted((n, *r) for n in ("foo", "bar", "none", "x") for r in changes.rename_plan(files, symbols, edges, n).collect())
+    assert got == want and len(got) > 5
+    dollar = changes.rename_plans(files, symbols, edges, spark.createDataFrame([("$x",), ("foo$x",)], "name string"))
+    assert sorted((r.name, r.line, r.col) for r in dollar.collect()) == [("$x", 2, 25), ("foo$x", 4, 5)]
+    plan = changes.rename_plans(files, symbols, edges, names)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode(") == 1
+
+
+SOURCE = '''"""Doc
+def not_a_function(): pass
+"""
+import flask
+if True:
+    from fastapi import x
+else:
+    y = 1
+try:
+    z = f(1)
+except E:
+    pass
+finally:
+    q()
+@app.route(
+    "/a"
+)
+@other
+def a(k):
+    """doc of a"""
+    s = """
+def inner_text(): pass
+"""
+    return b(k)
+t = (
+g(2)
+)
+# note
+class C(Base):
+    @app.get("/m")
+    def m(self):
+        return self.a()
+u = 1 + \\
+h(3)
+'''
+
+
+def test_python_by_pieces_is_python_whole(monkeypatch):
+    """Pieces of any size give the rows of the whole file, and the same error where it has one."""
+    import pytest
+
+    from weftgraph.sources import code, frameworks
+
+    for source in (SOURCE, SOURCE.replace("\n", "\r\n"), SOURCE.replace("\n", "\r"), "", "x", SOURCE * 3, "def f(): return 1\n" * 50):
+        monkeypatch.setattr(code, "PIECE", 1 << 30)
+        want, routes = code.parse_python("p.py", source), frameworks.python_routes("p.py", source)
+        assert want == tuple(map(list, code._piece("p.py", *next(code.whole(source)))))
+        for size in (1, 7, 60, 400):
+            monkeypatch.setattr(code, "PIECE", size)
+            assert code.parse_python("p.py", source) == want and frameworks.python_routes("p.py", source) == routes
+    assert routes == [] and [r[2:5] for r in frameworks.python_routes("p.py", SOURCE)] == [("/a", "GET /a", "flask"), ("/m", "GET /m", "flask")]
+    monkeypatch.setattr(code, "PIECE", 1)
+    assert len(list(code.python_pieces(SOURCE))) > 5
+    for bad in (SOURCE + "def (:\n", SOURCE + "x = (\n", "x = 1\nelse:\n  pass\n", SOURCE + "\0"):
+        with pytest.raises((SyntaxError, ValueError)) as got:
+            code.parse_python("p.py", bad)
+        with pytest.raises((SyntaxError, ValueError)) as want:
+            code.ast.parse(bad)
+        assert str(got.value) == str(want.value) and frameworks.python_routes("p.py", bad) == []
+
+
+def test_large_file_is_not_held_as_a_tree(spark):
+    """A tree takes a hundred times its text; a file of 2 MB is parsed in tens of pieces, and a bad one gives its error alone."""
+    from weftgraph.sources import code, frameworks
+
+    text = "import flask\n" + "".join(f'@app.get("/{k}")\ndef view_{k}(x):\n    return view_{k + 1}(x)\n\n' for k in range(30000))
+    assert max(len(t) for _, t, _ in code.python_pieces(text)) < 2 * code.PIECE
+    files = spark.createDataFrame([("a.py", "python", text), ("b.py", "python", text + "def ("), ("c.py", "python", None), ("d.js", "javascript", 'app.get("/x", h)')], "path string, kind string, text string")
+    e = {(r.path, r.error is None): r.n for r in code.entities(files).groupBy("path", "error").agg(F.count("*").alias("n")).collect()}
+    assert e == {("a.py", True): 30000, ("b.py", False): 1}
+    r = code.raw_edges(files).where("rel = 'CALLS' AND path = 'a.py'").agg(F.count("*"), F.max("line")).head()
+    assert tuple(r) == (60000, 1 + 4 * 29999 + 3)
+    f = {(r.file, r.framework): r.n for r in frameworks.registrations(files).groupBy("file", "framework").agg(F.count("*").alias("n")).collect()}
+    assert f == {("a.py", "flask"): 30000, ("d.js", "express"): 1}

@@ -71,11 +71,8 @@ def code_routes(spark, d):
 @query(f"""WITH {BASE}, t AS (SELECT path, line, k, next FROM base WHERE k % 50 = 7 OR next % 50 = 7)
 SELECT 'view_' || k AS name, path AS file, line + 1 AS line, 5 AS col, 1.0 AS confidence FROM t WHERE k % 50 = 7 UNION ALL SELECT 'view_' || next, path, line + 2, 12, 1.0 FROM t WHERE next % 50 = 7""")
 def rename_sites(spark, d):
-    from functools import reduce
-
-    s, e, f = _symbols(spark, d), _references(spark, d), files(spark, d)
-    keys = [r[0] for r in table(spark, d, "part").where("p_partkey % 50 = 7").select("p_partkey").orderBy("p_partkey").collect()]
-    return reduce(lambda a, b: a.unionByName(b), [changes.rename_plan(f, s, e, f"view_{k}").select(F.lit(f"view_{k}").alias("name"), "file", "line", "col", "confidence") for k in keys])
+    names = table(spark, d, "part").where("p_partkey % 50 = 7").select(F.concat(F.lit("view_"), F.col("p_partkey").cast("string")).alias("name"))
+    return changes.rename_plans(files(spark, d), _symbols(spark, d), _references(spark, d), names)
 
 
 @query("""WITH s AS (SELECT p_partkey AS k, p_brand AS file, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part), c AS (SELECT file, (r - 1) // 10 AS band, min(k) AS community FROM s GROUP BY 1, 2) SELECT s.k AS id, community FROM s JOIN c ON c.file = s.file AND band = (r - 1) // 10 WHERE (SELECT count(*) FROM s t WHERE t.file = s.file AND (t.r - 1) // 10 = band) > 1""")

@@ -81,6 +81,25 @@ def rename_plan(files: DataFrame, symbols: DataFrame, edges: DataFrame, old: str
     return out.select("file", "line", "col", F.when(F.col("known"), 1.0).when(F.col("related"), 0.6).otherwise(0.3).alias("confidence"))
 
 
+def rename_plans(files: DataFrame, symbols: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, file, line, col, confidence): rename_plan of every one of names (name), which are identifiers of letters, digits, _ and $, in one pass over the lines.
+
+    A line is cut into its runs of such characters; a name is used where a run equals it.
+    """
+    names = names.select("name").distinct()
+    own = symbols.join(names, "name", "left_semi").select("name", "id", "file", F.col("line_start").alias("line"))
+    calls = edges.where("rel IN ('CALLS', 'INSTANTIATES')").join(own.select("name", F.col("id").alias("dst")), "dst")
+    sites = calls.join(symbols.select(F.col("id").alias("src"), "file"), "src").select("name", "file", "line")
+    sure = own.select("name", "file", "line").unionByName(sites).distinct().withColumn("known", F.lit(True))
+    related = sure.select("name", "file").distinct().withColumn("related", F.lit(True))
+    lines = files.select(F.col("path").alias("file"), F.posexplode(F.split("text", "\n")).alias("n", "text")).withColumn("line", F.col("n") + 1)
+    used = lines.select("file", "line", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\w$]+"), F.lit(0)))).alias("name"))
+    hit = used.join(names, "name", "left_semi")
+    col = F.regexp_instr("text", F.concat(F.lit(r"(?<![\w$])\Q"), "name", F.lit(r"\E(?![\w$])")))
+    out = hit.join(sure, ["name", "file", "line"], "left").join(related, ["name", "file"], "left")
+    return out.select("name", "file", "line", col.alias("col"), F.when(F.col("known"), 1.0).when(F.col("related"), 0.6).otherwise(0.3).alias("confidence"))
+
+
 def shared_reach(walk: DataFrame) -> DataFrame:
     """(seed, shared): how many other seeds reach a symbol that a seed reaches; walk: (seed, id), distinct.
 
