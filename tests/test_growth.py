@@ -178,3 +178,29 @@ def test_large_file_is_not_held_as_a_tree(spark):
     assert tuple(r) == (60000, 1 + 4 * 29999 + 3)
     f = {(r.file, r.framework): r.n for r in frameworks.registrations(files).groupBy("file", "framework").agg(F.count("*").alias("n")).collect()}
     assert f == {("a.py", "flask"): 30000, ("d.js", "express"): 1}
+
+
+def test_pagerank_sends_no_table_through_the_driver(spark, monkeypatch):
+    """Joins of ranks, nodes and edges are no broadcasts, however small their files are; only the one lost sum is."""
+    from weftgraph.operators import rank
+
+    seen = []
+    real = rank.cut
+
+    def watched(df, name):
+        seen.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return real(df, name)
+
+    monkeypatch.setattr(rank, "cut", watched)
+    nodes = spark.createDataFrame([(k,) for k in range(30)], "id long")
+    edges = spark.createDataFrame([(k % 29, k * k % 31) for k in range(200)], "src long, dst long")
+    got = {r.id: r.pagerank for r in rank.pagerank(nodes, edges, iterations=3, tolerance=None, focus=nodes.where("id < 4")).collect()}
+    assert not any("BroadcastHashJoin" in p for p in seen) and abs(sum(got.values()) - 1) < 1e-9
+    pairs = {(a, b) for a, b in ((k % 29, k * k % 31) for k in range(200)) if a < 30 and b < 30}
+    out = {a: [y for x, y in pairs if x == a] for a in range(30)}
+    base = {k: 0.25 if k < 4 else 0.0 for k in range(30)}
+    pr = dict(base)
+    for _ in range(3):
+        lost = sum(pr[a] for a in pr if not out[a])
+        pr = {b: 0.15 * base[b] + 0.85 * (sum(pr[a] / len(out[a]) for a in pr if b in out[a]) + lost * base[b]) for b in pr}
+    assert all(abs(pr[k] - got[k]) < 1e-12 for k in pr)

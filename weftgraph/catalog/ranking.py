@@ -56,7 +56,7 @@ def pagerank_converged(spark, d):
 
 @query(f"{PAGERANK} SELECT p_brand AS file, round(sum(pr), 9) AS pagerank, count(*) AS symbols FROM r{ITERATIONS} JOIN part ON p_partkey = id GROUP BY p_brand")
 def file_rank_rollup(spark, d):
-    return ranks(spark, d).join(symbols(spark, d).select("id", "file"), "id").groupBy("file").agg(F.round(F.sum("pagerank"), 9).alias("pagerank"), F.count(F.lit(1)).alias("symbols"))
+    return ranks(spark, d).join(symbols(spark, d).select("id", "file").hint("merge"), "id").groupBy("file").agg(F.round(F.sum("pagerank"), 9).alias("pagerank"), F.count(F.lit(1)).alias("symbols"))
 
 
 @query("SELECT p_partkey AS id, round((SELECT count(*) FROM part q WHERE q.p_retailprice < p.p_retailprice) / CAST((SELECT count(*) FROM part) AS DOUBLE), 9) AS below FROM part p")

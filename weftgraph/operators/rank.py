@@ -15,31 +15,35 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, itera
     holds none.  Stops when the L1 change is under N * tolerance (None: runs
     all iterations).
     """
-    nodes = nodes.select("id").distinct()
-    pairs = edges.select("src", "dst").distinct().join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    degree = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    nodes = cut(nodes.select("id").distinct(), "nodes")
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("pagerank"))
+    # a table of ranks packs into files far smaller than its rows, so joins are told to hash the side of nodes within
+    # partitions, and not to send it through the driver; edges are dealt twice, never sorted, and stay by src
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    inside = edges.select("src", "dst").join(nodes.withColumnRenamed("id", "dst").hint("shuffle_hash"), "dst", "left_semi")
+    # read in every round: held by the key that rounds join on, recomputed if an executor goes
+    pairs = inside.repartition(parts, "src").distinct().join(nodes.withColumnRenamed("id", "src").hint("shuffle_hash"), "src", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+    degree = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     restart = nodes.withColumn("restart", F.lit(1.0 / n))
     if focus is not None:
         own = focus.select("id").distinct().join(nodes, "id", "left_semi")
         k = own.count()
         if k:
-            restart = nodes.join(own.withColumn("_f", F.lit(1.0 / k)), "id", "left").select("id", F.coalesce("_f", F.lit(0.0)).alias("restart"))
-    base = restart.join(degree.withColumnRenamed("src", "id"), "id", "left").persist(StorageLevel.MEMORY_AND_DISK)
-    # read in every round: held by the key that rounds join on, recomputed if an executor goes
-    pairs = pairs.repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
+            restart = nodes.join(own.withColumn("_f", F.lit(1.0 / k)).hint("shuffle_hash"), "id", "left").select("id", F.coalesce("_f", F.lit(0.0)).alias("restart"))
+    base = restart.repartition(parts, "id").join(degree.withColumnRenamed("src", "id").hint("shuffle_hash"), "id", "left").persist(StorageLevel.MEMORY_AND_DISK)
     ranks = base.select("id", "restart", "degree", F.col("restart").alias("pagerank"))
     for i in range(1, iterations + 1):
         dangling = ranks.where("degree IS NULL").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("lost"))
-        given = ranks.where("degree IS NOT NULL").select(F.col("id").alias("src"), (F.col("pagerank") / F.col("degree")).alias("share")).join(pairs, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
-        new = base.join(given, "id", "left").join(F.broadcast(dangling))  # one row
+        share = ranks.where("degree IS NOT NULL").select(F.col("id").alias("src"), (F.col("pagerank") / F.col("degree")).alias("share"))
+        given = pairs.join(share.hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
+        new = base.join(given.hint("shuffle_hash"), "id", "left").join(F.broadcast(dangling))  # one row
         rank = F.lit(1 - damping) * F.col("restart") + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("restart"))
         new = cut(new.select("id", "restart", "degree", rank.alias("pagerank")), "ranks")
         moved = None
         if tolerance is not None:
-            moved = new.select("id", F.col("pagerank").alias("_new")).join(ranks.select("id", "pagerank"), "id").agg(F.sum(F.abs(F.col("_new") - F.col("pagerank")))).head()[0]
+            moved = new.select("id", F.col("pagerank").alias("_new")).join(ranks.select("id", "pagerank").hint("shuffle_hash"), "id").agg(F.sum(F.abs(F.col("_new") - F.col("pagerank")))).head()[0]
         release(ranks)
         ranks = new
         if moved is not None and moved < n * tolerance:
