@@ -28,7 +28,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, itera
     degree = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     restart = nodes.withColumn("restart", F.lit(1.0 / n))
     if focus is not None:
-        own = focus.select("id").distinct().join(nodes, "id", "left_semi")
+        own = focus.select("id").distinct().join(nodes.hint("shuffle_hash"), "id", "left_semi")
         k = own.count()
         if k:
             restart = nodes.join(own.withColumn("_f", F.lit(1.0 / k)).hint("shuffle_hash"), "id", "left").select("id", F.coalesce("_f", F.lit(0.0)).alias("restart"))
