@@ -204,3 +204,19 @@ def test_pagerank_sends_no_table_through_the_driver(spark, monkeypatch):
         lost = sum(pr[a] for a in pr if not out[a])
         pr = {b: 0.15 * base[b] + 0.85 * (sum(pr[a] / len(out[a]) for a in pr if b in out[a]) + lost * base[b]) for b in pr}
     assert all(abs(pr[k] - got[k]) < 1e-12 for k in pr)
+
+
+def test_postings_are_counted_without_a_shuffle(spark, tmp_path, monkeypatch):
+    from weftgraph.operators import search
+
+    texts = [(1, "aa bb aa"), (2, None), (3, ""), (1, "bb cc"), (4, "x " + "zz " * 50), (None, "aa"), (None, "aa aa")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    want = [(1, "aa", 2, 3), (1, "bb", 1, 2), (1, "bb", 1, 3), (1, "cc", 1, 2), (4, "zz", 50, 50), (0, "aa", 1, 1), (0, "aa", 2, 2)]
+    for held in (1, 5, 1 << 20):
+        monkeypatch.setattr(search, "TOKENS_HELD", held)
+        rows = search.postings(docs, "doc_id", "text")
+        assert sorted((r.id or 0, r.term, r.tf, r.length) for r in rows.collect()) == sorted(want)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: (r.terms, r.top_tf, r.length) for r in catalog.queries()["term_postings"](spark, str(tmp_path)).collect()}
+    assert got == {1: (3, 2, 5), 4: (1, 50, 50), None: (1, 3, 3)}  # as in SQL, rows of one id are one document

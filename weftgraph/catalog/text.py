@@ -29,7 +29,11 @@ def doc_freq(spark, d):
 def term_postings(spark, d):
     from weftgraph.operators.search import postings
 
-    return postings(table(spark, d, "documents"), "doc_id", "text").groupBy("id").agg(F.count(F.lit(1)).alias("terms"), F.max("tf").alias("top_tf"), F.sum("tf").alias("length"))
+    docs = table(spark, d, "documents")
+    rows = postings(docs, "doc_id", "text")
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        rows = rows.groupBy("id", "term").agg(F.sum("tf").alias("tf"))  # several rows are one document
+    return rows.groupBy("id").agg(F.count(F.lit(1)).alias("terms"), F.max("tf").alias("top_tf"), F.sum("tf").alias("length"))
 
 
 @query("SELECT doc_id, CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) AS tokens FROM documents")
