@@ -25,7 +25,7 @@ FROM tf JOIN df USING (term), st WHERE tf > 0 GROUP BY doc_id"""
 def _keywords(spark, d, k1):
     """Scores from the data folder's postings, of which a query reads its own terms' folders."""
     docs = table(spark, d, "documents")
-    posted = once(spark, f"postings {d}", lambda: keyword.indexed(docs, "doc_id", "text"), "bucket", ["term", "id"])
+    posted = once(spark, f"postings {d}", lambda: keyword.indexed(docs, "doc_id", "text"), "bucket", ["term", "id"], keyword.BUCKETS)
     n, average = once(spark, f"lengths {d}", lambda: keyword.lengths(docs, "doc_id", "text").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))).head()
     return keyword.score(keyword.of_terms(posted, keyword.query_terms(spark, QUESTION)), n, average, k1)
 
