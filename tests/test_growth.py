@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -220,3 +221,16 @@ def test_postings_are_counted_without_a_shuffle(spark, tmp_path, monkeypatch):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.id: (r.terms, r.top_tf, r.length) for r in catalog.queries()["term_postings"](spark, str(tmp_path)).collect()}
     assert got == {1: (3, 2, 5), 4: (1, 50, 50), None: (1, 3, 3)}  # as in SQL, rows of one id are one document
+
+
+def test_co_change_tasks_grow_in_number_not_in_size(spark, monkeypatch):
+    from weftgraph.operators import edges
+
+    monkeypatch.setattr(edges, "TASK_ROWS", 50, raising=False)
+    rows = [(k, (k * j) % 37) for k in range(300) for j in range(1, 5)]
+    touched = spark.createDataFrame(rows, "commit long, file long")
+    got = edges.co_changed(touched)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(src#\d+L?, dst#\d+L?, 48\), REPARTITION_BY_NUM", plan) and re.search(r"hashpartitioning\(commit#\d+L?, 24\), REPARTITION_BY_NUM", plan)
+    pairs = Counter((a, b) for k in range(300) for fs in [sorted({f for c, f in rows if c == k})] for i, a in enumerate(fs) for b in fs[i + 1 :])
+    assert {(r.src, r.dst): r["count"] for r in got.collect()} == {p: n for p, n in pairs.items() if n >= 2}

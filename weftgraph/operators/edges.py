@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from weftgraph.functions.text import test_target
 
 
+#: Fixed value: rows (commit, file) that a task pairs.
+TASK_ROWS = 500_000
+
+
 def co_changed(touched: DataFrame, *, least: int = 2, window: int | None = None, order: Column | None = None) -> DataFrame:
     """(src, dst, count): files (src < dst) of the same commits, at least `least` times.
 
@@ -15,9 +19,14 @@ def co_changed(touched: DataFrame, *, least: int = 2, window: int | None = None,
     if window is not None:
         last = touched.select("commit", order.alias("_o")).distinct().orderBy(F.desc("_o"), F.desc("commit")).limit(window).select("commit")
         touched = touched.join(last, "commit", "left_semi")
-    pair = touched.select("commit", "file").distinct()
-    both = pair.select("commit", F.col("file").alias("src")).join(pair.select("commit", F.col("file").alias("dst")), "commit").where("src < dst")
-    return both.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= least)
+    # as many tasks as rows ask for, a given number of them, so that no task's pairs grow with the table
+    parts = max(int(touched.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-touched.count() // TASK_ROWS))
+    pair = touched.select("commit", "file").repartition(parts, "commit").distinct()
+    other = pair.select("commit", F.col("file").alias("dst"))
+    both = pair.select("commit", F.col("file").alias("src")).join(other.hint("merge"), "commit").where("src < dst")
+    # pairs seldom repeat, so counts before the shuffle would hold a task's pairs and save little
+    counts = both.repartition(2 * parts, "src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("count"))
+    return counts.where(F.col("count") >= least)
 
 
 def tests_edges(symbols: DataFrame) -> DataFrame:
