@@ -261,3 +261,17 @@ def test_similar_blocks_meet_once(spark):
             assert sorted(round(s, 6) for s in got.values()) == sorted(round(s, 6) for s in want.values())
     plan = search.similar(vectors, block_rows=16)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"explode\(sequence\(", plan)) == 2 and not re.search(r"explode\(\[0, ?1", plan)
+
+
+def test_propagation_rounds_read_held_edges(spark, monkeypatch):
+    """A round shuffles labels and votes; edges wait by their end, as numbers."""
+    from weftgraph.operators import community
+
+    plans = []
+    real = community.cut
+    monkeypatch.setattr(community, "cut", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or real(df, name))
+    rows = [(f"u{a}", f"u{b}", 1.0) for g in (0, 20) for a in range(g, g + 5) for b in range(a + 1, g + 5)] + [("u4", "u20", 0.1)]
+    got = {r.unit: r.part for r in community.propagate(spark.createDataFrame(rows, "a string, b string, weight double")).collect()}
+    assert got == {f"u{k}": "u0" if k < 5 else "u20" for k in (*range(5), *range(20, 25))}
+    rounds = [p for n, p in plans if n == "labels"][1:]
+    assert rounds and all("InMemoryTableScan" in p for p in rounds)
